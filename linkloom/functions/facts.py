@@ -1,39 +1,32 @@
-"""Column functions that read facts off a text or raw HTML."""
+"""Expressions that read facts off a text or raw HTML."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from linkloom import fixed_values as fixed
-from linkloom.functions.text import first_group, strip
+from linkloom.functions.sql import each, record
+from linkloom.functions.text import all_matches, extract, first_group, strip
 
 
-def amounts(text: Column) -> Column:
+def amounts(text: str) -> str:
     """First ten dollar amounts: array<struct<value, unit, raw>>, unit null if none is given."""
-    hits = F.slice(F.regexp_extract_all(text, F.lit(fixed.AMOUNT), F.lit(0)), 1, fixed.FACTS_PER_TEXT)
-    return F.transform(
-        hits,
-        lambda raw: F.struct(
-            F.regexp_extract(raw, fixed.AMOUNT, 1).alias("value"),
-            F.nullif(F.regexp_extract(raw, fixed.AMOUNT, 2), F.lit("")).alias("unit"),
-            raw.alias("raw"),
+    return each(
+        f"slice({all_matches(text, fixed.AMOUNT)}, 1, {fixed.FACTS_PER_TEXT})",
+        lambda raw: record(
+            value=extract(raw, fixed.AMOUNT, 1), unit=f"nullif({extract(raw, fixed.AMOUNT, 2)}, '')", raw=raw
         ),
     )
 
 
-def percentages(text: Column) -> Column:
+def percentages(text: str) -> str:
     """First ten percentages, as written."""
-    return F.slice(
-        F.regexp_extract_all(text, F.lit(fixed.PERCENTAGE), F.lit(0)), 1, fixed.FACTS_PER_TEXT
-    )
+    return f"slice({all_matches(text, fixed.PERCENTAGE)}, 1, {fixed.FACTS_PER_TEXT})"
 
 
-def followers(text: Column) -> Column:
+def followers(text: str) -> str:
     """First follower count, null without one."""
     return first_group(text, fixed.FOLLOWERS)
 
 
-def quick_title(html: Column) -> Column:
+def quick_title(html: str) -> str:
     """Text of the first plain `h1`, else of the first plain `title`; may be ''."""
-    return strip(F.coalesce(first_group(html, fixed.H1_TEXT), first_group(html, fixed.TITLE_TEXT)))
+    return strip(f"coalesce({first_group(html, fixed.H1_TEXT)}, {first_group(html, fixed.TITLE_TEXT)})")

@@ -1,91 +1,98 @@
-"""Column functions that judge a fetch: status, error class, walls, verdict."""
+"""Expressions that judge a fetch: status, error class, walls, verdict."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from linkloom import fixed_values as fixed
-from linkloom.functions.text import contains_any
+from linkloom.functions.sql import any_of, cases, let, quote, record
+from linkloom.functions.text import contains_any, matches, replace_all
 from linkloom.functions.urls import left_domain
 
 
-def http_status(title: Column, error: Column) -> Column:
+def http_status(title: str, error: str) -> str:
     """HTTP-like status: 0 after an error, else read off the page title."""
-    low = F.lower(title)
-    status = F.lit(200)
-    for code, phrases in reversed(fixed.TITLE_CODES):
-        status = F.when(contains_any(low, phrases), code).otherwise(status)
-    return F.when(error.isNotNull(), 0).otherwise(status)
+
+    def by_title(low: str) -> str:
+        return cases([(contains_any(low, phrases), str(code)) for code, phrases in fixed.TITLE_CODES], "200")
+
+    return f"if({error} IS NOT NULL, 0, {let(f'lower({title})', by_title)})"
 
 
-def error_class(error: Column) -> Column:
+def error_class(error: str) -> str:
     """Name of the kind of network error, null without an error."""
-    name = F.lit(fixed.OTHER_ERROR)
-    for kind, parts in reversed(fixed.ERROR_CLASSES):
-        name = F.when(contains_any(error, parts), kind).otherwise(name)
-    return F.when(error.isNotNull(), name)
+    known = [(contains_any(error, parts), quote(kind)) for kind, parts in fixed.ERROR_CLASSES]
+    return cases([(f"{error} IS NULL", "NULL"), *known], quote(fixed.OTHER_ERROR))
 
 
-def attribute_test(html: Column, rules: list[tuple[str, list[str]]]) -> Column:
+def attribute_test(html: str, rules: list[tuple[str, list[str]]]) -> str:
     """True if an element carries one of the parts in the named attribute.
 
     A byte search for the parts comes first and settles nearly every page.
     The rest is judged on start tags, with comments and raw text taken out.
     """
-    markup = F.regexp_replace(
+    markup = replace_all(
         html, r"(?is)<!--.*?-->|(<(script|style|noscript|iframe|textarea|title|xmp)\b[^>]*>).*?</\2\b", "$1"
     )
     tests = []
     for name, parts in rules:
-        value = f"[^Q]*?(?:{'|'.join(parts)})"  # parts hold no special characters
+        wanted = f"(?:{'|'.join(parts)})"  # parts hold no special characters
         tag = (
             r"(?s)<[a-zA-Z][^\s/>]*+"
             r"""(?:[\s/]++[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)*?"""
-            rf"""[\s/]++(?i:{name})\s*+=\s*+"""
-            rf"""(?:"{value.replace('Q', '"')}|'{value.replace('Q', "'")}|(?!["']){value.replace('Q', chr(92) + 's>')})"""
+            rf"[\s/]++(?i:{name})\s*+=\s*+"
+            rf"""(?:"[^"]*?{wanted}|'[^']*?{wanted}|(?!["'])[^\s>]*?{wanted})"""
         )
-        tests.append(contains_any(html, parts) & markup.rlike(tag))
-    verdict = tests[0]
-    for test in tests[1:]:
-        verdict = verdict | test
-    return verdict
+        tests.append(f"({contains_any(html, parts)} AND {matches(markup, tag)})")
+    return any_of(tests)
 
 
-def is_paywall(html: Column) -> Column:
-    return contains_any(F.lower(html), fixed.PAYWALL_PHRASES) | attribute_test(
-        html, fixed.PAYWALL_ATTRIBUTES
-    )
+def is_paywall(html: str, lower_html: str | None = None) -> str:
+    phrases = contains_any(lower_html or f"lower({html})", fixed.PAYWALL_PHRASES)
+    return f"({phrases} OR {attribute_test(html, fixed.PAYWALL_ATTRIBUTES)})"
 
 
-def is_login_wall(html: Column) -> Column:
-    return contains_any(F.lower(html), fixed.LOGIN_PHRASES) | attribute_test(html, fixed.LOGIN_ATTRIBUTES)
+def is_login_wall(html: str, lower_html: str | None = None) -> str:
+    phrases = contains_any(lower_html or f"lower({html})", fixed.LOGIN_PHRASES)
+    return f"({phrases} OR {attribute_test(html, fixed.LOGIN_ATTRIBUTES)})"
 
 
-def verdict(url: Column, final_url: Column, title: Column, html: Column, error: Column) -> Column:
+def verdict(url: str, final_url: str, title: str, html: str, error: str) -> str:
     """struct<status, notes> of a registry entry, by the first rule that applies."""
-    status = http_status(title, error)
-
-    def outcome(name: str, notes: Column | None = None) -> Column:
-        notes = F.lit(None).cast("string") if notes is None else notes
-        return F.struct(F.lit(name).alias("status"), notes.alias("notes"))
-
-    return (
-        F.when(error.isNotNull(), outcome("dead", error))
-        .when((status == 404) | (status >= 500), outcome("dead", F.concat(F.lit("HTTP "), status.cast("string"))))
-        .when(left_domain(url, final_url), outcome("redirect", final_url))
-        .when(html.isNull(), outcome("ok"))
-        .when(is_paywall(html), outcome("paywall", F.lit(fixed.PAYWALL_NOTE)))
-        .when(is_login_wall(html), outcome("login", F.lit(fixed.LOGIN_NOTE)))
-        .otherwise(outcome("ok"))
-    )
+
+    def outcome(status: str, notes: str = "cast(NULL AS string)") -> str:
+        return record(status=quote(status), notes=notes)
+
+    def by_content(low: str) -> str:
+        return cases(
+            [
+                (f"{low} IS NULL", outcome("ok")),
+                (is_paywall(html, low), outcome("paywall", quote(fixed.PAYWALL_NOTE))),
+                (is_login_wall(html, low), outcome("login", quote(fixed.LOGIN_NOTE))),
+            ],
+            outcome("ok"),
+        )
+
+    def by_status(status: str) -> str:
+        return cases(
+            [
+                (f"{error} IS NOT NULL", outcome("dead", error)),
+                (f"{status} = 404 OR {status} >= 500", outcome("dead", f"concat('HTTP ', {status})")),
+                (left_domain(url, final_url), outcome("redirect", final_url)),
+            ],
+            let(f"lower({html})", by_content),
+        )
+
+    return let(http_status(title, error), by_status)
 
 
-def page_wall(html: Column) -> Column:
+def page_wall(html: str) -> str:
     """Status of a structured page by its raw HTML: paywall, login or ok."""
-    low = F.lower(html)
-    return (
-        F.when(contains_any(low, fixed.PAGE_PAYWALL_PHRASES), "paywall")
-        .when(contains_any(low, fixed.PAGE_LOGIN_PHRASES), "login")
-        .otherwise("ok")
+    return let(
+        f"lower({html})",
+        lambda low: cases(
+            [
+                (contains_any(low, fixed.PAGE_PAYWALL_PHRASES), "'paywall'"),
+                (contains_any(low, fixed.PAGE_LOGIN_PHRASES), "'login'"),
+            ],
+            "'ok'",
+        ),
     )

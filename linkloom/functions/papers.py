@@ -1,4 +1,4 @@
-"""Column functions that give the text of a paper its structure.
+"""Expressions that give the text of a paper its structure.
 
 All of them work inside one row: a paper never has to be split into rows and
 brought together again, so none of them shuffles.
@@ -6,193 +6,176 @@ brought together again, so none of them shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from linkloom import fixed_values as fixed
-from linkloom.functions.text import bind, contains_any, first_group, shorten, strip
+from linkloom.functions.sql import any_of, cases, each, each_numbered, first, fold, keep, let, pairs, quote, record
+from linkloom.functions.text import (
+    contains_any, extract, first_group, matches, replace_all, shorten, strip,
+)
 from linkloom.functions.urls import urls_in_paper
 
 
-def is_heading(line: Column) -> Column:
+def is_heading(line: str) -> str:
     """Does a trimmed line look like a heading?"""
-    size = F.octet_length(line)
-    capitals = F.length(F.regexp_replace(line, r"\P{IsUppercase}", ""))
-    return line.rlike(fixed.HEADING) | ((size > 3) & (size < 100) & (capitals * 2 > size))
-
-
-def measured(trimmed: Column) -> Column:
-    """Size and heading test of every line, so that each is computed once."""
-    return F.transform(
-        trimmed, lambda t: F.struct(F.octet_length(t).alias("size"), is_heading(t).alias("heading"))
-    )
+    capitals = f"length({replace_all(line, r'\P{IsUppercase}', '')})"
+    size = f"octet_length({line})"
+    return f"({matches(line, fixed.HEADING)} OR ({size} > 3 AND {size} < 100 AND {capitals} * 2 > {size}))"
 
 
-def heading_level(heading: Column) -> Column:
+def heading_level(heading: str) -> str:
     """1 + the dots of a leading number, at most 6."""
-    number = F.regexp_extract(heading, r"^\p{N}[\p{N}.]*", 0)
-    return F.least(F.lit(6), 1 + F.length(F.regexp_replace(number, r"[^.]", "")))
+    number = extract(heading, r"^\p{N}[\p{N}.]*", 0)
+    return f"least(6, 1 + length({replace_all(number, '[^.]', '')}))"
 
 
-def section_starts(measures: Column) -> Column:
+def section_starts(trimmed: str) -> str:
     """Indexes (from 0) of the lines that open a section.
 
     Whether a heading opens one depends on how many bytes the running section
     holds, which depends on where it was opened: a fold.  It carries sizes and
-    positions only, never text.
+    positions only, never text; `glued` says that nothing separates the next
+    line from what came before.
     """
-    start = F.struct(
-        F.lit(0).alias("line"),
-        F.lit(0).alias("bytes"),
-        F.lit(True).alias("glued"),  # nothing to separate from: empty, or after a blank line
-        F.array().cast("array<int>").alias("starts"),
-    )
-
-    def step(acc: Column, line: Column) -> Column:
-        size = line["size"]
-        blank = size == 0
-        opens = line["heading"] & (acc["bytes"] > fixed.SECTION_OPENING_BYTES)
-        return F.struct(
-            (acc["line"] + 1).alias("line"),
-            F.when(blank, F.when(acc["bytes"] > 0, acc["bytes"] + 2).otherwise(0))
-            .when(opens, 0)
-            .otherwise(acc["bytes"] + F.when(acc["glued"], 0).otherwise(1) + size)
-            .alias("bytes"),
-            (blank | opens).alias("glued"),
-            F.when(opens, F.array_append(acc["starts"], acc["line"])).otherwise(acc["starts"]).alias("starts"),
+    measured = each(trimmed, lambda t: record(size=f"octet_length({t})", heading=is_heading(t)))
+    start = record(line="0", bytes="0", glued="true", starts="cast(array() AS array<int>)")
+
+    def step(acc: str, line: str) -> str:
+        opens = f"({line}.heading AND {acc}.bytes > {fixed.SECTION_OPENING_BYTES})"
+        return record(
+            line=f"{acc}.line + 1",
+            bytes=cases(
+                [(f"{line}.size = 0", f"if({acc}.bytes > 0, {acc}.bytes + 2, 0)"), (opens, "0")],
+                f"{acc}.bytes + if({acc}.glued, 0, 1) + {line}.size",
+            ),
+            glued=f"({line}.size = 0 OR {opens})",
+            starts=f"if({opens}, array_append({acc}.starts, {acc}.line), {acc}.starts)",
         )
 
-    return F.aggregate(measures, start, step, lambda acc: acc["starts"])
+    return fold(measured, start, step, lambda acc: f"{acc}.starts")
 
 
-def sections(raw_lines: Column) -> Column:
+def sections(raw_lines: str) -> str:
     """array<struct<level, heading, content>> of a paper's lines."""
-    return bind(
-        F.transform(raw_lines, strip),
-        lambda trimmed: bind(
-            section_starts(measured(trimmed)), lambda starts: _sections_between(trimmed, starts)
-        ),
+    return let(
+        each(raw_lines, strip),
+        lambda trimmed: let(section_starts(trimmed), lambda starts: _sections_between(trimmed, starts)),
     )
 
 
-def _sections_between(trimmed: Column, starts: Column) -> Column:
-    edges = F.concat(F.array(F.lit(-1)), starts)
+def _sections_between(trimmed: str, starts: str) -> str:
+    most = fixed.SECTIONS_PER_PAPER
 
-    def whole(edge: Column, number: Column) -> Column:
-        until = F.coalesce(F.get(starts, number), F.size(trimmed))
-        body = F.slice(trimmed, edge + 2, F.greatest(until - edge - 1, F.lit(0)))
+    def whole(edge: str, number: str) -> str:
+        until = f"coalesce(get({starts}, {number}), size({trimmed}))"
+        body = f"slice({trimmed}, {edge} + 2, greatest({until} - {edge} - 1, 0))"
         # blank lines become paragraph breaks, other line ends one blank
-        joined = F.array_join(F.transform(body, lambda t: F.when(t == "", "\n\n").otherwise(t)), " ")
-        return F.struct(
-            F.when(edge < 0, fixed.FALLBACK_HEADING).otherwise(F.get(trimmed, edge)).alias("heading"),
-            (edge >= 0).alias("numbered"),
-            strip(F.regexp_replace(joined, " ?\n\n ?", "\n\n")).alias("content"),
+        joined = f"array_join({each(body, lambda t: f"if({t} = '', '\n\n', {t})")}, ' ')"
+        return record(
+            heading=f"if({edge} < 0, {quote(fixed.FALLBACK_HEADING)}, get({trimmed}, {edge}))",
+            numbered=f"{edge} >= 0",
+            content=strip(replace_all(joined, " ?\n\n ?", "\n\n")),
         )
 
-    def limited(s: Column) -> Column:
-        return F.struct(
-            F.when(s["numbered"], heading_level(s["heading"])).otherwise(1).cast("tinyint").alias("level"),
-            shorten(s["heading"], fixed.HEADING_BYTES).alias("heading"),
-            shorten(s["content"], fixed.SECTION_BYTES).alias("content"),
+    def limited(s: str) -> str:
+        return record(
+            level=f"cast(if({s}.numbered, {heading_level(f'{s}.heading')}, 1) AS tinyint)",
+            heading=shorten(f"{s}.heading", fixed.HEADING_BYTES),
+            content=shorten(f"{s}.content", fixed.SECTION_BYTES),
         )
 
     # Only the last section can be empty: every other one passed the byte test.
-    kept = F.filter(
-        F.transform(F.slice(edges, 1, fixed.SECTIONS_PER_PAPER + 1), whole), lambda s: s["content"] != ""
-    )
-    return F.transform(F.slice(kept, 1, fixed.SECTIONS_PER_PAPER), limited)
+    edges = f"slice(concat(array(-1), {starts}), 1, {most + 1})"
+    kept = keep(each_numbered(edges, whole), lambda s: f"{s}.content <> ''")
+    return each(f"slice({kept}, 1, {most})", limited)
 
 
-def is_code_line(line: Column) -> Column:
-    test = contains_any(line, fixed.CODE_TOKENS)
-    for indent in fixed.CODE_INDENTS:
-        test = test | line.startswith(indent)
-    return test
+def is_code_line(line: str) -> str:
+    indented = [f"startswith({line}, {quote(indent)})" for indent in fixed.CODE_INDENTS]
+    return any_of([contains_any(line, fixed.CODE_TOKENS), *indented])
 
 
-def code_islands(raw_lines: Column) -> Column:
+def code_islands(raw_lines: str) -> str:
     """Runs of at least three code lines: array<struct<lang, source>>, first ten."""
-    return bind(
+    return let(
         raw_lines,
-        lambda kept: bind(
-            F.transform(kept, is_code_line),
-            lambda flags: bind(_runs(flags), lambda runs: _islands(kept, runs)),
+        lambda kept: let(
+            each(kept, is_code_line), lambda flags: let(_runs(flags), lambda runs: _islands(kept, runs))
         ),
     )
 
 
-def _runs(flags: Column) -> Column:
+def _runs(flags: str) -> str:
     """array<struct<first, count>> of runs of raised flags.
 
     A run starts where a flag is up and its left neighbour is not, and ends
     where its right neighbour is not; the n-th start belongs to the n-th end.
     """
 
-    def up(at: Column) -> Column:
-        return F.coalesce(F.get(flags, at), F.lit(False))
+    def up(at: str) -> str:
+        return f"coalesce(get({flags}, {at}), false)"
 
-    here = F.sequence(F.lit(0), F.size(flags) - 1)
-    starts = F.filter(here, lambda i: up(i) & ~up(i - 1))
-    ends = F.filter(here, lambda i: up(i) & ~up(i + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("count")))
+    here = f"sequence(0, size({flags}) - 1)"
+    starts = keep(here, lambda i: f"{up(i)} AND NOT {up(f'{i} - 1')}")
+    ends = keep(here, lambda i: f"{up(i)} AND NOT {up(f'{i} + 1')}")
+    return pairs(starts, ends, lambda a, b: record(first=a, count=f"{b} - {a} + 1"))
 
 
-def _islands(raw_lines: Column, runs: Column) -> Column:
-    sources = F.filter(
-        F.transform(
-            F.filter(runs, lambda run: run["count"] >= fixed.SHORTEST_RUN),
-            lambda run: F.array_join(F.slice(raw_lines, run["first"] + 1, run["count"]), "\n"),
-        ),
-        lambda source: F.octet_length(source) >= fixed.SHORTEST_ISLAND,
-    )
-    return F.transform(
-        F.slice(sources, 1, fixed.CODE_PER_PAPER),
-        lambda source: F.struct(
-            language(source).alias("lang"), shorten(source, fixed.CODE_BYTES).alias("source")
-        ),
+def _islands(raw_lines: str, runs: str) -> str:
+    long_runs = keep(runs, lambda run: f"{run}.count >= {fixed.SHORTEST_RUN}")
+    joined = each(long_runs, lambda run: f"array_join(slice({raw_lines}, {run}.first + 1, {run}.count), '\n')")
+    sources = keep(joined, lambda source: f"octet_length({source}) >= {fixed.SHORTEST_ISLAND}")
+    return each(
+        f"slice({sources}, 1, {fixed.CODE_PER_PAPER})",
+        lambda source: record(lang=language(source), source=shorten(source, fixed.CODE_BYTES)),
     )
 
 
-def language(source: Column) -> Column:
+def language(source: str) -> str:
     """Guess a programming language, null if nothing fits."""
-    has = source.contains
-    return (
-        F.when(has("fn ") & has("->"), "rust")
-        .when(has("def ") & has(":"), "python")
-        .when(has("function ") | has("const ") | has("let "), "javascript")
-        .when(has("public class") | has("private "), "java")
-        .when(has("#include"), "c")
+
+    def has(*parts: str) -> str:
+        return " AND ".join(f"contains({source}, {quote(part)})" for part in parts)
+
+    return cases(
+        [
+            (has("fn ", "->"), "'rust'"),
+            (has("def ", ":"), "'python'"),
+            (contains_any(source, ["function ", "const ", "let "]), "'javascript'"),
+            (contains_any(source, ["public class", "private "]), "'java'"),
+            (has("#include"), "'c'"),
+        ]
     )
 
 
-def title(raw_lines: Column, path: Column) -> Column:
+def title(raw_lines: str, path: str) -> str:
     """First non-blank line if its length is reasonable, else the file's stem."""
-    name = F.regexp_extract(path, r"([^/]+)/*\z", 1)
-    stem = F.nullif(F.regexp_replace(name, r"(?<=.)\.[^.]*\z", ""), F.lit(""))
-    line = F.get(F.filter(raw_lines, lambda text: strip(text) != ""), F.lit(0))
-
-    def sized(text: Column) -> Column:
-        return F.when((F.octet_length(text) > 3) & (F.octet_length(text) < fixed.LONGEST_NAME), text)
-
-    return F.coalesce(bind(strip(line), sized), stem)
+    line = first(keep(raw_lines, lambda text: f"{strip(text)} <> ''"))
+    sized = let(
+        strip(line),
+        lambda t: f"if(octet_length({t}) > 3 AND octet_length({t}) < {fixed.LONGEST_NAME}, {t}, NULL)",
+    )
+    stem = replace_all(extract(path, r"([^/]+)/*\z", 1), r"(?<=.)\.[^.]*\z", "")
+    return f"coalesce({sized}, nullif({stem}, ''))"
 
 
-def author(text: Column) -> Column:
-    name = strip(first_group(text, fixed.AUTHOR))
-    return F.when(F.octet_length(name) < fixed.LONGEST_NAME, name)
+def author(text: str) -> str:
+    return let(
+        strip(first_group(text, fixed.AUTHOR)),
+        lambda name: f"if(octet_length({name}) < {fixed.LONGEST_NAME}, {name}, NULL)",
+    )
 
 
-def date(text: Column) -> Column:
+def date(text: str) -> str:
     return first_group(text, fixed.DATE)
 
 
-def doi(text: Column) -> Column:
-    return first_group(text, fixed.DOI)
+def doi(text: str) -> str:
+    # a byte search spares most texts the regular expression
+    return f"if(contains({text}, '10.'), {first_group(text, fixed.DOI)}, NULL)"
 
 
-def links(text: Column) -> Column:
+def links(text: str) -> str:
     """First fifty distinct URLs: array<struct<text, url>>."""
-    return F.transform(
-        F.slice(urls_in_paper(text), 1, fixed.LINKS_PER_PAPER),
-        lambda url: F.struct(shorten(url, fixed.LINK_TEXT_BYTES).alias("text"), url.alias("url")),
+    return each(
+        f"slice({urls_in_paper(text)}, 1, {fixed.LINKS_PER_PAPER})",
+        lambda url: record(text=shorten(url, fixed.LINK_TEXT_BYTES), url=url),
     )

@@ -1,76 +1,74 @@
-"""Column functions on text: trimming, byte-exact cuts, lines, first matches."""
+"""Expressions on text: trimming, byte-exact cuts, lines, first matches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from linkloom import fixed_values as fixed
+from linkloom.functions.sql import any_of, cases, let, quote
 
 
-def strip(text: Column) -> Column:
+def strip(text: str) -> str:
     """Trim Unicode white space from both ends."""
-    return F.btrim(text, F.lit(fixed.WHITE_SPACE))
+    return f"btrim({text}, {quote(fixed.WHITE_SPACE)})"
 
 
-def contains_any(text: Column, parts: list[str]) -> Column:
+def contains_any(text: str, parts: list[str]) -> str:
     """True if any of the parts occurs; byte search, no regex."""
-    found = text.contains(parts[0])
-    for part in parts[1:]:
-        found = found | text.contains(part)
-    return found
+    return any_of(f"contains({text}, {quote(part)})" for part in parts)
+
+
+def matches(text: str, pattern: str) -> str:
+    return f"rlike({text}, {quote(pattern)})"
+
 
+def extract(text: str, pattern: str, group: int) -> str:
+    return f"regexp_extract({text}, {quote(pattern)}, {group})"
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def all_matches(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, {quote(pattern)}, 0)"
 
-def first_group(text: Column, pattern: str) -> Column:
+
+def replace_all(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {quote(pattern)}, {quote(by)})"
+
+
+def first_group(text: str, pattern: str) -> str:
     """Group 1 of the first match, null without a match ('' is a legal hit)."""
-    return bind(
-        F.regexp_extract(text, pattern, 0),
-        lambda hit: F.when(hit != "", F.regexp_extract(hit, pattern, 1)),
-    )
+    return let(extract(text, pattern, 0), lambda hit: f"if({hit} <> '', {extract(hit, pattern, 1)}, NULL)")
 
 
-def head_bytes(text: Column, size: int) -> Column:
+def head_bytes(text: str, size: int) -> str:
     """The longest prefix of at most `size` bytes that ends between characters."""
-    raw = text.cast("binary")
 
-    def inside(back: int) -> Column:  # is the byte after the cut a UTF-8 trail byte?
-        after = F.substring(raw, size - back + 1, 1)
-        return (after >= F.lit(b"\x80")) & (after <= F.lit(b"\xbf"))
+    def cut(raw: str) -> str:
+        def between(back: int) -> str:  # no UTF-8 trail byte follows
+            return f"substring({raw}, {size - back + 1}, 1) NOT BETWEEN X'80' AND X'BF'"
 
-    length = (
-        F.when(~inside(0), size).when(~inside(1), size - 1).when(~inside(2), size - 2).otherwise(size - 3)
-    )
-    return F.substring(raw, F.lit(1), length).cast("string")
+        length = cases([(between(back), str(size - back)) for back in range(3)], str(size - 3))
+        return f"cast(substring({raw}, 1, {length}) AS string)"
 
+    return let(f"cast({text} AS binary)", cut)
 
-def shorten(text: Column, limit: int) -> Column:
+
+def shorten(text: str, limit: int) -> str:
     """At most `limit` bytes, the last three of them dots when text was cut."""
-    return F.when(F.octet_length(text) <= limit, text).otherwise(
-        F.concat(head_bytes(text, limit - 3), F.lit("..."))
-    )
+    return f"if(octet_length({text}) <= {limit}, {text}, concat({head_bytes(text, limit - 3)}, '...'))"
 
 
-def shorten_at_blank(text: Column, limit: int) -> Column:
+def shorten_at_blank(text: str, limit: int) -> str:
     """Cut at `limit` bytes, going back to a blank within the final 50 bytes, plus dots."""
 
-    def cut(head: Column) -> Column:
-        size = F.octet_length(head)
-        blank = size - F.octet_length(F.substring_index(head, " ", -1)) - 1  # -1: no blank
-        at_blank = F.substring(head.cast("binary"), F.lit(1), blank).cast("string")
-        return F.when(blank > F.greatest(size - 50, F.lit(0)), at_blank).otherwise(head)
+    def cut(head: str) -> str:
+        def at_blank(blank: str) -> str:  # -1: there is none
+            back = f"cast(substring(cast({head} AS binary), 1, {blank}) AS string)"
+            return f"if({blank} > greatest(octet_length({head}) - 50, 0), {back}, {head})"
+
+        return let(f"octet_length({head}) - octet_length(substring_index({head}, ' ', -1)) - 1", at_blank)
 
-    return F.when(F.octet_length(text) <= limit, text).otherwise(
-        F.concat(bind(head_bytes(text, limit), cut), F.lit("..."))
-    )
+    return f"if(octet_length({text}) <= {limit}, {text}, concat({let(head_bytes(text, limit), cut)}, '...'))"
 
 
-def lines(text: Column) -> Column:
+def lines(text: str) -> str:
     """Lines without their ends; after a final line end comes one more, empty line."""
-    return F.when(text.contains("\r"), F.split(text, r"\r?\n")).otherwise(F.split(text, "\n"))
+    ends = quote("\\r?\\n")
+    return f"if(contains({text}, '\\r'), split({text}, {ends}), split({text}, '\\n'))"

@@ -1,126 +1,119 @@
-"""Column functions on URLs: finding, cleaning, comparing and sorting them."""
+"""Expressions on URLs: finding, cleaning, comparing and sorting them."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from linkloom import fixed_values as fixed
-from linkloom.functions.text import bind, contains_any
+from linkloom.functions.sql import any_of, array_of, cases, each, let, quote, record
+from linkloom.functions.text import all_matches, contains_any, extract, matches, replace_all
 
 
-def drop_tail(url: Column, tail: str = fixed.URL_TAIL) -> Column:
+def drop_tail(url: str, tail: str = fixed.URL_TAIL) -> str:
     """Cut trailing punctuation, repeatedly."""
-    return F.rtrim(url, F.lit(tail))
+    return f"trim(TRAILING {quote(tail)} FROM {url})"
 
 
-def _matches(text: Column, pattern: str, tail: str) -> Column:
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_distinct(F.transform(hits, lambda hit: drop_tail(hit, tail)))
+def _found(text: str, pattern: str, tail: str) -> str:
+    return f"array_distinct({each(all_matches(text, pattern), lambda hit: drop_tail(hit, tail))})"
 
 
-def urls_in(text: Column) -> Column:
+def urls_in(text: str) -> str:
     """Distinct URLs of a text in first-seen order."""
-    return _matches(text, fixed.URL, fixed.URL_TAIL)
+    return _found(text, fixed.URL, fixed.URL_TAIL)
 
 
-def urls_in_paper(text: Column) -> Column:
+def urls_in_paper(text: str) -> str:
     """As `urls_in`, but a backtick does not end a URL."""
-    return _matches(text, fixed.URL_KEEPING_BACKTICKS, fixed.URL_TAIL)
+    return _found(text, fixed.URL_KEEPING_BACKTICKS, fixed.URL_TAIL)
 
 
-def markdown_links(text: Column) -> Column:
+def markdown_links(text: str) -> str:
     """`[title](url)` links in order, duplicates kept: array<struct<url, title>>."""
     # One search of the whole text; the groups are then read from the short hits.
-    hits = F.regexp_extract_all(text, F.lit(fixed.MARKDOWN_LINK), F.lit(0))
-    return F.transform(
-        hits,
-        lambda hit: F.struct(
-            drop_tail(F.regexp_extract(hit, fixed.MARKDOWN_LINK, 2)).alias("url"),
-            F.regexp_extract(hit, fixed.MARKDOWN_LINK, 1).alias("title"),
+    return each(
+        all_matches(text, fixed.MARKDOWN_LINK),
+        lambda hit: record(
+            url=drop_tail(extract(hit, fixed.MARKDOWN_LINK, 2)), title=extract(hit, fixed.MARKDOWN_LINK, 1)
         ),
     )
 
 
-def bare_urls(text: Column, links: Column) -> Column:
+def bare_urls(text: str, links: str) -> str:
     """URLs of a text that are not already the target of one of its links."""
-    return F.array_except(urls_in(text), F.transform(links, lambda link: link["url"]))
+    return f"array_except({urls_in(text)}, {links}.url)"
 
 
-def mentions(text: Column, links: Column) -> Column:
+def mentions(text: str) -> str:
     """All links, then all bare URLs with a null title: array<struct<url, title>>."""
-    bare = F.transform(
-        bare_urls(text, links),
-        lambda url: F.struct(url.alias("url"), F.lit(None).cast("string").alias("title")),
-    )
-    return F.concat(links, bare)
 
+    def linked_and_bare(links: str) -> str:
+        bare = each(bare_urls(text, links), lambda url: record(url=url, title="cast(NULL AS string)"))
+        return f"concat({links}, {bare})"
 
-def host(url: Column) -> Column:
+    return let(markdown_links(text), linked_and_bare)
+
+
+def host(url: str) -> str:
     """Comparable host: lower case, ASCII form, without user, port and leading `www.`.
 
     Null when the URL has no usable host.
     """
-    clean = F.translate(F.btrim(url), "\t\n\r", "")
     web = r"(?i)^(?:https?|wss?|ftp):[/\\]*([^/\\?#]*)"
     other = r"(?i)^(?!file:)[a-z][a-z0-9+.-]*://([^/?#]*)"
+    authority = let(
+        f"translate(btrim({url}), '\t\n\r', '')",
+        lambda clean: f"if({matches(clean, web)}, {extract(clean, web, 1)}, {extract(clean, other, 1)})",
+    )
+    name = extract(authority, r"^(?:.*@)?(\[[0-9A-Fa-f:.]+\]|[^:@\[\]]*)(?::[0-9]*)?$", 1)
 
-    def in_ascii(name: Column) -> Column:
-        converted = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name)
-        return F.when(name.rlike(r"[^\x00-\x7F]"), converted).otherwise(name)
+    def in_ascii(raw: str) -> str:
+        converted = f"try_reflect('java.net.IDN', 'toASCII', {raw})"
+        return f"if({matches(raw, r'[^\x00-\x7F]')}, {converted}, {raw})"
 
-    def without_www(name: Column) -> Column:
-        usable = (name != "") & ~name.rlike(r"[\x00-\x20<>^|%\x7F]")
-        return F.when(usable, F.regexp_replace(F.lower(name), r"^(?:www\.)+", ""))
+    def without_www(raw: str) -> str:
+        usable = f"{raw} <> '' AND NOT {matches(raw, r'[\x00-\x20<>^|%\x7F]')}"
+        return f"if({usable}, {replace_all(f'lower({raw})', r'^(?:www\.)+', '')}, NULL)"
 
-    authority = bind(
-        clean, lambda u: F.when(u.rlike(web), F.regexp_extract(u, web, 1)).otherwise(F.regexp_extract(u, other, 1))
-    )
-    name = F.regexp_extract(authority, r"^(?:.*@)?(\[[0-9A-Fa-f:.]+\]|[^:@\[\]]*)(?::[0-9]*)?$", 1)
-    return bind(bind(name, in_ascii), without_www)
+    return let(let(name, in_ascii), without_www)
 
 
-def left_domain(url: Column, final_url: Column) -> Column:
+def left_domain(url: str, final_url: str) -> str:
     """True if the final URL is on another host; false when either host is unknown."""
-    same_text = url == final_url  # the usual case needs no parsing
-    return F.coalesce(~same_text & (host(url) != host(final_url)), F.lit(False))
+    # the usual case, equal text, needs no parsing
+    return f"coalesce({url} <> {final_url} AND {host(url)} <> {host(final_url)}, false)"
 
 
-def fact_type(url: Column) -> Column:
+def fact_type(url: str) -> str:
     """Which kind of facts a single URL is read for."""
-    kind = F.lit("generic")
-    for part, name in reversed(fixed.FACT_HOSTS):
-        kind = F.when(url.contains(part), name).otherwise(kind)
-    return kind
+    return cases([(f"contains({url}, {quote(part)})", quote(name)) for part, name in fixed.FACT_HOSTS], "'generic'")
 
 
-def fact_urls(text: Column) -> Column:
+def fact_urls(text: str) -> str:
     """URLs of a text that carry facts: array<struct<url, type>>.
 
     By pattern first and position second.  A URL's own start decides which
     pattern finds it, so distinct per pattern is distinct over all of them.
     """
-
-    def of_kind(kind: str, pattern: str) -> Column:
-        hits = _matches(text, pattern, fixed.FACT_URL_TAIL)
-        return F.transform(hits, lambda url: F.struct(url.alias("url"), F.lit(kind).alias("type")))
-
-    return F.concat(*[of_kind(kind, pattern) for kind, pattern in fixed.FACT_URL_PATTERNS])
+    found = [
+        each(_found(text, pattern, fixed.FACT_URL_TAIL), lambda url: record(url=url, type=quote(kind)))
+        for kind, pattern in fixed.FACT_URL_PATTERNS
+    ]
+    return f"concat({', '.join(found)})"
 
 
-def user_name(url: Column) -> Column:
+def user_name(url: str) -> str:
     """Last path piece, trailing slashes ignored; a query string stays."""
-    return F.substring_index(F.rtrim(url, F.lit("/")), "/", -1)
+    return f"substring_index({drop_tail(url, '/')}, '/', -1)"
 
 
-def categories(path: Column) -> Column:
+def categories(path: str) -> str:
     """Categories read off a file path, in rule order; `general` if none fits."""
-    low = F.lower(path)
-    hits = []
-    for name, parts, prefixes in fixed.CATEGORY_RULES:
-        test = reduce(lambda a, b: a | b, [low.startswith(p) for p in prefixes], contains_any(low, parts))
-        hits.append(F.when(test, F.lit(name)))
-    found = F.array_compact(F.array(*hits))
-    return F.when(F.size(found) == 0, F.array(F.lit(fixed.DEFAULT_CATEGORY))).otherwise(found)
+
+    def rules(low: str) -> str:
+        hits = []
+        for name, parts, prefixes in fixed.CATEGORY_RULES:
+            tests = [contains_any(low, parts), *(f"startswith({low}, {quote(p)})" for p in prefixes)]
+            hits.append(f"if({any_of(tests)}, {quote(name)}, NULL)")
+        return f"array_compact(array({', '.join(hits)}))"
+
+    default = array_of([fixed.DEFAULT_CATEGORY])
+    return let(let(f"lower({path})", rules), lambda found: f"if(size({found}) = 0, {default}, {found})")

@@ -10,7 +10,7 @@ from linkloom.functions.urls import bare_urls, categories, markdown_links, menti
 
 def found_urls(files: DataFrame) -> DataFrame:
     """Distinct URLs of every file in first-seen order: (path, pos, url)."""
-    return files.select("path", F.posexplode(urls_in(F.col("content"))).alias("pos", "url"))
+    return files.selectExpr("path", f"posexplode({urls_in('content')}) AS (pos, url)")
 
 
 def citations(files: DataFrame) -> DataFrame:
@@ -19,18 +19,14 @@ def citations(files: DataFrame) -> DataFrame:
     Links come first and bare URLs, which have no title, after them.
     `arg_no` is the place of the file's pattern among the scanned ones.
     """
-    arg_no = F.col("arg_no") if "arg_no" in files.columns else F.lit(0).alias("arg_no")
-    linked = files.select(arg_no, "path", "content", markdown_links(F.col("content")).alias("links"))
-    return linked.select(
-        "arg_no", "path", F.posexplode(mentions(F.col("content"), F.col("links"))).alias("pos", "mention")
-    ).select("arg_no", "path", "pos", "mention.url", "mention.title")
+    arg_no = "arg_no" if "arg_no" in files.columns else "0 AS arg_no"
+    found = files.selectExpr(arg_no, "path", f"posexplode({mentions('content')}) AS (pos, mention)")
+    return found.select("arg_no", "path", "pos", "mention.url", "mention.title")
 
 
 def unlinked_urls(files: DataFrame) -> DataFrame:
     """Bare URLs that no link of the same file has: (path, url)."""
-    return files.select(
-        "path", F.explode(bare_urls(F.col("content"), markdown_links(F.col("content")))).alias("url")
-    )
+    return files.selectExpr("path", f"explode({bare_urls('content', markdown_links('content'))}) AS url")
 
 
 def cited_in(found: DataFrame) -> DataFrame:
@@ -65,6 +61,6 @@ def references(cited: DataFrame) -> DataFrame:
     return grouped.select(
         "url",
         F.coalesce("title", "url").alias("title"),
-        categories(F.col("first_path")).alias("categories"),
+        F.expr(categories("first_path")).alias("categories"),
         "cited_by",
     )

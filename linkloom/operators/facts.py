@@ -7,36 +7,34 @@ from pyspark.sql import functions as F
 
 from linkloom import fixed_values as fixed
 from linkloom.functions import facts
+from linkloom.functions.sql import quote
 from linkloom.functions.urls import fact_type, fact_urls, user_name
 from linkloom.operators.snapshot import attach, first_attempts, one_per_url
 
 
 def listed_urls(files: DataFrame) -> DataFrame:
     """URLs with facts in every file: (path, pos, url, type)."""
-    return files.select(
-        "path", F.posexplode(fact_urls(F.col("content"))).alias("pos", "found")
-    ).select("path", "pos", "found.url", "found.type")
+    found = files.selectExpr("path", f"posexplode({fact_urls('content')}) AS (pos, found)")
+    return found.select("path", "pos", "found.url", "found.type")
 
 
 def typed(urls: DataFrame) -> DataFrame:
     """(url, type) by routing, for URLs that come without a type."""
-    return urls if "type" in urls.columns else urls.withColumn("type", fact_type(F.col("url")))
+    return urls if "type" in urls.columns else urls.withColumn("type", F.expr(fact_type("url")))
 
 
 def _everything(pages: DataFrame) -> DataFrame:
     """All facts of every page, whatever its type."""
-    html, url = F.col("html"), F.col("url")
-    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    amounts, percentages = facts.amounts(html), facts.percentages(html)
-    return pages.select(
+    error = "error" if "error" in pages.columns else "cast(NULL AS string)"
+    return pages.selectExpr(
         "url",
-        html.isNotNull().alias("success"),
-        facts.quick_title(html).alias("title"),
-        amounts.alias("amounts"),
-        percentages.alias("percentages"),
-        facts.followers(html).alias("followers"),
-        F.when(html.isNotNull(), user_name(url)).alias("username"),
-        F.when(html.isNull(), F.coalesce(error, F.lit(fixed.NO_CONTENT))).alias("error"),
+        "html IS NOT NULL AS success",
+        f"{facts.quick_title('html')} AS title",
+        f"{facts.amounts('html')} AS amounts",
+        f"{facts.percentages('html')} AS percentages",
+        f"{facts.followers('html')} AS followers",
+        f"if(html IS NOT NULL, {user_name('url')}, NULL) AS username",
+        f"if(html IS NULL, coalesce({error}, {quote(fixed.NO_CONTENT)}), NULL) AS error",
     )
 
 
@@ -63,7 +61,7 @@ def read_off(pages: DataFrame) -> DataFrame:
     A failed navigation that still left some HTML is a success; only a page
     without HTML is not.
     """
-    return _by_type(_everything(pages).withColumn("type", fact_type(F.col("url"))))
+    return _by_type(_everything(pages).withColumn("type", F.expr(fact_type("url"))))
 
 
 def refresh(urls: DataFrame, crawl: DataFrame) -> DataFrame:

@@ -17,9 +17,8 @@ from linkloom.operators.snapshot import attach, first_attempts, one_per_url
 
 def verdicts(crawl: DataFrame) -> DataFrame:
     """Registry verdict of every crawl row, by its first attempt: (url, status, notes)."""
-    judged = first_attempts(crawl).select(
-        "url",
-        verdict(*[F.col(c) for c in ("url", "final_url", "title", "html", "error")]).alias("verdict"),
+    judged = first_attempts(crawl).selectExpr(
+        "url", f"{verdict('url', 'final_url', 'title', 'html', 'error')} AS verdict"
     )
     return judged.select("url", "verdict.status", "verdict.notes")
 
@@ -35,7 +34,7 @@ def link_results(crawl: DataFrame, retries: int = 1) -> DataFrame:
     The second attempt counts if the first came to nothing and a retry is
     allowed; more than one retry is never made.
     """
-    status = http_status(F.col("title"), F.col("error"))
+    status = F.expr(http_status("title", "error"))
     attempt = F.col("attempt") if "attempt" in crawl.columns else F.lit(1)
     tried = crawl.select(
         "url",
@@ -44,7 +43,7 @@ def link_results(crawl: DataFrame, retries: int = 1) -> DataFrame:
             status.alias("status"),
             "error",
             F.when(
-                status.between(200, 399) & left_domain(F.col("url"), F.col("final_url")), F.col("final_url")
+                status.between(200, 399) & F.expr(left_domain("url", "final_url")), F.col("final_url")
             ).alias("redirect_to"),
         ).alias("result"),
     )

@@ -1,272 +1,23 @@
 """Crawled pages to structured records.
 
 A page is parsed once, in the row it came in, into an array of elements.  All
-operators below are Column expressions on that array, so a whole crawl is
-structured in one pass without a shuffle, however often a URL occurs in it.
+operators are expressions on that array, so a whole crawl is structured in
+one pass without a shuffle, however often a URL occurs in it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom import fixed_values as fixed
+from linkloom.functions import pages as page
 from linkloom.functions.health import page_wall
-from linkloom.functions.text import bind, shorten, shorten_at_blank, strip
+from linkloom.functions.sql import cases, quote
 from linkloom.functions.urls import left_domain
 from linkloom.operators.elements import elements
 from linkloom.operators.snapshot import attach, first_attempts, one_per_url
 
-LINK = "struct<text:string,url:string>"
-CODE = "struct<lang:string,source:string>"
-SECTION = "struct<level:tinyint,heading:string,content:string>"
-
-
-def _filled(text: Column) -> Column:
-    """Trimmed, with '' as null."""
-    return bind(strip(text), lambda t: F.when(t != "", t))
-
-
-def _with_tags(source: Column, *tags: str) -> Column:
-    return F.filter(source, lambda e: e["tag"].isin(*tags))
-
-
-def _first(source: Column, field: str, test) -> Column:
-    """Field of the first element that passes, even if the field is empty there."""
-    return F.get(F.filter(source, test), F.lit(0))[field]
-
-
-# --- metadata (on the elements of the whole document) ------------------------
-
-
-def meta(metas: Column, key: str) -> Column:
-    """`property` before `name`; of each only the first element counts."""
-    return F.coalesce(
-        _filled(_first(metas, "content", lambda e: e["property"] == key)),
-        _filled(_first(metas, "content", lambda e: e["name"] == key)),
-    )
-
-
-def title(source: Column, metas: Column) -> Column:
-    return F.coalesce(
-        _filled(_first(source, "text", lambda e: e["tag"] == "title")),
-        _filled(_first(metas, "content", lambda e: e["property"] == "og:title")),
-        _filled(_first(source, "text", lambda e: e["tag"] == "h1")),
-    )
-
-
-def doi(source: Column, metas: Column) -> Column:
-    def named(key: str) -> Column:
-        return _filled(_first(metas, "content", lambda e: e["name"] == key))
-
-    identifier = named("DC.identifier")
-    return F.coalesce(
-        named("citation_doi"),
-        F.when(identifier.contains("doi.org") | identifier.startswith("10."), identifier),
-        _first(source, "href", lambda e: (e["tag"] == "a") & e["href"].contains("doi.org")),
-    )
-
-
-# --- content scope -----------------------------------------------------------
-
-
-def scope(source: Column) -> Column:
-    """struct<rank, pos, end_pos> of the main content, null if the page names none."""
-
-    def rank(e: Column) -> Column:
-        tests = F.lit(None).cast("int")
-        for number, (kind, name) in reversed(list(enumerate(fixed.SCOPES))):
-            if kind == "class":
-                hit = F.array_contains(F.split(F.coalesce(e["class"], F.lit("")), r"\s+"), name)
-            else:
-                hit = F.coalesce(e[kind] == name, F.lit(False))
-            tests = F.when(hit, number).otherwise(tests)
-        return tests
-
-    named = F.filter(
-        source,
-        lambda e: e["tag"].isin(*[n for k, n in fixed.SCOPES if k == "tag"])
-        | e["class"].isNotNull()
-        | e["id"].isNotNull()
-        | e["role"].isNotNull(),
-    )
-    ranked = F.transform(
-        named, lambda e: F.struct(rank(e).alias("rank"), e["pos"].alias("pos"), e["end_pos"].alias("end_pos"))
-    )
-    return F.array_min(F.filter(ranked, lambda s: s["rank"].isNotNull()))
-
-
-def inside(source: Column, place: Column) -> Column:
-    """Elements of the main content; all of them without one."""
-    return bind(
-        place,
-        lambda scope: F.filter(
-            source, lambda e: scope.isNull() | e["pos"].between(scope["pos"], scope["end_pos"])
-        ),
-    )
-
-
-# --- content (on the elements of the scope) ----------------------------------
-
-
-def _long(source: Column, *tags: str) -> Column:
-    """array<struct<tag, pos, text>> of the tags, trimmed, very short texts left out."""
-    picked = F.transform(
-        _with_tags(source, *tags),
-        lambda e: F.struct(e["tag"].alias("tag"), e["pos"].alias("pos"), strip(e["text"]).alias("text")),
-    )
-    return F.filter(picked, lambda e: F.octet_length(e["text"]) >= fixed.SHORTEST_TEXT)
-
-
-def sections(headings: Column, paragraphs: Column, place: Column, source: Column, order: str = "tag") -> Column:
-    """array<struct<level, heading, content>>, at most fifty.
-
-    `order="tag"` gives the established result: all headings are visited
-    before all paragraphs, so the last heading of the deepest level gets every
-    paragraph.  `order="document"` lets each heading keep what follows it.
-    """
-
-    def joined(parts: Column) -> Column:
-        return F.array_join(
-            F.transform(parts, lambda p: shorten_at_blank(p["text"], fixed.PARAGRAPH_BYTES)), "\n\n"
-        )
-
-    def section(heading: Column, parts: Column) -> Column:
-        return F.struct(
-            F.substring(heading["tag"], 2, 1).cast("tinyint").alias("level"),
-            shorten_at_blank(heading["text"], fixed.HEADING_BYTES).alias("heading"),
-            joined(parts).alias("content"),
-        )
-
-    if order == "tag":
-        last = F.array(F.array_max(headings))  # by level (in the tag name), then by position
-        found = F.when(
-            (F.size(headings) > 0) & (F.size(paragraphs) > 0), F.transform(last, lambda h: section(h, paragraphs))
-        ).otherwise(F.array().cast(f"array<{SECTION}>"))
-    else:
-        ordered = F.array_sort(F.transform(headings, lambda h: F.struct(h["pos"], h["tag"], h["text"])))
-
-        def with_following(all_headings: Column, texts: Column) -> Column:
-            def following(heading: Column, number: Column) -> Column:
-                until = F.coalesce(F.get(all_headings, number + 1)["pos"], F.lit(2**31 - 1))
-                return section(
-                    heading, F.filter(texts, lambda p: (p["pos"] > heading["pos"]) & (p["pos"] < until))
-                )
-
-            return F.transform(all_headings, following)
-
-        found = F.filter(
-            bind(ordered, lambda hs: bind(paragraphs, lambda texts: with_following(hs, texts))),
-            lambda s: s["content"] != "",
-        )
-    chosen = bind(found, lambda s: F.when(F.size(s) > 0, s).otherwise(whole_text_section(place, source)))
-    return F.slice(chosen, 1, fixed.SECTIONS_PER_PAGE)
-
-
-def whole_text_section(place: Column, source: Column) -> Column:
-    """One section with the first lines of the rendered text; none for a page without text."""
-    blocks = F.transform(_with_tags(inside(source, place), "#text"), lambda e: e["text"])
-    width = fixed.FALLBACK_WIDTH
-    wrapped = F.transform(
-        blocks, lambda t: F.regexp_replace(t, rf"(\S{{{width}}}|.{{1,{width}}}(?=\s|\z))\s*(?=\S)", "$1\n")
-    )
-    content = F.array_join(
-        F.slice(F.split(F.array_join(wrapped, "\n"), "\n"), 1, fixed.FALLBACK_LINES), "\n"
-    )
-
-    def section(text: Column) -> Column:
-        return F.struct(
-            F.lit(1).cast("tinyint").alias("level"),
-            F.lit(fixed.FALLBACK_HEADING).alias("heading"),
-            shorten_at_blank(text, fixed.FALLBACK_BYTES).alias("content"),
-        )
-
-    return F.transform(F.filter(F.array(content), lambda text: text != ""), section)
-
-
-def links(anchors: Column) -> Column:
-    """First fifty distinct targets with the text of their first link."""
-    usable = F.filter(
-        F.transform(anchors, lambda e: F.struct(strip(e["text"]).alias("text"), e["href"], e["link"].alias("url"))),
-        lambda e: (e["href"] != "")
-        & ~e["href"].startswith("#")
-        & ~e["href"].startswith("javascript:")
-        & (F.octet_length(e["text"]) >= fixed.SHORTEST_TEXT),
-    )
-
-    def first_of_each(found: Column, targets: Column) -> Column:
-        def link(url: Column) -> Column:
-            text = F.get(found, (F.array_position(targets, url) - 1).cast("int"))["text"]
-            return F.struct(bind(text, lambda t: shorten(t, fixed.LINK_TEXT_BYTES)).alias("text"), url.alias("url"))
-
-        return F.transform(F.slice(F.array_distinct(targets), 1, fixed.LINKS_PER_PAGE), link)
-
-    return bind(
-        usable,
-        lambda found: bind(F.transform(found, lambda e: e["url"]), lambda targets: first_of_each(found, targets)),
-    )
-
-
-def code_blocks(source: Column) -> Column:
-    """Distinct code: `code` in `pre` first, then any `pre`.
-
-    Twenty at most, but when the first kind fills the twenty, the second may
-    still add one.
-    """
-
-    def usable(kind: Column) -> Column:
-        trimmed = F.transform(kind, lambda e: F.struct(strip(e["text"]).alias("source"), e["class"].alias("class")))
-        return F.filter(trimmed, lambda e: F.octet_length(e["source"]) >= fixed.SHORTEST_CODE)
-
-    def distinct(found: Column) -> Column:
-        return F.array_distinct(F.transform(found, lambda e: e["source"]))
-
-    def described(text: Column, found: Column) -> Column:
-        all_sources = F.transform(found, lambda e: e["source"])
-        names = F.get(found, (F.array_position(all_sources, text) - 1).cast("int"))["class"]
-        tokens = F.filter(
-            F.split(names, rf"[{fixed.WS}]+"), lambda t: t.startswith("language-") | t.startswith("lang-")
-        )
-        lang = F.regexp_replace(F.get(tokens, F.lit(0)), r"^(?:language-)*(?:lang-)*", "")
-        return F.struct(lang.alias("lang"), shorten_at_blank(text, fixed.CODE_BYTES).alias("source"))
-
-    def chosen(inner: Column, whole: Column, first: Column) -> Column:
-        room = F.when(F.size(first) == fixed.CODE_PER_PAGE, 1).otherwise(fixed.CODE_PER_PAGE - F.size(first))
-        more = F.slice(F.array_except(distinct(whole), first), F.lit(1), room)
-        return F.concat(
-            F.transform(first, lambda text: described(text, inner)),
-            F.transform(more, lambda text: described(text, whole)),
-        )
-
-    def of_page(outer: Column) -> Column:
-        in_pre = F.filter(
-            _with_tags(source, "code"),
-            lambda c: F.exists(outer, lambda p: (p["pos"] < c["pos"]) & (c["end_pos"] <= p["end_pos"])),
-        )
-        return bind(
-            usable(in_pre),
-            lambda inner: bind(
-                usable(outer),
-                lambda whole: bind(
-                    F.slice(distinct(inner), 1, fixed.CODE_PER_PAGE), lambda first: chosen(inner, whole, first)
-                ),
-            ),
-        )
-
-    return bind(_with_tags(source, "pre"), of_page)
-
-
-def size(found: Column) -> Column:
-    """Bytes of all section headings and contents."""
-    return F.aggregate(
-        found,
-        F.lit(0).cast("bigint"),
-        lambda total, s: total + F.octet_length(s["heading"]) + F.octet_length(s["content"]),
-    )
-
-
-# --- whole records -----------------------------------------------------------
-
 
 def structure(crawl: DataFrame, raw: bool = False, order: str = "tag") -> DataFrame:
     """One record per crawl row: (url, status, metadata, sections, links, code, alerts, chars).
@@ -275,66 +26,48 @@ def structure(crawl: DataFrame, raw: bool = False, order: str = "tag") -> DataFr
     come without content.  Pages behind a wall keep theirs.  With `raw` the
     content is the whole document instead of its main part.
     """
-    live = F.col("outcome").isNull()
-    judged = crawl.select(
-        "url",
-        F.when(F.col("error").isNotNull(), "dead")
-        .when(left_domain(F.col("url"), F.col("final_url")), "redirect")
-        .when(F.col("html").isNull(), "dead")
-        .alias("outcome"),
-        "error",
-        "final_url",
-        F.when(F.col("error").isNotNull() | F.col("html").isNotNull(), F.col("title")).alias("nav_title"),
-        "html",
-    ).select(
+    outcome = cases(
+        [
+            ("error IS NOT NULL", "'dead'"),
+            (left_domain("url", "final_url"), "'redirect'"),
+            ("html IS NULL", "'dead'"),
+        ]
+    )
+    trouble = cases(
+        [
+            ("outcome = 'redirect'", f"concat({quote(fixed.REDIRECT_NOTE)}, final_url)"),
+            ("outcome = 'dead'", f"coalesce(error, {quote(fixed.NO_CONTENT)})"),
+        ]
+    )
+    judged = crawl.selectExpr("url", "final_url", "title", "html", "error", f"{outcome} AS outcome").selectExpr(
         "url",
         "outcome",
-        "nav_title",
-        F.when(F.col("outcome") == "redirect", F.concat(F.lit(fixed.REDIRECT_NOTE), "final_url"))
-        .when(F.col("outcome") == "dead", F.coalesce("error", F.lit(fixed.NO_CONTENT)))
-        .alias("trouble"),
-        F.when(live, page_wall(F.col("html"))).alias("wall"),
-        F.when(live, F.col("html")).alias("html"),
+        "if(error IS NOT NULL OR html IS NOT NULL, title, NULL) AS nav_title",
+        f"{trouble} AS trouble",
+        f"if(outcome IS NULL, {page_wall('html')}, NULL) AS wall",
+        "if(outcome IS NULL, html, NULL) AS html",
     )
     parsed = judged.select("*", elements(F.col("url"), F.col("html")).alias("el")).drop("html")
-    el = F.col("el")
-    place = F.lit(None).cast("struct<rank:int,pos:int,end_pos:int>") if raw else scope(el)
-    narrowed = parsed.select(
-        "url", "outcome", "nav_title", "trouble", "wall", "el",
-        _with_tags(el, "meta").alias("metas"), place.alias("place"),
+    place = "cast(NULL AS struct<rank:int,pos:int,end_pos:int>)" if raw else page.scope("el")
+    narrowed = parsed.selectExpr("*", f"{page.with_tags('el', 'meta')} AS metas", f"{place} AS place")
+    split = narrowed.selectExpr("*", f"{page.inside('el', 'place')} AS main")
+    walls = cases(
+        [("wall = 'paywall'", quote(fixed.PAYWALL_NOTE)), ("wall = 'login'", quote(fixed.LOGIN_NOTE))]
     )
-    split = narrowed.select("*", inside(el, F.col("place")).alias("main")).select(
-        "*",
-        _long(F.col("main"), "h1", "h2", "h3", "h4", "h5", "h6").alias("headings"),
-        _long(F.col("main"), "p").alias("paragraphs"),
-        _with_tags(F.col("main"), "a").alias("anchors"),
-    )
-    metas = F.col("metas")
-    full = split.select(
+    full = split.selectExpr(
         "url",
-        F.coalesce("outcome", "wall").alias("status"),
-        F.when(live, title(el, metas)).otherwise(F.col("nav_title")).alias("title"),
-        meta(metas, "og:site_name").alias("site"),
-        F.coalesce(meta(metas, "author"), meta(metas, "article:author")).alias("author"),
-        F.coalesce(
-            meta(metas, "article:published_time"), meta(metas, "date"), meta(metas, "pubdate")
-        ).alias("date"),
-        doi(el, metas).alias("doi"),
-        F.when(
-            live, sections(F.col("headings"), F.col("paragraphs"), F.col("place"), el, order)
-        ).alias("sections"),
-        F.when(live, links(F.col("anchors"))).alias("links"),
-        F.when(live, code_blocks(F.col("main"))).alias("code"),
-        F.array_compact(
-            F.array(
-                F.col("trouble"),
-                F.when(F.col("wall") == "paywall", fixed.PAYWALL_NOTE).when(
-                    F.col("wall") == "login", fixed.LOGIN_NOTE
-                ),
-            )
-        ).alias("alerts"),
-    )
-    return full.select("*", F.coalesce(size(F.col("sections")), F.lit(0)).cast("bigint").alias("chars"))
+        "coalesce(outcome, wall) AS status",
+        f"if(outcome IS NULL, {page.title('el', 'metas')}, nav_title) AS title",
+        f"{page.meta('metas', 'og:site_name')} AS site",
+        f"{page.meta('metas', 'author', 'article:author')} AS author",
+        f"{page.meta('metas', 'article:published_time', 'date', 'pubdate')} AS date",
+        f"{page.doi('el', 'metas')} AS doi",
+        f"if(outcome IS NULL, {page.sections('el', 'main', 'place', order)}, NULL) AS sections",
+        f"if(outcome IS NULL, {page.links('main')}, NULL) AS links",
+        f"if(outcome IS NULL, {page.code_blocks('main')}, NULL) AS code",
+        f"array_compact(array(trouble, {walls})) AS alerts",
+    )
+    return full.selectExpr("*", f"{page.size('sections')} AS chars")
 
 
 def fetch(crawl: DataFrame, urls: DataFrame | None = None, raw: bool = False, order: str = "tag") -> DataFrame:

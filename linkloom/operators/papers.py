@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from linkloom import fixed_values as fixed
 from linkloom.functions import papers as paper
+from linkloom.functions.sql import cases, quote
 from linkloom.functions.text import lines
-from linkloom.operators.pages import size
+from linkloom.functions.pages import size
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -17,26 +17,28 @@ def extract(docs: DataFrame) -> DataFrame:
     A text that is missing, failed or empty gives a dead record with a note;
     a blank one is fine but has no sections.
     """
-    text = F.col("text")
-    failure = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
-    trouble = F.when(
-        text.isNull(),
-        F.when(failure.isNotNull(), F.concat(F.lit(fixed.NO_EXTRACTION), failure)).otherwise(fixed.NO_FILE),
-    ).when(text == "", fixed.NO_TEXT)
-    judged = docs.select("path", trouble.alias("trouble"), F.when(text != "", text).alias("text"))
-    alive = F.col("trouble").isNull()
-    raw_lines = F.col("raw_lines")
-    fields = judged.select("*", lines(text).alias("raw_lines")).select(
-        F.concat(F.lit("file://"), "path").alias("url"),
-        F.when(alive, "ok").otherwise("dead").alias("status"),
-        F.when(alive, paper.title(raw_lines, F.col("path"))).alias("title"),
-        F.lit(None).cast("string").alias("site"),
-        paper.author(text).alias("author"),
-        paper.date(text).alias("date"),
-        paper.doi(text).alias("doi"),
-        paper.sections(raw_lines).alias("sections"),
-        paper.links(text).alias("links"),
-        paper.code_islands(raw_lines).alias("code"),
-        F.array_compact(F.array("trouble")).alias("alerts"),
+    failed = f"concat({quote(fixed.NO_EXTRACTION)}, error)" if "error" in docs.columns else "NULL"
+    trouble = cases(
+        [
+            ("text IS NULL", f"coalesce({failed}, {quote(fixed.NO_FILE)})"),
+            ("text = ''", quote(fixed.NO_TEXT)),
+        ],
+        "cast(NULL AS string)",
     )
-    return fields.select("*", F.coalesce(size(F.col("sections")), F.lit(0)).cast("bigint").alias("chars"))
+    judged = docs.selectExpr(
+        "path", f"{trouble} AS trouble", "nullif(text, '') AS text", f"{lines("nullif(text, '')")} AS raw_lines"
+    )
+    fields = judged.selectExpr(
+        "concat('file://', path) AS url",
+        "if(trouble IS NULL, 'ok', 'dead') AS status",
+        f"if(trouble IS NULL, {paper.title('raw_lines', 'path')}, NULL) AS title",
+        "cast(NULL AS string) AS site",
+        f"{paper.author('text')} AS author",
+        f"{paper.date('text')} AS date",
+        f"{paper.doi('text')} AS doi",
+        f"{paper.sections('raw_lines')} AS sections",
+        f"{paper.links('text')} AS links",
+        f"{paper.code_islands('raw_lines')} AS code",
+        "array_compact(array(trouble)) AS alerts",
+    )
+    return fields.selectExpr("*", f"{size('sections')} AS chars")

@@ -59,7 +59,7 @@ def upsert(existing: DataFrame, marked: DataFrame) -> DataFrame:
         .when(keeps_title, F.col("title"))
         .otherwise(F.col("new_title"))
         .alias("title"),
-        F.when(is_new, categories(F.col("first_path"))).otherwise(F.col("categories")).alias("categories"),
+        F.when(is_new, F.expr(categories("first_path"))).otherwise(F.col("categories")).alias("categories"),
         F.when(is_new, F.lit("pending")).otherwise(F.col("status")).alias("status"),
         "verified",
         "notes",

@@ -17,7 +17,7 @@ from linkloom.sources.readers import crawl_of_pages, url_lines
 from linkloom.sources.records import json_object
 
 CHECKED_AT = dt.datetime(2024, 5, 6, 7, 8, 9)
-WANTED = ["research", "api", "testing"]
+WANTED = ["architecture", "api"]
 
 
 def _text(items: Column) -> Column:
@@ -127,9 +127,9 @@ def url_hosts(spark: SparkSession, sf: str) -> DataFrame:
     rows = first_attempts(view(spark, sf, "crawl"))
     return rows.select(
         "url",
-        url_functions.host(F.col("url")).alias("host"),
-        url_functions.host(F.col("final_url")).alias("final_host"),
-        url_functions.left_domain(F.col("url"), F.col("final_url")).alias("left_domain"),
+        F.expr(url_functions.host("url")).alias("host"),
+        F.expr(url_functions.host("final_url")).alias("final_host"),
+        F.expr(url_functions.left_domain("url", "final_url")).alias("left_domain"),
     )
 
 
@@ -148,8 +148,8 @@ def error_class(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "crawl")
     return rows.select(
         "url", F.col("attempt").cast("bigint").alias("attempt"),
-        judge.http_status(F.col("title"), F.col("error")).cast("bigint").alias("status"),
-        judge.error_class(F.col("error")).alias("error_class"),
+        F.expr(judge.http_status("title", "error")).cast("bigint").alias("status"),
+        F.expr(judge.error_class("error")).alias("error_class"),
     )
 
 
@@ -196,14 +196,12 @@ def verify_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def amounts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "corpus").select("path", F.posexplode(fact.amounts(F.col("content"))).alias("pos", "amount"))
+    rows = view(spark, sf, "corpus").selectExpr("path", f"posexplode({fact.amounts('content')}) AS (pos, amount)")
     return rows.select("path", F.col("pos").cast("bigint").alias("pos"), "amount.value", "amount.unit", "amount.raw")
 
 
 def percentages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "corpus").select(
-        "path", F.posexplode(fact.percentages(F.col("content"))).alias("pos", "percentage")
-    )
+    rows = view(spark, sf, "corpus").selectExpr("path", f"posexplode({fact.percentages('content')}) AS (pos, percentage)")
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 

@@ -92,7 +92,7 @@ def urls_of(spark: SparkSession, url: str | None = None, lines: str | None = Non
     if document is None:
         raise ValueError("give a URL, a file with one URL per line, or a document")
     text = spark.read.option("wholetext", True).text(document)
-    return text.select(F.explode(urls_in(F.col("value"))).alias("url"))
+    return text.select(F.expr(f"explode({urls_in('value')})").alias("url"))
 
 
 def crawl(spark: SparkSession, path: str) -> DataFrame:
