@@ -12,7 +12,7 @@ WHITE_SPACE = "".join(
               0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 # The same set as the inside of a character class (Java and RE2 both read it).
-WS = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS = r"\s\x{0B}\x{85}\p{Z}"
 
 # --- registry --------------------------------------------------------------
 STATUSES = ["pending", "ok", "dead", "redirect", "paywall", "login"]

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import bare_urls, categories, markdown_links, mentions, urls_in
+from linkloom.operators.unfold import unfold
 
 
 def found_urls(files: DataFrame) -> DataFrame:
     """Distinct URLs of every file in first-seen order: (path, pos, url)."""
-    return files.selectExpr("path", f"posexplode({urls_in('content')}) AS (pos, url)")
+    return unfold(files, ["path"], urls_in("content"), "url")
 
 
 def citations(files: DataFrame) -> DataFrame:
@@ -20,13 +21,13 @@ def citations(files: DataFrame) -> DataFrame:
     `arg_no` is the place of the file's pattern among the scanned ones.
     """
     arg_no = "arg_no" if "arg_no" in files.columns else "0 AS arg_no"
-    found = files.selectExpr(arg_no, "path", f"posexplode({mentions('content')}) AS (pos, mention)")
+    found = unfold(files, [arg_no, "path"], mentions("content"), "mention")
     return found.select("arg_no", "path", "pos", "mention.url", "mention.title")
 
 
 def unlinked_urls(files: DataFrame) -> DataFrame:
     """Bare URLs that no link of the same file has: (path, url)."""
-    return files.selectExpr("path", f"explode({bare_urls('content', markdown_links('content'))}) AS url")
+    return unfold(files, ["path"], bare_urls("content", markdown_links("content")), "url").drop("pos")
 
 
 def cited_in(found: DataFrame) -> DataFrame:

@@ -10,11 +10,12 @@ from linkloom.functions import facts
 from linkloom.functions.sql import quote
 from linkloom.functions.urls import fact_type, fact_urls, user_name
 from linkloom.operators.snapshot import attach, first_attempts, one_per_url
+from linkloom.operators.unfold import unfold
 
 
 def listed_urls(files: DataFrame) -> DataFrame:
     """URLs with facts in every file: (path, pos, url, type)."""
-    found = files.selectExpr("path", f"posexplode({fact_urls('content')}) AS (pos, found)")
+    found = unfold(files, ["path"], fact_urls("content"), "found")
     return found.select("path", "pos", "found.url", "found.type")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom import fixed_values as fixed
 from linkloom.functions.urls import categories
+from linkloom.operators.staging import staged
 from linkloom.schemas import CITED_IN, REFERENCES
 
 
@@ -74,8 +75,12 @@ def new_citations(marked: DataFrame, scan: int) -> DataFrame:
 
 
 def merge(existing: Registry, cited: DataFrame, scan: int) -> Registry:
-    """Registry after a scan.  To store it, see `linkloom.plans.commands.scan`."""
-    marked = mark_known(cited, existing.cited_in)
+    """Registry after a scan.  To store it, see `linkloom.plans.commands.scan`.
+
+    The marked pairs are staged: both tables come from them, and searching
+    the scanned text a second time would cost far more.
+    """
+    marked = staged(mark_known(cited, existing.cited_in))
     return Registry(
         upsert(existing.references, marked),
         existing.cited_in.unionByName(new_citations(marked, scan)),

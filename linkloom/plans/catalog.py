@@ -12,6 +12,7 @@ from linkloom.functions import health as judge
 from linkloom.functions import urls as url_functions
 from linkloom.operators import citations, facts, health, pages, papers, registry, rollups
 from linkloom.operators.snapshot import first_attempts
+from linkloom.operators.unfold import unfold
 from linkloom.plans.tables import spread, table, view
 from linkloom.sources.readers import crawl_of_pages, url_lines
 from linkloom.sources.records import json_object
@@ -120,7 +121,7 @@ def registry_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def url_list(spark: SparkSession, sf: str) -> DataFrame:
-    return url_lines(view(spark, sf, "corpus").select(F.explode(F.split("content", "\n")).alias("value")))
+    return url_lines(unfold(view(spark, sf, "corpus"), ["path"], "split(content, '\\n')", "value"))
 
 
 def url_hosts(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,12 +197,12 @@ def verify_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def amounts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "corpus").selectExpr("path", f"posexplode({fact.amounts('content')}) AS (pos, amount)")
+    rows = unfold(view(spark, sf, "corpus"), ["path"], fact.amounts("content"), "amount")
     return rows.select("path", F.col("pos").cast("bigint").alias("pos"), "amount.value", "amount.unit", "amount.raw")
 
 
 def percentages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "corpus").selectExpr("path", f"posexplode({fact.percentages('content')}) AS (pos, percentage)")
+    rows = unfold(view(spark, sf, "corpus"), ["path"], fact.percentages("content"), "percentage")
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -248,11 +249,11 @@ def doc_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_links(spark: SparkSession, sf: str) -> DataFrame:
-    return _papers(spark, sf).select(F.col("url").alias("doc"), F.explode("links").alias("link")).select("doc", "link.*")
+    return unfold(_papers(spark, sf), ["url AS doc"], "links", "link").select("doc", "link.*")
 
 
 def doc_sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _papers(spark, sf).select("url", F.posexplode("sections").alias("pos", "section"))
+    rows = unfold(_papers(spark, sf), ["url"], "sections", "section")
     return rows.select(
         "url", F.col("pos").cast("bigint").alias("pos"), F.col("section.level").cast("bigint").alias("level"),
         "section.heading", "section.content",
@@ -260,7 +261,7 @@ def doc_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_code_islands(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _papers(spark, sf).select("url", F.posexplode("code").alias("pos", "code"))
+    rows = unfold(_papers(spark, sf), ["url"], "code", "code")
     return rows.select("url", F.col("pos").cast("bigint").alias("pos"), "code.lang", "code.source")
 
 
@@ -289,7 +290,7 @@ def page_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plain_page_links(rows: DataFrame) -> DataFrame:
-    rows = rows.select(F.col("url").alias("page"), F.posexplode("links").alias("pos", "link"))
+    rows = unfold(rows, ["url AS page"], "links", "link")
     return rows.select("page", F.col("pos").cast("bigint").alias("pos"), "link.text", "link.url")
 
 
@@ -302,7 +303,7 @@ def page_links_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plain_sections(rows: DataFrame) -> DataFrame:
-    rows = rows.select("url", "chars", F.posexplode("sections").alias("pos", "section"))
+    rows = unfold(rows, ["url", "chars"], "sections", "section")
     return rows.select(
         "url", F.col("pos").cast("bigint").alias("pos"), F.col("section.level").cast("bigint").alias("level"),
         "section.heading", "section.content", "chars",
@@ -324,7 +325,7 @@ def page_text_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_code(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rich(spark, sf).select("url", F.posexplode("code").alias("pos", "code"))
+    rows = unfold(_rich(spark, sf), ["url"], "code", "code")
     return rows.select("url", F.col("pos").cast("bigint").alias("pos"), "code.lang", "code.source")
 
 

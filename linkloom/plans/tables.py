@@ -34,6 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = {t: spread(table(spark, sf_dir, t)) for t in _TABLES_OF[name]}
+    main, *others = _TABLES_OF[name]  # the main one holds the text
+    rows = {main: spread(table(spark, sf_dir, main)), **{t: table(spark, sf_dir, t) for t in others}}
     escaped = VIEWS[name].replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(r"\b(FROM|JOIN) (documents|pages|conversations)\b", r"\1 {\2}", escaped), **rows)
