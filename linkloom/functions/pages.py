@@ -146,7 +146,7 @@ def whole_text_section(elements: str, place: str) -> str:
     width = fixed.FALLBACK_WIDTH
     wrapped = each(
         with_tags(inside(elements, place), "#text"),
-        lambda e: replace_all(f"{e}.text", rf"(\S{{{width}}}|.{{1,{width}}}(?=\s|\z))\s*(?=\S)", "$1\n"),
+        lambda e: replace_all(f"{e}.text", rf"(?>(\S{{{width}}}|.{{1,{width}}}(?=\s|\z)))\s*+(?=\S)", "$1\n"),
     )
     content = f"array_join(slice(split(array_join({wrapped}, '\n'), '\n'), 1, {fixed.FALLBACK_LINES}), '\n')"
     return each(
