@@ -14,14 +14,15 @@ def found_urls(files: DataFrame) -> DataFrame:
     return unfold(files, ["path"], urls_in("content"), "url")
 
 
-def citations(files: DataFrame) -> DataFrame:
+def citations(files: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Every mention of a URL: (arg_no, path, pos, url, title).
 
     Links come first and bare URLs, which have no title, after them.
-    `arg_no` is the place of the file's pattern among the scanned ones.
+    `arg_no` is the place of the file's pattern among the scanned ones.  With
+    `keep_empty`, a file without URLs gives one row without them.
     """
     arg_no = "arg_no" if "arg_no" in files.columns else "0 AS arg_no"
-    found = unfold(files, [arg_no, "path"], mentions("content"), "mention")
+    found = unfold(files, [arg_no, "path"], mentions("content"), "mention", keep_empty)
     return found.select("arg_no", "path", "pos", "mention.url", "mention.title")
 
 

@@ -9,7 +9,7 @@ from linkloom import fixed_values as fixed
 from linkloom.functions import facts
 from linkloom.functions.sql import quote
 from linkloom.functions.urls import fact_type, fact_urls, user_name
-from linkloom.operators.snapshot import attach, first_attempts, one_per_url
+from linkloom.operators.snapshot import UrlList, first_attempts
 from linkloom.operators.unfold import unfold
 
 
@@ -72,5 +72,5 @@ def refresh(urls: DataFrame, crawl: DataFrame) -> DataFrame:
     few short values instead of HTML.  `market` pages are reported as
     `generic`.
     """
-    listed = typed(urls).select("url", "type")
-    return _by_type(attach(listed, one_per_url(_everything(first_attempts(crawl)))))
+    listed = UrlList(typed(urls).select("url", "type"))
+    return _by_type(listed.attach(_everything(listed.restrict(first_attempts(crawl)))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkloom import fixed_values as fixed
 from linkloom.functions.health import http_status, verdict
 from linkloom.functions.urls import left_domain
-from linkloom.operators.snapshot import attach, first_attempts, one_per_url
+from linkloom.operators.snapshot import UrlList, first_attempts, one_per_url
 
 
 def verdicts(crawl: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ def link_results(crawl: DataFrame, retries: int = 1) -> DataFrame:
 
 def check_links(urls: DataFrame, crawl: DataFrame, retries: int = 1) -> DataFrame:
     """A result for each entry of a URL list; what was not crawled has failed."""
-    joined = attach(urls, link_results(crawl, retries))
+    listed = UrlList(urls)
+    joined = listed.attach(link_results(listed.restrict(crawl), retries))
     missing = F.col("status").isNull()
     return joined.withColumns(
         {

@@ -16,7 +16,7 @@ from linkloom.functions.health import page_wall
 from linkloom.functions.sql import cases, quote
 from linkloom.functions.urls import left_domain
 from linkloom.operators.elements import elements
-from linkloom.operators.snapshot import attach, first_attempts, one_per_url
+from linkloom.operators.snapshot import UrlList, first_attempts
 
 
 def structure(crawl: DataFrame, raw: bool = False, order: str = "tag") -> DataFrame:
@@ -75,10 +75,11 @@ def fetch(crawl: DataFrame, urls: DataFrame | None = None, raw: bool = False, or
 
     A listed URL without a crawl row is dead with a note that says so.
     """
-    records = structure(first_attempts(crawl), raw, order)
+    rows = first_attempts(crawl)
     if urls is None:
-        return records
-    joined = attach(urls, one_per_url(records))
+        return structure(rows, raw, order)
+    listed = UrlList(urls)
+    joined = listed.attach(structure(listed.restrict(rows), raw, order))
     missing = F.col("status").isNull()
     return joined.withColumns(
         {

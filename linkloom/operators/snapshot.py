@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.staging import staged
+
 COPIES_PER_SLICE = 100_000
+BROADCAST_URLS = 50_000  # about five megabytes
 
 
 def first_attempts(crawl: DataFrame) -> DataFrame:
@@ -13,35 +16,63 @@ def first_attempts(crawl: DataFrame) -> DataFrame:
     return crawl.where(F.col("attempt") == 1).drop("attempt") if "attempt" in crawl.columns else crawl
 
 
-def one_per_url(results: DataFrame) -> DataFrame:
+def one_per_url(results: DataFrame, *more_keys: str) -> DataFrame:
     """One result per URL: the greatest one, should a snapshot hold a URL twice.
 
     The maximum is taken map-side first, and its shuffle is the one that a
-    join on the URL needs anyway.
+    join on the same key needs anyway.
     """
-    rest = [c for c in results.columns if c != "url"]
-    return results.groupBy("url").agg(F.max(F.struct(*rest)).alias("__best")).select("url", "__best.*")
+    keys = ["url", *more_keys]
+    rest = [c for c in results.columns if c not in keys]
+    return results.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__best")).select(*keys, "__best.*")
 
 
-def attach(urls: DataFrame, results: DataFrame, copies_per_slice: int = COPIES_PER_SLICE) -> DataFrame:
-    """Left join of a URL list to per-URL results: one output row per list entry.
+class UrlList:
+    """A list of URLs, duplicates and all, to be joined with results by URL.
 
     A list may name one URL in a third of its rows.  So equal entries are
-    counted first (map-side), the join sees each once, and the copies are made
-    afterwards: in slices that are spread over all tasks, so that no task
-    writes more than `copies_per_slice` copies of one result.  Besides `url`,
-    a list should have columns with few values per URL only, such as a type.
+    counted first (map-side), joins see each once, and copies are made behind
+    them.  Besides `url`, a list should have columns with few values per URL
+    only, such as a type.
     """
-    counted = urls.groupBy(*urls.columns).agg(F.count("*").alias("__n"))
-    last = F.floor((F.col("__n") - 1) / copies_per_slice)
-    sliced = (
-        counted.join(results, "url", "left")
-        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("__slice"))
-        .withColumn(
-            "__copies",
-            F.least(F.lit(copies_per_slice).cast("bigint"), F.col("__n") - F.col("__slice") * copies_per_slice),
-        )
-        .repartition("url", "__slice")
-    )
-    copied = sliced.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__copy"))
-    return copied.drop("__n", "__slice", "__copies", "__copy")
+
+    def __init__(self, urls: DataFrame):
+        self.counted = staged(urls.groupBy(*urls.columns).agg(F.count("*").alias("__n")))
+        self.rows, most = self.counted.agg(F.count("*"), F.max("__n")).first()
+        self.most = most or 0
+
+    def restrict(self, crawl: DataFrame) -> DataFrame:
+        """Leave out crawl rows that a short list does not name, before any work on them.
+
+        A long list is no filter: sending it, or shuffling HTML to meet it,
+        would cost more than the work it saves.
+        """
+        if self.rows > BROADCAST_URLS:
+            return crawl
+        return crawl.join(F.broadcast(self.counted.select("url").distinct()), "url", "left_semi")
+
+    def attach(self, results: DataFrame, copies_per_slice: int = COPIES_PER_SLICE) -> DataFrame:
+        """Left join: one output row per list entry.
+
+        Only if some URL needs more than `copies_per_slice` copies do both
+        sides get a second key, so that the copies of one result come from
+        many tasks.
+        """
+        counted, keys = self.counted, ["url"]
+        if self.most > copies_per_slice:
+            keys = ["url", "__slice"]
+            last = F.floor((F.col("__n") - 1) / copies_per_slice)
+            crowded = counted.where(F.col("__n") > copies_per_slice).groupBy("url").agg(F.max(last).alias("__last"))
+            results = results.join(crowded, "url", "left").select(
+                *results.columns, _numbered(F.coalesce("__last", F.lit(0))).alias("__slice")
+            )
+            left_over = F.col("__n") - F.col("__slice") * copies_per_slice
+            counted = counted.select("*", _numbered(last).alias("__slice")).withColumn(
+                "__n", F.least(F.lit(copies_per_slice).cast("bigint"), left_over)
+            )
+        joined = counted.join(one_per_url(results, *keys[1:]), keys, "left")
+        return joined.select("*", _numbered(F.col("__n") - 1).alias("__copy")).drop("__n", "__slice", "__copy")
+
+
+def _numbered(last: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators import citations, facts, health, pages, papers, registry, rollups
+from linkloom.operators.staging import staged
 from linkloom.sources.registry_store import RegistryStore
 
 
@@ -15,17 +16,18 @@ def scan(store: RegistryStore, files: DataFrame, today: dt.date, fresh: bool = F
     """Scan files into the registry and store it as a new version.
 
     Returns one row: file, scanned_files, total_urls, new_urls, updated_urls.
-    The marked pairs are stored first and read back, so that text is searched
-    once and a lost executor costs no second search.
+    What the files mention is staged, so that text is read and searched once,
+    also when executors are lost later on.  Every file has one first mention,
+    or one row without any: those rows count the files.
     """
     spark, held = store.spark, store.latest()
     number = store.next_number()
     first_scan = number if held is None or fresh else held.first_scan
     existing = registry.empty(spark) if held is None or fresh else store.read()
-    marked = registry.mark_known(citations.cited_in(citations.citations(files)), existing.cited_in)
-    place = f"{store.root}/marked/scan={number}"
-    marked.write.mode("overwrite").parquet(place)
-    marked = spark.read.parquet(place)
+    mentions = staged(citations.citations(files, keep_empty=True))
+    scanned = mentions.where("coalesce(pos, 0) = 0").count()
+    cited = citations.cited_in(mentions.where("pos IS NOT NULL"))
+    marked = staged(registry.mark_known(cited, existing.cited_in))
     store.write_pairs(registry.new_citations(marked, number), number)
     merged = registry.upsert(existing.references, marked)
     counters = store.write_references(merged, number)
@@ -34,7 +36,7 @@ def scan(store: RegistryStore, files: DataFrame, today: dt.date, fresh: bool = F
         None if held is None or fresh else held.last_verified,
     )
     return rollups.scan_totals(counters).select(
-        F.lit(store.root).alias("file"), F.lit(files.count()).alias("scanned_files"), "*"
+        F.lit(store.root).alias("file"), F.lit(scanned).alias("scanned_files"), "*"
     )
 
 

@@ -48,14 +48,11 @@ WITH attempts AS (
          WHEN page_id % 9 = 0 THEN concat(html, '<p>Please sign in</p>') ELSE html END AS html,
     CASE WHEN page_id % 13 = 0 THEN 'net::ERR_NAME_NOT_RESOLVED'
          WHEN page_id % 29 = 0 THEN 'net::ERR_CERT_DATE_INVALID' END AS error
-  FROM pages)
+  FROM (SELECT page_id, html, CASE WHEN page_id = 1 THEN '{HOT_URL}' ELSE url END AS url FROM pages) p)
 SELECT url, final_url, title, html, error, 1 AS attempt FROM attempts
 UNION ALL
 SELECT url, final_url, title, html, CASE WHEN page_id % 13 <> 0 THEN error END AS error, 2 AS attempt
-FROM attempts WHERE error IS NOT NULL
-UNION ALL
-SELECT '{HOT_URL}' AS url, '{HOT_URL}' AS final_url, 'Handbook' AS title, '<h1>Handbook</h1>' AS html,
-  cast(NULL AS string) AS error, 1 AS attempt""",
+FROM attempts WHERE error IS NOT NULL""",
     "facts": """
 SELECT concat(CASE page_id % 4 WHEN 0 THEN 'https://instagram.com/user' WHEN 1 THEN 'https://www.statista.com/s/'
              WHEN 2 THEN 'https://techcrunch.com/' ELSE 'https://plain.example.org/' END,

@@ -37,13 +37,13 @@ def markdown_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
 def _one_pattern(spark: SparkSession, pattern: str) -> DataFrame | None:
     place = spark._jvm.org.apache.hadoop.fs.Path(pattern.split("**")[0] or ".")
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if "**" in pattern:
         reader = reader.option("recursiveFileLookup", True)
     elif "*" not in pattern and files.exists(place) and files.getFileStatus(place).isDirectory():
         reader = reader.option("pathGlobFilter", "*.{md,markdown}")
     try:
-        rows = reader.text(pattern.split("**")[0] or ".")
+        rows = reader.text(pattern.split("**")[0] or ".", wholetext=True)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -91,7 +91,7 @@ def urls_of(spark: SparkSession, url: str | None = None, lines: str | None = Non
         return url_list(spark, lines)
     if document is None:
         raise ValueError("give a URL, a file with one URL per line, or a document")
-    text = spark.read.option("wholetext", True).text(document)
+    text = spark.read.text(document, wholetext=True)
     return text.select(F.expr(f"explode({urls_in('value')})").alias("url"))
 
 

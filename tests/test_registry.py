@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from linkloom.operators import citations, facts, health, registry, rollups
-from linkloom.operators.snapshot import attach
+from linkloom.operators.snapshot import UrlList
 from linkloom.plans import commands
 from linkloom.sources.readers import NoFilesError, crawl, markdown_files, markdown_table, url_list, urls_of
 from linkloom.sources.records import json_lines, write_json_lines
@@ -98,10 +98,13 @@ def test_nested_keeps_every_file_of_a_crowded_url(spark):
 def test_attach_copies_a_hot_result_in_slices(spark):
     urls = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', concat('c', id)) AS url")
     results = spark.createDataFrame([("hot", 1), ("c1", 2), ("other", 3)], "url string, n int")
-    rows = attach(urls, results, copies_per_slice=7).collect()
+    rows = UrlList(urls).attach(results, copies_per_slice=7).collect()
     assert len(rows) == 1000
     assert sum(r.n == 1 for r in rows) == 334 and [r.url for r in rows if r.n == 2] == ["c1"]
     assert {r.url for r in rows} == {r.url for r in urls.collect()}
+    assert sorted(rows) == sorted(UrlList(urls).attach(results).collect())
+    assert sorted(r.url for r in UrlList(urls).restrict(results).collect()) == ["c1", "hot"]
+    assert UrlList(urls.limit(0)).attach(results).collect() == []
 
 
 def test_verdict_cascade_and_selected_update(spark):
