@@ -7,6 +7,14 @@ from linkloom.functions.sql import each, record
 from linkloom.functions.text import all_matches, extract, first_group, strip
 
 
+def _from_run_start(pattern: str) -> str:
+    """The same pattern, tried once per run of digits instead of at every digit.
+
+    A match that fails at the start of a run fails at its other digits too.
+    """
+    return pattern.replace("([0-9,.]+", "(?<![0-9,.])([0-9,.]++")
+
+
 def amounts(text: str) -> str:
     """First ten dollar amounts: array<struct<value, unit, raw>>, unit null if none is given."""
     return each(
@@ -19,12 +27,12 @@ def amounts(text: str) -> str:
 
 def percentages(text: str) -> str:
     """First ten percentages, as written."""
-    return f"slice({all_matches(text, fixed.PERCENTAGE)}, 1, {fixed.FACTS_PER_TEXT})"
+    return f"slice({all_matches(text, _from_run_start(fixed.PERCENTAGE))}, 1, {fixed.FACTS_PER_TEXT})"
 
 
 def followers(text: str) -> str:
     """First follower count, null without one."""
-    return first_group(text, fixed.FOLLOWERS)
+    return first_group(text, _from_run_start(fixed.FOLLOWERS))
 
 
 def quick_title(html: str) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from linkloom import fixed_values as fixed
-from linkloom.functions.sql import any_of, array_of, cases, each, let, quote, record
+from linkloom.functions.sql import any_of, array_of, cases, each, keep, let, quote, record
 from linkloom.functions.text import all_matches, contains_any, extract, matches, replace_all
 
 
@@ -29,8 +29,13 @@ def urls_in_paper(text: str) -> str:
 def markdown_links(text: str) -> str:
     """`[title](url)` links in order, duplicates kept: array<struct<url, title>>."""
     # One search of the whole text; the groups are then read from the short hits.
+    # Where a bracket starts no link, the second branch passes over all up to
+    # its end.  No bracket in between can start one either, and trying them
+    # all would take quadratic time on a text with many open brackets.
+    link_or_bracket = rf"{fixed.MARKDOWN_LINK}|\[[^\]]*+(?:\]|\z)"
+    hits = keep(all_matches(text, link_or_bracket), lambda hit: f"contains({hit}, '](http')")
     return each(
-        all_matches(text, fixed.MARKDOWN_LINK),
+        hits,
         lambda hit: record(
             url=drop_tail(extract(hit, fixed.MARKDOWN_LINK, 2)), title=extract(hit, fixed.MARKDOWN_LINK, 1)
         ),

@@ -30,10 +30,10 @@ ELEMENTS = T.ArrayType(
 )
 _ARROW_ELEMENT = pa.struct([(f, pa.int32() if f in _NUMBERS else pa.string()) for f in _FIELDS])
 
-_ATTRIBUTE = r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?+"""
+_ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>)))?+(?!\s*=)"""
 _MARKUP = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>?"
-    rf"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|{_ATTRIBUTE.replace('(', '(?:').replace('(?:?:', '(?:')})*+)(?P<end>>|\Z)",
+    rf"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|{re.sub(r'[(](?![?])', '(?:', _ATTRIBUTE)})*+)(?P<end>>|\Z)",
     re.S,
 )
 _ATTRIBUTES = re.compile(_ATTRIBUTE)

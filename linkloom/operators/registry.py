@@ -193,3 +193,12 @@ def nested(registry: Registry, paths_per_row: int = 10_000, shares: int = 1024)
     )
     # References repeat only for crowded URLs, once per part.
     return registry.references.join(grouped, "url", "left")
+
+
+def records(registry: Registry) -> DataFrame:
+    """Whole registry entries in field order, as the JSON sink writes them.
+
+    A crowded URL gives several records, each with a share of its files.
+    """
+    fields = ["url", "title", "categories", "cited_in", "status", "verified", "notes"]
+    return nested(registry).select(*fields)

@@ -45,7 +45,7 @@ def verify_references(
 ) -> DataFrame:
     """Judge the selected references by a crawl; store the outcome unless `dry_run`.
 
-    Returns one row: the summary with file and timestamp, or no row if
+    Returns one row: summary (the counts), file and timestamp, or no row if
     nothing was selected (nothing is stored then).
     """
     held = store.latest()
@@ -61,8 +61,9 @@ def verify_references(
             # pairs of later scans would get this number too: an empty share keeps it taken
             store.write_pairs(registry.empty(store.spark).cited_in, number)
             store.commit(number, held.first_scan, held.created, at)
-    return rollups.verify_totals(applied).select(
-        "*", F.lit(store.root).alias("file"), moment.alias("timestamp")
+    totals = rollups.verify_totals(applied)
+    return totals.select(
+        F.struct(*totals.columns).alias("summary"), F.lit(store.root).alias("file"), moment.alias("timestamp")
     )
 
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from linkloom import fixed_values as fixed
 from linkloom.functions.urls import urls_in
-from linkloom.schemas import CRAWL, MARKDOWN, TEXTDOCS
+from linkloom.operators.registry import Registry
+from linkloom.operators.unfold import unfold
+from linkloom.schemas import CRAWL, MARKDOWN, REFERENCES, TEXTDOCS
 
 
 class NoFilesError(ValueError):
-    """None of the patterns names a file."""
+    """None of the patterns names a file.  The text is the error record."""
 
 
 def markdown_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
@@ -30,7 +35,7 @@ def markdown_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
         if part is not None:
             parts.append(part.select("path", "content", F.lit(number).alias("arg_no")))
     if not parts:
-        raise NoFilesError("No files found matching patterns")
+        raise NoFilesError(json.dumps({"error": "no_files", "message": "No files found matching patterns"}))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -109,6 +114,24 @@ def crawl_of_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def registry_records(spark: SparkSession, path: str) -> Registry:
+    """Registry from JSON lines, one record with its `cited_in` list each.
+
+    A line that is no record, or a status that is none, is an error.
+    """
+    schema = T.StructType([*REFERENCES, T.StructField("cited_in", T.ArrayType(T.StringType()))])
+    rows = spark.read.schema(schema).json(path, mode="FAILFAST")
+    status = F.when(F.col("status").isin(fixed.STATUSES), F.col("status")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce("status", F.lit("none"))))
+    )
+    pairs = unfold(rows, ["url"], "cited_in", "path")
+    return Registry(
+        rows.withColumn("status", status).drop("cited_in"),
+        # the place in the list is kept as the order of the files
+        pairs.select("url", "path", F.col("pos").alias("arg_no"), F.lit(0).alias("scan")),
+    )
+
+
 def papers(spark: SparkSession, path: str) -> DataFrame:
     """Extracted paper texts."""
     return spark.read.schema(TEXTDOCS).parquet(path)

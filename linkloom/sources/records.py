@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHOWS_NULL = {"amounts", "last_verified"}  # a null inside or in place of these is printed
+_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"}
 
 
 def json_object(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -20,7 +21,7 @@ def json_object(df: DataFrame, columns: list[str] | None = None) -> Column:
         if isinstance(df.schema[name].dataType, T.ArrayType):
             value = F.when(F.size(value) > 0, value)
         keep_nulls = name in SHOWS_NULL
-        text = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": str(not keep_nulls).lower()})
+        text = F.to_json(F.struct(value.alias(name)), {**_FORMAT, "ignoreNullFields": str(not keep_nulls).lower()})
         if keep_nulls and name != "last_verified":
             text = F.when(value.isNotNull(), text)
         fields.append(F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit("")))

@@ -12,6 +12,7 @@ replaced by the next run.  `cited_in` only grows by what is new.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -24,7 +25,7 @@ from linkloom.schemas import CITED_IN, META, REFERENCES
 
 
 class RegistryExistsError(FileExistsError):
-    pass
+    """A registry is there already.  The text is the error record."""
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,8 @@ class RegistryStore:
     def create(self, today: dt.date, force: bool = False) -> Version:
         """New registry with one example; refuses to replace one unless forced."""
         if self.latest() is not None and not force:
-            raise RegistryExistsError(f"{self.root} already exists")
+            message = f"{self.root} already exists. Use force to overwrite."
+            raise RegistryExistsError(json.dumps({"error": "file_exists", "message": message, "file": self.root}))
         number = self.next_number()
         example = (fixed.EXAMPLE_URL, fixed.EXAMPLE_TITLE, [fixed.EXAMPLE_CATEGORY], "pending", None, None)
         pair = (fixed.EXAMPLE_URL, fixed.EXAMPLE_FILE, 0, number)

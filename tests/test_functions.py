@@ -1,6 +1,7 @@
 """Expressions on literal texts."""
 
 import random
+import time
 
 import pytest
 
@@ -247,6 +248,22 @@ def test_language(value, source, lang):
     assert value(papers.language("t"), t=source) == lang
 
 
+def test_brackets_that_start_no_link(value):
+    t = "[a][b](https://b.org) [] [c [d](https://d.org) [e](ftp://e) [f](https://f.org ) [g] (https://g.org) [z (https://z.org)"
+    got = [(l.url, l.title) for l in value(urls.markdown_links("t"), t=t)]
+    assert got == [("https://b.org", "b"), ("https://d.org", "c [d")]
+
+
+def test_long_runs_take_no_quadratic_time(value):
+    digits, brackets = "1,." * 50_000, "[" * 150_000
+    start = time.monotonic()
+    assert value(facts.percentages("t"), t=digits + "x 5%") == ["5%"]
+    assert value(facts.followers("t"), t=digits + " 7K followers") == "7K"
+    assert value(urls.markdown_links("t"), t=brackets) == []
+    assert [l.url for l in value(urls.markdown_links("t"), t=brackets + "](x) [a](https://a.org)")] == ["https://a.org"]
+    assert time.monotonic() - start < 30
+
+
 def test_fixed_lists_hold_no_pattern_signs():
     for rules in (fixed.PAYWALL_ATTRIBUTES, fixed.LOGIN_ATTRIBUTES):
         assert all(part.replace("-", "").isalpha() for _, parts in rules for part in parts)

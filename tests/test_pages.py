@@ -34,6 +34,8 @@ def test_entities_and_odd_markup():
     assert _tags("<p>1 < 2 &amp; 3 &copy;</p><P CLASS=x>z") == [("p", "1 < 2 & 3 ©"), ("p", "z")]
     assert _tags("<p>a <a href=x title=it's>link</a>") [1] == ("a", "link")
     assert _tags("<p>cut <a href='never closed") == [("p", "cut ")]
+    assert _tags("<p>cut <a href='never closed>x</a><p>y") == [("p", "cut ")]
+    assert _tags("<p =x>a<a b= href=q>link</a><a href= >none</a><i a='1'b='>'>c</i>") == [("p", "alinknonec"), ("a", "link"), ("a", "none")]
 
 
 def test_inline_end_tag_does_not_end_a_block():

@@ -7,7 +7,7 @@ import pytest
 from linkloom.operators import citations, facts, health, registry, rollups
 from linkloom.operators.snapshot import UrlList
 from linkloom.plans import commands
-from linkloom.sources.readers import NoFilesError, crawl, markdown_files, markdown_table, url_list, urls_of
+from linkloom.sources.readers import NoFilesError, crawl, registry_records, markdown_files, markdown_table, url_list, urls_of
 from linkloom.sources.records import json_lines, write_json_lines
 from linkloom.sources.registry_store import RegistryExistsError, RegistryStore
 
@@ -203,6 +203,8 @@ def test_store_round_trip(spark, tmp_path):
     store.create(DAY)
     with pytest.raises(RegistryExistsError):
         store.create(DAY)
+    with pytest.raises(RegistryExistsError, match="file_exists"):
+        store.create(DAY)
     (example,) = store.read().references.collect()
     assert (example.url, example.status, _pairs(store.read())) == ("https://example.com", "pending", [("https://example.com", "README.md")])
 
@@ -217,11 +219,11 @@ def test_store_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([("https://x.org", "https://x.org", "404", "x", None, 1)], "url string, final_url string, title string, html string, error string, attempt int")
     number = store.latest().number
     dry = commands.verify_references(store, pages, NOW, dry_run=True).first()
-    assert (dry.dead, dry.skipped, store.latest().number) == (1, 1, number)
+    assert (dry.summary.dead, dry.summary.skipped, store.latest().number) == (1, 1, number)
     assert commands.verify_references(store, pages, NOW, wanted=["nope"]).first() is None
     assert store.latest().number == number
     wet = commands.verify_references(store, pages, NOW, wanted=["documentation"]).first()
-    assert (wet.dead, wet.verified, wet.timestamp) == (1, 1, NOW)
+    assert (wet.summary.dead, wet.summary.verified, wet.timestamp) == (1, 1, NOW)
     rows = _refs(store.read().references)
     assert (rows["https://x.org"].status, rows["https://x.org"].notes, rows["https://x.org"].verified) == ("dead", "HTTP 404", NOW)
     assert rows["https://example.com"].status == "pending"
@@ -265,7 +267,7 @@ def test_markdown_sources(spark, tmp_path, monkeypatch):
     files = markdown_files(spark, [f"{root}/docs/c.txt", f"{root}/docs/a.md"])
     assert {r.path[-5:]: r.arg_no for r in files.collect()} == {"c.txt": 0, "/a.md": 1}
     assert markdown_table(files).columns == ["path", "content"]
-    with pytest.raises(NoFilesError):
+    with pytest.raises(NoFilesError, match="no_files"):
         markdown_files(spark, [f"{root}/none"])
 
 
@@ -287,6 +289,25 @@ def test_crawl_source_prunes_and_pushes_down(spark, tmp_path):
     assert "html" not in scan.split("ReadSchema")[1] and "attempt" in scan.split("PushedFilters")[1]
 
 
+def test_registry_records_round_trip(spark, tmp_path):
+    place = tmp_path / "records.json"
+    place.write_text(
+        '{"url":"https://a.org","title":"A","categories":["x"],"cited_in":["b.md","a.md"],"status":"ok","verified":"2025-12-15T10:00:00Z"}\n'
+        '{"url":"https://b.org","title":"B","categories":["x"],"cited_in":["a.md"],"status":"pending"}\n'
+    )
+    held = registry_records(spark, str(place))
+    lines = [r.value for r in json_lines(registry.records(held).orderBy("url")).collect()]
+    assert lines == [
+        '{"url":"https://a.org","title":"A","categories":["x"],"cited_in":["b.md","a.md"],"status":"ok","verified":"2025-12-15T10:00:00.000000+00:00"}',
+        '{"url":"https://b.org","title":"B","categories":["x"],"cited_in":["a.md"],"status":"pending"}',
+    ]
+    assert registry.violations(held).isEmpty()
+    for text in ('{"url":"u","title":"A","categories":["x"],"cited_in":["a"],"status":"gone"}', '{"url":'):
+        place.write_text(text)
+        with pytest.raises(Exception):
+            registry_records(spark, str(place)).references.collect()
+
+
 def test_json_lines(spark, tmp_path):
     df = spark.createDataFrame(
         [("u", None, [], [("1", None, "$1")], "a/\"ü\"")],
