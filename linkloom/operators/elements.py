@@ -10,6 +10,8 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
+from bisect import bisect_left
+from collections import defaultdict
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -30,7 +32,7 @@ ELEMENTS = T.ArrayType(
 )
 _ARROW_ELEMENT = pa.struct([(f, pa.int32() if f in _NUMBERS else pa.string()) for f in _FIELDS])
 
-_ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>)))?+(?!\s*=)"""
+_ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>|\Z)))?+(?!\s*=)"""
 _MARKUP = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>?"
     rf"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|{re.sub(r'[(](?![?])', '(?:', _ATTRIBUTE)})*+)(?P<end>>|\Z)",
@@ -112,7 +114,8 @@ def flatten(page: str, base: str) -> list[dict]:
     elements: list[dict] = []
     texts: list[str] = []  # all text pieces; an element's text is a range of them
     blocks: list[tuple[int, int]] = []  # (position, first text piece) of each rendered block
-    stack: list[list] = []  # [tag, element or None, first text piece]
+    stack: list[list | None] = []  # open: [tag, element or None, first text piece]; None: closed inside
+    levels: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
     count = 0
 
     def close(entry: list) -> None:
@@ -125,16 +128,22 @@ def flatten(page: str, base: str) -> list[dict]:
                     element["link"] = resolve(base, element["href"])
 
     def close_down_to(level: int) -> None:
-        while len(stack) > level:
-            close(stack.pop())
+        while len(stack) > level or (stack and stack[-1] is None):
+            if (entry := stack.pop()) is not None:
+                levels[entry[0]].pop()
+                close(entry)
+
+    def close_alone(level: int) -> None:
+        levels[stack[level][0]].pop()
+        close(stack[level])
+        stack[level] = None
+        close_down_to(len(stack))
 
     def find(tags: set[str], barrier: set[str]) -> int | None:
-        for level in range(len(stack) - 1, -1, -1):
-            if stack[level][0] in tags:
-                return level
-            if stack[level][0] in barrier:
-                return None
-        return None
+        level = max((levels[t][-1] for t in tags if levels[t]), default=-1)
+        if level < 0 or any(levels[b] and levels[b][-1] > level for b in barrier):
+            return None
+        return level
 
     def say(piece: str, decoded: bool = True) -> None:
         texts.append(entities.unescape(piece) if decoded and "&" in piece else piece)
@@ -164,7 +173,7 @@ def flatten(page: str, base: str) -> list[dict]:
             if tag in _BREAKS:
                 blocks.append((count, len(texts)))
             if tag in _FORMATTING:  # ends alone; blocks opened inside it go on
-                close(stack.pop(level))
+                close_alone(level)
             else:
                 close_down_to(level)
         elif opened and m["end"]:
@@ -175,7 +184,7 @@ def flatten(page: str, base: str) -> list[dict]:
                 close_down_to(len(stack) - 1)
             if tag in _SIBLINGS and (level := find(*_SIBLINGS[tag])) is not None:
                 if tag == "a":
-                    close(stack.pop(level))
+                    close_alone(level)
                 else:
                     close_down_to(level)
             count += 1
@@ -203,6 +212,7 @@ def flatten(page: str, base: str) -> list[dict]:
                 blocks.append((count, len(texts)))
                 at = end.end()
             elif tag not in _VOID:
+                levels[tag].append(len(stack))
                 stack.append([tag, element, len(texts)])
     close_down_to(0)
     return elements + _rendered(elements, blocks, texts, count)
@@ -218,8 +228,8 @@ def _rendered(elements: list[dict], blocks: list, texts: list[str], count: int)
     long_enough = [e for e in elements if len((e.get("text") or "").strip().encode()) >= 3]
     for kind in (_HEADINGS, {"p"}):
         places = [e["pos"] for e in long_enough if e["tag"] in kind]
-        scopes_with = [s for s in scopes if any(s[0] <= p <= s[1] for p in places)]
-        if len(scopes_with) < len(scopes):
+        nexts = [bisect_left(places, start) for start, _ in scopes]
+        if any(n == len(places) or places[n] > end for n, (_, end) in zip(nexts, scopes)):
             break
     else:
         return []

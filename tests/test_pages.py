@@ -35,11 +35,15 @@ def test_entities_and_odd_markup():
     assert _tags("<p>a <a href=x title=it's>link</a>") [1] == ("a", "link")
     assert _tags("<p>cut <a href='never closed") == [("p", "cut ")]
     assert _tags("<p>cut <a href='never closed>x</a><p>y") == [("p", "cut ")]
-    assert _tags("<p =x>a<a b= href=q>link</a><a href= >none</a><i a='1'b='>'>c</i>") == [("p", "alinknonec"), ("a", "link"), ("a", "none")]
+    assert _tags("<p =x>a<a b=1 href=q>link</a><a href= >none</a><a b= href=q>-</a><i a='1'b='>'>c</i>") == [
+        ("p", "alinknone-c"), ("a", "link"), ("a", "none"),  # in the third, `href=q` is the value of `b`
+    ]
 
 
 def test_inline_end_tag_does_not_end_a_block():
     assert _tags("<b><p>x</b>y</p>z") == [("p", "xy")]
+    assert _tags("<i><b></i><h1>x</h1></b>t<h2>y") == [("h1", "x"), ("h2", "y")]
+    assert _tags("<p><i><b><i></b></i></p><p>y") == [("p", ""), ("p", "y")]
 
 
 @pytest.mark.parametrize(
