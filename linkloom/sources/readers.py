@@ -97,7 +97,7 @@ def urls_of(spark: SparkSession, url: str | None = None, lines: str | None = Non
     if document is None:
         raise ValueError("give a URL, a file with one URL per line, or a document")
     text = spark.read.text(document, wholetext=True)
-    return text.select(F.expr(f"explode({urls_in('value')})").alias("url"))
+    return unfold(text, [], urls_in("value"), "url").select("url")
 
 
 def crawl(spark: SparkSession, path: str) -> DataFrame:
