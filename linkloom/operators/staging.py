@@ -8,21 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
     Only a local session, whose one machine is the whole cluster, may go
-    without: it gets a temporary folder.
+    without: it gets one temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="linkloom-"))
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="linkloom-")
+    return _local_dirs[context.applicationId]
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -33,5 +36,24 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     place = f"{staging_dir(spark)}/linkloom-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(place)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables were staged so far: what `release` may keep."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables staged after a `mark`.
+
+    For a caller that has written or collected what was made from them; frames
+    that still read them fail afterwards.
+    """
+    places = _written.get(spark.sparkContext.applicationId, [])
+    for place in places[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del places[since:]
