@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import quality, sharding, urlfilter
+from linkloom.llm import decontaminate, quality, sharding, urlfilter
 
 SHARDS = 40
 URL_RULES = [
@@ -43,4 +43,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "is_listed", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.judged(found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters, op7_decontamination)}
