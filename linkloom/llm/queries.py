@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, quality, sharding, urlfilter
+import uuid
+
+import public_tokenizers
+
+from linkloom.llm import bpe, decontaminate, quality, sharding, tokenfile, urlfilter
+from linkloom.operators.staging import staging_dir
 
 SHARDS = 40
 URL_RULES = [
@@ -51,4 +56,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters, op7_decontamination)}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{staging_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfile.read(spark, folder)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters, op7_decontamination, op8_token_files, op9_bpe)}
