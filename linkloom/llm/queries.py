@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 import uuid
 
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, decontaminate, quality, sharding, tokenfile, urlfilter
+from linkloom.llm import bpe, decontaminate, jaccard, quality, sharding, tokenfile, toxicity, urlfilter
 from linkloom.operators.staging import staging_dir
 
 SHARDS = 40
@@ -48,6 +47,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "is_listed", "verdict")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found).select(
@@ -66,4 +69,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters, op7_decontamination, op8_token_files, op9_bpe)}
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """A model that learns from no held-out document."""
+    return toxicity.fit(docs, labels.where(~toxicity.held_out()))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters, op6_ngram_jaccard_join, op7_decontamination, op8_token_files,
+                                     op9_bpe, op10_toxicity)}
