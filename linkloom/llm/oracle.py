@@ -92,4 +92,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLE = {"op1_quality_rules": _QUALITY, "op3_url_filters": _URLS, "op7_decontamination": _CONTAMINATION}
+_PASSAGES = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+runs AS (
+  SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS run
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+twice AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS later
+  FROM (SELECT *, count(*) OVER (PARTITION BY run) AS n FROM runs) WHERE n > 1)
+SELECT doc_id, count(DISTINCT j)::BIGINT AS n_repeated, count(DISTINCT CASE WHEN later THEN j END)::BIGINT AS n_copied
+FROM (SELECT doc_id, later, unnest(range(i, i + 50)) AS j FROM twice) GROUP BY doc_id"""
+
+ORACLE = {"op1_quality_rules": _QUALITY, "op3_url_filters": _URLS, "op4_suffix_array_dedup": _PASSAGES,
+          "op7_decontamination": _CONTAMINATION}

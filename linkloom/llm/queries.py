@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, decontaminate, jaccard, quality, sharding, tokenfile, toxicity, urlfilter
+from linkloom.llm import bpe, decontaminate, jaccard, langid, quality, sharding, suffixes, tokenfile, toxicity, urlfilter
 from linkloom.operators.staging import staging_dir
 
 SHARDS = 40
@@ -47,6 +47,21 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "is_listed", "verdict")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document that has a passage of 50 words or more which the table holds elsewhere."""
+    words = lambda ranges: F.aggregate(ranges, F.lit(0).cast("bigint"), lambda sum, x: sum + x["end"] - x["start"])
+    found = suffixes.passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", words("passages").alias("n_repeated"), words("copies").alias("n_copied"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -82,5 +97,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters, op6_ngram_jaccard_join, op7_decontamination, op8_token_files,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters, op4_suffix_array_dedup, op5_language_id,
+                                     op6_ngram_jaccard_join, op7_decontamination, op8_token_files,
                                      op9_bpe, op10_toxicity)}
