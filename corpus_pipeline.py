@@ -1,14 +1,97 @@
-"""A training corpus from raw documents, in five stages."""
+"""A training corpus from raw documents, in five stages.
+
+Each stage takes what its predecessor kept, with the columns of `documents`,
+and its decisions take effect.  Whoever runs the stages writes each result and
+reads it again, as `run` does; a stage then removes what the one before it had
+staged.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.llm import bpe, decontaminate, jaccard, suffixes, toxicity
+from linkloom.operators.staging import mark, release, staging_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOXIC = 0.7
+_begun: dict[str, int] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _next_stage(spark: SparkSession) -> None:
+    """Tables staged by the stage before are not read again once its result is written."""
+    app = spark.sparkContext.applicationId
+    if app in _begun:
+        release(spark, _begun[app])
+    _begun[app] = mark(spark)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic."""
+    _next_stage(spark)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score(docs.select(COLUMNS), model).where(F.col("score") < TOXIC).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id.
+
+    Five words and a similarity of 0.8, the usual measure.  A document without
+    words is like no other and stays.
+    """
+    _next_stage(spark)
+    near = jaccard.near_duplicates(docs, size=5, percent=80)
+    others = near.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more stay where they occur first; `n_chars` follows the text."""
+    _next_stage(spark)
+    found = suffixes.passages(docs.select("doc_id", "text"))
+    kept = suffixes.without_copies(docs.select(COLUMNS), found)
+    return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark items make up less than a twentieth."""
+    _next_stage(spark)
+    found = decontaminate.judged(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")))
+    bad = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left."""
+    _next_stage(spark)
+    coded = bpe.encode(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
 
-STAGES = []
-#: The stages train a model and walk a graph, which SQL cannot state.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding", encode),
+]
+#: The stages train a model and follow links through a graph, which SQL cannot state.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over `documents`; each result is written to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = f"{staging_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.pieces import slices
+from linkloom.llm.sampling import some_rows
 from linkloom.llm.words import split_words
 from linkloom.operators.staging import staged
 
@@ -221,7 +222,7 @@ def fit(docs: DataFrame, most_grams: int = MOST_GRAMS, calibration_texts: int =
     if not rows:
         return Model()
     model = build({lang: (k[np.argsort(k)], n[np.argsort(k)]) for lang, (k, n) in rows.items()})
-    sample = known.orderBy(F.xxhash64("text")).limit(calibration_texts).collect()
+    sample = some_rows(known, calibration_texts, known.count())
     entropy, told = model.entropies(pa.array([r.text for r in sample], pa.string()))
     for i, lang in enumerate(model.langs):
         own = np.array([r.lang == lang for r in sample], bool) & (told > 0)
