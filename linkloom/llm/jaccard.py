@@ -96,12 +96,12 @@ def signatures(docs: DataFrame, size: int, percent: int, whole: bool = False) ->
     return docs.mapInArrow(run, SIGNATURE)
 
 
-def _merge(lists: DataFrame, needed: str) -> DataFrame:
+def _merge(lists: DataFrame, percent: int, prefixes: bool) -> DataFrame:
     """(a, b, shared): texts that occur often enough in the short lists of a text.
 
     `lists` has (x, lists); a list has (y, n, l) in the order of y, with those y
-    that come after x, and x's own n and l come along.  `needed`: how the
-    threshold is found, `prefix` or `one`.
+    that come after x, and x's own n and l come along.  With `prefixes` the
+    threshold is the slack of the shorter prefix less the long lists, else one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +111,8 @@ def _merge(lists: DataFrame, needed: str) -> DataFrame:
                 merged = heapq.merge(*([(e["y"], e["n"], e["l"]) for e in one] for one in found))
                 for (y, m, k), same in groupby(merged):
                     count = sum(1 for _ in same)
-                    least = min(slack(n), slack(m)) - min(l, k) if needed == "prefix" else 1
-                    if count >= max(1, least) and PERCENT * max(n, m) <= 100 * min(n, m):
+                    least = min(slack(n), slack(m)) - min(l, k) if prefixes else 1
+                    if count >= max(1, least) and percent * max(n, m) <= 100 * min(n, m):
                         a.append(x)
                         b.append(y)
                         shared.append(count)
@@ -121,7 +121,7 @@ def _merge(lists: DataFrame, needed: str) -> DataFrame:
     return lists.mapInArrow(run, "a bigint, b bigint, shared bigint")
 
 
-def _short_candidates(postings: DataFrame, short: DataFrame, needed: str) -> DataFrame:
+def _short_candidates(postings: DataFrame, short: DataFrame, percent: int, prefixes: bool) -> DataFrame:
     """Candidates from the lists of the given shingles.  Every list has SHORT texts at most."""
     entry = F.struct(F.col("rep").alias("y"), "n", "l")
     lists = postings.join(short.select("tok"), "tok").groupBy("tok").agg(F.array_sort(F.collect_list(entry)).alias("list"))
@@ -129,7 +129,7 @@ def _short_candidates(postings: DataFrame, short: DataFrame, needed: str) -> Dat
         F.col("e.y").alias("x"), F.col("e.n").alias("n"), F.col("e.l").alias("l"),
         F.filter("list", lambda o: o["y"] > F.col("e.y")).alias("later"),
     )
-    return _merge(rows.where(F.size("later") > 0).groupBy("x", "n", "l").agg(F.collect_list("later").alias("lists")), needed)
+    return _merge(rows.where(F.size("later") > 0).groupBy("x", "n", "l").agg(F.collect_list("later").alias("lists")), percent, prefixes)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -186,7 +186,7 @@ class _Dense:
     def short(self) -> DataFrame:
         """Candidates in short lists."""
         met = self.met.where(F.col("df") <= SHORT).select("tok", "rep", "n", F.lit(0).cast("bigint").alias("l"))
-        return _short_candidates(met, met.select("tok").distinct(), "one")
+        return _short_candidates(met, met.select("tok").distinct(), self.percent, prefixes=False)
 
     def central(self) -> DataFrame:
         """Everyone with the likeliest centre of each of its long lists."""
@@ -225,7 +225,7 @@ def near_duplicates(
     open_ = found.join(long, "tok").groupBy("rep", "n").agg(F.count("*").alias("l"))
     open_ = staged(open_)
     short = found.where(F.col("df") <= SHORT).join(open_.drop("n"), "rep", "left").select("tok", "rep", "n", F.coalesce("l", F.lit(0)).alias("l"))
-    candidates = _short_candidates(short, lists.where(F.col("df") <= SHORT), "prefix")
+    candidates = _short_candidates(short, lists.where(F.col("df") <= SHORT), percent, prefixes=True)
 
     lower = F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / 25) + 3  # the least slack of a similar text
     deep = open_.where(F.col("l") >= lower).select("rep")
