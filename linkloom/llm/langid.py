@@ -59,7 +59,7 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     letter = _letters()[code]
     folded = np.where(code > 0xFFFF, (code * np.uint32(2654435761)) >> np.uint32(16) | np.uint32(1), code).astype(_U)
     c = np.where(letter, folded, _U(0))
-    back = [np.concatenate([np.zeros(k, _U), c[:-k]]) for k in range(1, DEPTH)]
+    back = [np.concatenate([np.zeros(k, _U), c])[: len(c)] for k in range(1, DEPTH)]
     for k in range(1, DEPTH - 1):
         back[k] = np.where(back[k - 1] == 0, _U(0), back[k])
     key = c.copy()
