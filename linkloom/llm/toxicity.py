@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.pieces import slices
 from linkloom.llm.words import ALNUM, BASE, Words, mix, numbered, split_words, spread_ranges
 
 LENGTHS = (3, 4, 5, 6)
@@ -124,6 +125,11 @@ class Model:
     constant: float | None = None
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        """Scores of all texts, some megabytes at a time."""
+        parts = [self._scores(part) for part in slices(texts, 4 << 20)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _scores(self, texts: pa.Array) -> np.ndarray:
         passages = Passages.of(texts)
         some = passages.per_text > 0
         if self.constant is not None:
