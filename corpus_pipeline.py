@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import bpe, decontaminate, jaccard, suffixes, toxicity
+from linkloom.llm.shipping import ship
 from linkloom.operators.staging import mark, release, staging_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,6 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _next_stage(spark: SparkSession) -> None:
     """Tables staged by the stage before are not read again once its result is written."""
+    ship(spark)
     app = spark.sparkContext.applicationId
     if app in _begun:
         release(spark, _begun[app])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import bpe, decontaminate, jaccard, langid, quality, sharding, suffixes, tokenfile, toxicity, urlfilter
+from linkloom.llm.shipping import ship
 from linkloom.operators.staging import staging_dir
 
 SHARDS = 40
@@ -23,6 +24,7 @@ UNWANTED_HOSTS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pill
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
