@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from linkloom import fixed_values as fixed
-from linkloom.functions.sql import any_of, cases, let, quote, record
-from linkloom.functions.text import contains_any, matches, replace_all
+from linkloom.functions.sql import any_of, cases, let, quote, record, some
+from linkloom.functions.text import all_matches, contains_any, matches, replace_all
 from linkloom.functions.urls import left_domain
 
 
@@ -23,26 +23,32 @@ def error_class(error: str) -> str:
     return cases([(f"{error} IS NULL", "NULL"), *known], quote(fixed.OTHER_ERROR))
 
 
+# An attribute, with its value if it has one.  Loops are possessive, and what never ends goes on to the end of
+# the text: so Java runs them without recursion, and no character is tried twice.
+_ATTRIBUTE = r"""[\s/]++[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+))?+"""
+_START_TAG = rf"<[a-zA-Z][^\s/>]*+(?:{_ATTRIBUTE})*+"
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|(<(script|style|noscript|iframe|textarea|title|xmp)\b[^>]*+(?:>|\z)).*?(?:</\2\b|\z)"
+
+
 def attribute_test(html: str, rules: list[tuple[str, list[str]]]) -> str:
     """True if an element carries one of the parts in the named attribute.
 
     A byte search for the parts comes first and settles nearly every page.
-    The rest is judged on start tags, with comments and raw text taken out.
+    The rest is judged attribute by attribute on start tags, with comments and
+    raw text taken out.
     """
-    markup = replace_all(
-        html, r"(?is)<!--.*?-->|(<(script|style|noscript|iframe|textarea|title|xmp)\b[^>]*>).*?</\2\b", "$1"
-    )
-    tests = []
-    for name, parts in rules:
-        wanted = f"(?:{'|'.join(parts)})"  # parts hold no special characters
-        tag = (
-            r"(?s)<[a-zA-Z][^\s/>]*+"
-            r"""(?:[\s/]++[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)*?"""
-            rf"[\s/]++(?i:{name})\s*+=\s*+"
-            rf"""(?:"[^"]*?{wanted}|'[^']*?{wanted}|(?!["'])[^\s>]*?{wanted})"""
-        )
-        tests.append(f"({contains_any(html, parts)} AND {matches(markup, tag)})")
-    return any_of(tests)
+    tags = all_matches(replace_all(html, _UNSEEN, "$1"), _START_TAG)
+
+    def carried(tag: str) -> str:
+        tests = []
+        for name, parts in rules:
+            own = rf"^[\s/]++(?i:{name})\s*+=(?s:.*)(?:{'|'.join(parts)})"  # parts hold no special characters
+            found = some(all_matches(tag, _ATTRIBUTE), lambda a, own=own: matches(a, own))
+            tests.append(f"({contains_any(tag, parts)} AND {found})")
+        return any_of(tests)
+
+    every = list(dict.fromkeys(part for _, parts in rules for part in parts))
+    return f"({contains_any(html, every)} AND {some(tags, carried)})"
 
 
 def is_paywall(html: str, lower_html: str | None = None) -> str:

@@ -14,6 +14,11 @@ def with_tags(elements: str, *tags: str) -> str:
     return keep(elements, lambda e: f"{e}.tag IN ({', '.join(map(quote, tags))})")
 
 
+def text_of(element: str) -> str:
+    """Text of an element: its range of the bytes in the column `body`."""
+    return f"cast(substring(body, {element}.begin + 1, {element}.stop - {element}.begin) AS string)"
+
+
 def _filled(text: str) -> str:
     """Trimmed, with '' as null."""
     return f"nullif({strip(text)}, '')"
@@ -38,10 +43,10 @@ def meta(metas: str, *keys: str) -> str:
 
 
 def title(elements: str, metas: str) -> str:
-    def text_of(tag: str) -> str:
-        return _filled(_first_where(elements, "text", lambda e: f"{e}.tag = '{tag}'"))
+    def of_first(tag: str) -> str:
+        return _filled(let(first(keep(elements, lambda e: f"{e}.tag = '{tag}'")), text_of))
 
-    return f"coalesce({text_of('title')}, {_named(metas, 'property', 'og:title')}, {text_of('h1')})"
+    return f"coalesce({of_first('title')}, {_named(metas, 'property', 'og:title')}, {of_first('h1')})"
 
 
 def doi(elements: str, metas: str) -> str:
@@ -92,7 +97,7 @@ def inside(elements: str, place: str) -> str:
 def long_texts(elements: str, *tags: str) -> str:
     """array<struct<tag, pos, text>> of the tags, trimmed, very short texts left out."""
     picked = each(
-        with_tags(elements, *tags), lambda e: record(tag=f"{e}.tag", pos=f"{e}.pos", text=strip(f"{e}.text"))
+        with_tags(elements, *tags), lambda e: record(tag=f"{e}.tag", pos=f"{e}.pos", text=strip(text_of(e)))
     )
     return keep(picked, lambda e: f"octet_length({e}.text) >= {fixed.SHORTEST_TEXT}")
 
@@ -146,7 +151,7 @@ def whole_text_section(elements: str, place: str) -> str:
     width = fixed.FALLBACK_WIDTH
     wrapped = each(
         with_tags(inside(elements, place), "#text"),
-        lambda e: replace_all(f"{e}.text", rf"(?>(\S{{{width}}}|.{{1,{width}}}(?=\s|\z)))\s*+(?=\S)", "$1\n"),
+        lambda e: replace_all(text_of(e), rf"(?>(\S{{{width}}}|.{{1,{width}}}(?=\s|\z)))\s*+(?=\S)", "$1\n"),
     )
     content = f"array_join(slice(split(array_join({wrapped}, '\n'), '\n'), 1, {fixed.FALLBACK_LINES}), '\n')"
     return each(
@@ -163,7 +168,7 @@ def links(main: str) -> str:
     """First fifty distinct targets with the text of their first link."""
     usable = keep(
         each(
-            with_tags(main, "a"), lambda e: record(text=strip(f"{e}.text"), href=f"{e}.href", url=f"{e}.link")
+            with_tags(main, "a"), lambda e: record(text=strip(text_of(e)), href=f"{e}.href", url=f"{e}.link")
         ),
         lambda e: f"{e}.href <> '' AND NOT startswith({e}.href, '#') AND NOT startswith({e}.href, 'javascript:')"
         f" AND octet_length({e}.text) >= {fixed.SHORTEST_TEXT}",
@@ -188,7 +193,7 @@ def code_blocks(main: str) -> str:
     most = fixed.CODE_PER_PAGE
 
     def usable(kind: str) -> str:
-        trimmed = each(kind, lambda e: record(source=strip(f"{e}.text"), classes=f"{e}.class"))
+        trimmed = each(kind, lambda e: record(source=strip(text_of(e)), classes=f"{e}.class"))
         return keep(trimmed, lambda e: f"octet_length({e}.source) >= {fixed.SHORTEST_CODE}")
 
     def described(text: str, found: str) -> str:

@@ -1,8 +1,9 @@
 """HTML to an array of elements: the one step that leaves the JVM.
 
 `flatten` reads the tags of one page and reports the few kinds of element the
-page operators ask for.  Which of them matter, and what they say, is decided
-by Column expressions in `linkloom.operators.pages`.
+page operators ask for, and the page's text once: an element has a range of
+its bytes, so nested elements repeat no text.  Which of them matter, and what
+they say, is decided by Column expressions in `linkloom.operators.pages`.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import sys
 from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -25,12 +27,20 @@ from linkloom import fixed_values as fixed
 # Executors need no copy of this package: the functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_FIELDS = ["pos", "end_pos", "tag", "text", "class", "id", "role", "href", "link", "property", "name", "content"]
-_NUMBERS = {"pos", "end_pos"}
-ELEMENTS = T.ArrayType(
-    T.StructType([T.StructField(f, T.IntegerType() if f in _NUMBERS else T.StringType()) for f in _FIELDS])
+_FIELDS = ["pos", "end_pos", "tag", "begin", "stop", "class", "id", "role", "href", "link", "property", "name", "content"]
+_NUMBERS = {"pos", "end_pos", "begin", "stop"}
+PAGE = T.StructType(
+    [
+        T.StructField("body", T.BinaryType()),
+        T.StructField(
+            "el",
+            T.ArrayType(T.StructType([T.StructField(f, T.IntegerType() if f in _NUMBERS else T.StringType()) for f in _FIELDS])),
+        ),
+    ]
+)
+_ARROW_PAGE = pa.struct(
+    [("body", pa.binary()), ("el", pa.list_(pa.struct([(f, pa.int32() if f in _NUMBERS else pa.string()) for f in _FIELDS])))]
 )
-_ARROW_ELEMENT = pa.struct([(f, pa.int32() if f in _NUMBERS else pa.string()) for f in _FIELDS])
 
 _ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>|\Z)))?+(?!\s*=)"""
 _MARKUP = re.compile(
@@ -108,8 +118,11 @@ def _may_be_scope(attrs: dict[str, str]) -> bool:
     )
 
 
-def flatten(page: str, base: str) -> list[dict]:
-    """Elements of a page in document order; `pos`..`end_pos` spans an element's inside."""
+def flatten(page: str, base: str) -> tuple[bytes, list[dict]]:
+    """Text and elements of a page in document order.
+
+    `pos`..`end_pos` spans an element's inside, `begin`..`stop` its text.
+    """
     page = page.replace("\r\n", "\n").replace("\r", "\n")
     elements: list[dict] = []
     texts: list[str] = []  # all text pieces; an element's text is a range of them
@@ -123,7 +136,7 @@ def flatten(page: str, base: str) -> list[dict]:
         if element is not None:
             element["end_pos"] = count
             if tag in _TEXT_TAGS:
-                element["text"] = "".join(texts[first:])
+                element["pieces"] = first, len(texts)
                 if tag == "a":
                     element["link"] = resolve(base, element["href"])
 
@@ -193,7 +206,7 @@ def flatten(page: str, base: str) -> list[dict]:
             element = None
             if (
                 (tag in _TEXT_TAGS and (tag != "a" or "href" in attrs))
-                or (tag == "meta" and "content" in attrs)
+                or (tag == "meta" and ("property" in attrs or "name" in attrs))
                 or tag in _SCOPE_TAGS
                 or attrs and _may_be_scope(attrs)
             ):
@@ -215,7 +228,25 @@ def flatten(page: str, base: str) -> list[dict]:
                 levels[tag].append(len(stack))
                 stack.append([tag, element, len(texts)])
     close_down_to(0)
-    return elements + _rendered(elements, blocks, texts, count)
+    coded = [piece.encode() for piece in texts]
+    ends = [0, *accumulate(map(len, coded))]
+    filled = [0, *accumulate(len(piece.strip()) for piece in texts)]
+    for element in elements:
+        if "pieces" in element:
+            first, last = element.pop("pieces")
+            element |= {"begin": ends[first], "stop": ends[last]}
+            # Three characters or more besides blanks, or short enough to look.
+            room = filled[last] - filled[first]
+            element["long"] = room > 2 or room > 0 and len("".join(texts[first:last]).strip().encode()) > 2
+    rendered = []
+    for element in _rendered(elements, blocks, texts, count):
+        coded.append(element.pop("text").encode())
+        element |= {"begin": ends[-1], "stop": ends[-1] + len(coded[-1])}
+        ends.append(element["stop"])
+        rendered.append(element)
+    for element in elements:
+        element.pop("long", None)
+    return b"".join(coded), elements + rendered
 
 
 def _rendered(elements: list[dict], blocks: list, texts: list[str], count: int) -> list[dict]:
@@ -225,7 +256,7 @@ def _rendered(elements: list[dict], blocks: list, texts: list[str], count: int)
         for e in elements
         if e["tag"] in _SCOPE_TAGS or _may_be_scope({k: e[k] for k in ("class", "id", "role") if e[k]})
     ]
-    long_enough = [e for e in elements if len((e.get("text") or "").strip().encode()) >= 3]
+    long_enough = [e for e in elements if e.get("long")]
     for kind in (_HEADINGS, {"p"}):
         places = [e["pos"] for e in long_enough if e["tag"] in kind]
         nexts = [bisect_left(places, start) for start, _ in scopes]
@@ -242,15 +273,15 @@ def _rendered(elements: list[dict], blocks: list, texts: list[str], count: int)
     return found
 
 
-@F.arrow_udf(ELEMENTS)
+@F.arrow_udf(PAGE)
 def _elements(url: pa.Array, html: pa.Array) -> pa.Array:
     pages = (
-        None if page is None else flatten(page, base or "")
+        None if page is None else dict(zip(("body", "el"), flatten(page, base or "")))
         for base, page in zip(url.to_pylist(), html.to_pylist())
     )
-    return pa.array(pages, pa.list_(_ARROW_ELEMENT))
+    return pa.array(pages, _ARROW_PAGE)
 
 
 def elements(url: Column, html: Column) -> Column:
-    """Elements of a page; relative links are resolved against `url`."""
+    """Text (`body`) and elements (`el`) of a page; relative links are resolved against `url`."""
     return _elements(url, html)

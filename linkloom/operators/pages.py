@@ -42,12 +42,12 @@ def structure(crawl: DataFrame, raw: bool = False, order: str = "tag") -> DataFr
     judged = crawl.selectExpr("url", "final_url", "title", "html", "error", f"{outcome} AS outcome").selectExpr(
         "url",
         "outcome",
-        "if(error IS NOT NULL OR html IS NOT NULL, title, NULL) AS nav_title",
+        "if(error IS NOT NULL OR html IS NOT NULL OR outcome = 'redirect', title, NULL) AS nav_title",
         f"{trouble} AS trouble",
         f"if(outcome IS NULL, {page_wall('html')}, NULL) AS wall",
         "if(outcome IS NULL, html, NULL) AS html",
     )
-    parsed = judged.select("*", elements(F.col("url"), F.col("html")).alias("el")).drop("html")
+    parsed = judged.select("*", elements(F.col("url"), F.col("html")).alias("page")).drop("html").select("*", "page.*").drop("page")
     place = "cast(NULL AS struct<rank:int,pos:int,end_pos:int>)" if raw else page.scope("el")
     narrowed = parsed.selectExpr("*", f"{page.with_tags('el', 'meta')} AS metas", f"{place} AS place")
     split = narrowed.selectExpr("*", f"{page.inside('el', 'place')} AS main")

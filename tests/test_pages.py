@@ -17,7 +17,9 @@ def page(spark):
 
 
 def _tags(html):
-    return [(e["tag"], e.get("text")) for e in flatten(html, "https://x.org/") if e["tag"] != "#text"]
+    body, elements = flatten(html, "https://x.org/")
+    text = lambda e: body[e["begin"] : e["stop"]].decode() if "begin" in e else None
+    return [(e["tag"], text(e)) for e in elements if e["tag"] != "#text"]
 
 
 def test_new_paragraph_ends_the_open_one():
