@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom import fixed_values as fixed
@@ -12,6 +12,8 @@ from linkloom.functions.urls import categories
 from linkloom.operators.staging import staged
 from linkloom.schemas import CITED_IN, REFERENCES
 
+PATHS_PER_ROW = 10_000
+
 
 @dataclass(frozen=True)
 class Registry:
@@ -170,35 +172,37 @@ def _broken(rows: DataFrame, rules: dict[str, Column], url: Column) -> DataFrame
 # --- nesting ----------------------------------------------------------------------
 
 
-def nested(registry: Registry, paths_per_row: int = 10_000, shares: int = 1024) -> DataFrame:
+def nested(registry: Registry, paths_per_row: int = PATHS_PER_ROW) -> DataFrame:
     """References with `cited_in` as an array, in scan and file order.
 
-    Up to `paths_per_row` citing files give one row, `part` 0.  A URL with
-    more is spread over up to `shares` rows, split by file: no row and no task
-    ever holds all files of a very popular URL, and none is left out.
+    A row has `paths_per_row` files at most; `part` numbers the rows of a URL
+    from 0, and every row but its last is full.  So a URL with few files has
+    one row, and a very popular one as many as it takes, in order.  Places are
+    counted share by share of a range partitioning: no task sees all files of
+    a URL.
     """
-    share = F.pmod(F.xxhash64("path"), F.lit(shares))
-    shared = registry.cited_in.withColumn("share", share)
-    sizes = shared.groupBy("url", "share").agg(F.count("*").alias("n"))  # at most `shares` rows per URL
-    totals = sizes.groupBy("url").agg(F.sum("n").alias("total"))
-    crowded = totals.where(F.col("total") > paths_per_row).select("url", F.lit(True).alias("crowded"))
-    # A crowded URL meets its flag once per share, so the join key is not hot.
-    flags = crowded.select("url", "crowded", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    parted = shared.join(flags.withColumn("share", F.col("share").cast("bigint")), ["url", "share"], "left")
+    order = ["url", "scan", "arg_no", "path"]
+    ordered = registry.cited_in.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = staged(ordered.withColumn("share", F.spark_partition_id()))
+    counts = ordered.groupBy("url", "share").agg(F.count("*").alias("n"))  # a row per URL and share
+    before = Window.partitionBy("url").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("url", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("url", "share").orderBy("scan", "arg_no", "path")
+    placed = ordered.withColumn("place", F.row_number().over(inside) - 1).join(starts, ["url", "share"])
     grouped = (
-        parted.withColumn("part", F.when(F.col("crowded"), F.col("share")).otherwise(0).cast("int"))
+        placed.withColumn("part", F.floor((F.col("start") + F.col("place")) / paths_per_row).cast("int"))
         .groupBy("url", "part")
         .agg(F.array_sort(F.collect_list(F.struct("scan", "arg_no", "path"))).alias("files"))
         .select("url", "part", F.transform("files", lambda f: f["path"]).alias("cited_in"))
     )
-    # References repeat only for crowded URLs, once per part.
     return registry.references.join(grouped, "url", "left")
 
 
 def records(registry: Registry) -> DataFrame:
     """Whole registry entries in field order, as the JSON sink writes them.
 
-    A crowded URL gives several records, each with a share of its files.
+    Further records of a URL, with the files beyond the first PATHS_PER_ROW,
+    say so by their `part`.
     """
     fields = ["url", "title", "categories", "cited_in", "status", "verified", "notes"]
-    return nested(registry).select(*fields)
+    return nested(registry).select(*fields, F.nullif("part", F.lit(0)).alias("part"))

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from linkloom.operators.staging import staged
 
 COPIES_PER_SLICE = 100_000
-BROADCAST_URLS = 50_000  # about five megabytes
+FILTER_ROWS = 1 << 15  # of two numbers: half a megabyte, whatever the list
 
 
 def first_attempts(crawl: DataFrame) -> DataFrame:
-    """Rows of the first attempt; a snapshot without attempts is taken as it is."""
-    return crawl.where(F.col("attempt") == 1).drop("attempt") if "attempt" in crawl.columns else crawl
+    """Rows of each URL's first attempt; a snapshot without attempts is taken as it is.
+
+    Nearly all are number 1 and pass by.  Of the rest, only rows of URLs that
+    have no earlier attempt stay.
+    """
+    if "attempt" not in crawl.columns:
+        return crawl
+    least = crawl.groupBy("url").agg(F.min("attempt").alias("attempt")).where("attempt > 1")
+    late = crawl.where(F.col("attempt") > 1).join(least, ["url", "attempt"], "left_semi").select(*crawl.columns)
+    return crawl.where(F.col("attempt") <= 1).unionByName(late).drop("attempt")
 
 
 def one_per_url(results: DataFrame, *more_keys: str) -> DataFrame:
@@ -38,40 +46,37 @@ class UrlList:
 
     def __init__(self, urls: DataFrame):
         self.counted = staged(urls.groupBy(*urls.columns).agg(F.count("*").alias("__n")))
-        self.rows, most = self.counted.agg(F.count("*"), F.max("__n")).first()
-        self.most = most or 0
 
     def restrict(self, crawl: DataFrame) -> DataFrame:
-        """Leave out crawl rows that a short list does not name, before any work on them.
+        """Leave out crawl rows that the list does not name, before any work on them.
 
-        A long list is no filter: sending it, or shuffling HTML to meet it,
-        would cost more than the work it saves.
+        A filter of fixed size is sent to every task: a list of millions is no
+        more to send than a short one, and no HTML is shuffled.  Some rows that
+        are not listed may pass; `attach` drops them.
         """
-        if self.rows > BROADCAST_URLS:
-            return crawl
-        return crawl.join(F.broadcast(self.counted.select("url").distinct()), "url", "left_semi")
+        place = F.pmod(F.xxhash64("url"), F.lit(FILTER_ROWS))
+        bits = self.counted.groupBy(place.alias("__place")).agg(F.bit_or(_mask()).alias("__bits"))
+        probed = crawl.withColumn("__place", place).join(F.broadcast(bits), "__place")
+        return probed.where(F.col("__bits").bitwiseAND(_mask()) == _mask()).select(*crawl.columns)
 
     def attach(self, results: DataFrame, copies_per_slice: int = COPIES_PER_SLICE) -> DataFrame:
         """Left join: one output row per list entry.
 
-        Only if some URL needs more than `copies_per_slice` copies do both
-        sides get a second key, so that the copies of one result come from
-        many tasks.
+        An entry's copies are made slice by slice, and slices are dealt out
+        first, so those of one result come from many tasks.
         """
-        counted, keys = self.counted, ["url"]
-        if self.most > copies_per_slice:
-            keys = ["url", "__slice"]
-            last = F.floor((F.col("__n") - 1) / copies_per_slice)
-            crowded = counted.where(F.col("__n") > copies_per_slice).groupBy("url").agg(F.max(last).alias("__last"))
-            results = results.join(crowded, "url", "left").select(
-                *results.columns, _numbered(F.coalesce("__last", F.lit(0))).alias("__slice")
-            )
-            left_over = F.col("__n") - F.col("__slice") * copies_per_slice
-            counted = counted.select("*", _numbered(last).alias("__slice")).withColumn(
-                "__n", F.least(F.lit(copies_per_slice).cast("bigint"), left_over)
-            )
-        joined = counted.join(one_per_url(results, *keys[1:]), keys, "left")
-        return joined.select("*", _numbered(F.col("__n") - 1).alias("__copy")).drop("__n", "__slice", "__copy")
+        joined = self.counted.join(one_per_url(results), "url", "left")
+        last = F.floor((F.col("__n") - 1) / copies_per_slice)
+        sliced = joined.select("*", _numbered(last).alias("__slice")).repartition("url", "__slice")
+        left_over = F.col("__n") - F.col("__slice") * copies_per_slice
+        size = F.least(F.lit(copies_per_slice).cast("bigint"), left_over)
+        return sliced.select("*", _numbered(size - 1).alias("__copy")).drop("__n", "__slice", "__copy")
+
+
+def _mask() -> Column:
+    """Three bits of a word, by the URL's second hash."""
+    bits = [F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(url, 'bits'), {6 * k}), 64) AS int))") for k in range(3)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
 def _numbered(last: Column) -> Column:

@@ -79,9 +79,11 @@ def refresh(urls: DataFrame, crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, rollups.fact_totals(records)
 
 
-def fetch(crawl: DataFrame, urls: DataFrame | None = None, raw: bool = False) -> tuple[DataFrame, DataFrame]:
+def fetch(
+    crawl: DataFrame, urls: DataFrame | None = None, raw: bool = False, order: str = "tag"
+) -> tuple[DataFrame, DataFrame]:
     """Structured pages and their totals."""
-    records = pages.fetch(crawl, urls, raw)
+    records = pages.fetch(crawl, urls, raw, order)
     return records, rollups.record_totals(records)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from linkloom import fixed_values as fixed
 from linkloom.functions.urls import urls_in
-from linkloom.operators.registry import Registry
+from linkloom.operators.registry import PATHS_PER_ROW, Registry
 from linkloom.operators.unfold import unfold
 from linkloom.schemas import CRAWL, MARKDOWN, REFERENCES, TEXTDOCS
 
@@ -39,10 +39,28 @@ def markdown_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+class HiddenFilesError(ValueError):
+    """A pattern names files that Spark's readers pass over, as their names begin with `_` or `.`."""
+
+
+def _refuse_hidden(files, place, spark: SparkSession) -> None:
+    """Rather no result than one without files that were asked for."""
+    pattern = place.toString()
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern))
+    names = [s.getPath().getName() for s in found or [] if s.isFile()]
+    hidden = sorted(n for n in names if n.startswith(("_", ".")))
+    if hidden:
+        raise HiddenFilesError(f"cannot read, rename them: {', '.join(hidden)}")
+
+
 def _one_pattern(spark: SparkSession, pattern: str) -> DataFrame | None:
     place = spark._jvm.org.apache.hadoop.fs.Path(pattern.split("**")[0] or ".")
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
     reader = spark.read
+    if "**" not in pattern:
+        inside = "*" not in pattern and files.exists(place) and files.getFileStatus(place).isDirectory()
+        for ending in ("md", "markdown") if inside else ("",):
+            _refuse_hidden(files, place.suffix(f"/*.{ending}") if inside else place, spark)
     if "**" in pattern:
         reader = reader.option("recursiveFileLookup", True)
     elif "*" not in pattern and files.exists(place) and files.getFileStatus(place).isDirectory():
@@ -119,16 +137,16 @@ def registry_records(spark: SparkSession, path: str) -> Registry:
 
     A line that is no record, or a status that is none, is an error.
     """
-    schema = T.StructType([*REFERENCES, T.StructField("cited_in", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*REFERENCES, T.StructField("cited_in", T.ArrayType(T.StringType())), T.StructField("part", T.IntegerType())])
     rows = spark.read.schema(schema).json(path, mode="FAILFAST")
     status = F.when(F.col("status").isin(fixed.STATUSES), F.col("status")).otherwise(
         F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce("status", F.lit("none"))))
     )
-    pairs = unfold(rows, ["url"], "cited_in", "path")
+    pairs = unfold(rows, ["url", "coalesce(part, 0) AS part"], "cited_in", "path")
     return Registry(
-        rows.withColumn("status", status).drop("cited_in"),
+        rows.withColumn("status", status).where("part IS NULL").drop("cited_in", "part"),
         # the place in the list is kept as the order of the files
-        pairs.select("url", "path", F.col("pos").alias("arg_no"), F.lit(0).alias("scan")),
+        pairs.select("url", "path", (F.col("part") * PATHS_PER_ROW + F.col("pos")).alias("arg_no"), F.lit(0).alias("scan")),
     )
 
 

@@ -169,6 +169,16 @@ def test_walls(value, html, paywall, login):
     assert value(health.is_login_wall("h"), h=html) is login
 
 
+def test_walls_of_endless_markup(value):
+    """Java neither runs out of stack nor tries a character twice."""
+    many = "<div " + " ".join(f'a{n}="v"' for n in range(20_000))
+    assert value(health.is_paywall("h"), h=f"paywal <i>piano-offer</i>{many} class='x piano-offer'>") is True
+    assert value(health.is_paywall("h"), h=f"<i>piano-offer</i>{many}>") is False
+    assert value(health.is_login_wall("h"), h="gate-content " + "<script " * 20_000) is False
+    assert value(health.is_login_wall("h"), h="gate-content " + "<script>" * 20_000) is False
+    assert value(health.is_login_wall("h"), h="gate-content " + '<a b="' * 20_000) is False
+
+
 def test_page_wall_has_its_own_phrases(value):
     assert value(health.page_wall("h"), h="Unlock This Article") == "paywall"
     assert value(health.page_wall("h"), h="create an account to read") == "login"

@@ -27,6 +27,16 @@ def test_new_paragraph_ends_the_open_one():
     assert _tags("<p>one<div>two</div>") == [("p", "one")]
 
 
+def test_nested_elements_repeat_no_text():
+    body, elements = flatten("<pre>abc" * 20_000, "")
+    assert len(body) < 200_000 and len(elements) < 25_000
+
+
+def test_meta_without_content_hides_a_later_one(page):
+    row = page('<meta name="author"><meta name="author" content="Late"><meta name="date" content="2020"><p>some text')
+    assert (row.author, row.date) == (None, "2020")
+
+
 def test_script_text_is_no_markup():
     assert _tags('<p>a<script>var t="</p><p>";</script>b</p>') == [("p", 'avar t="</p><p>";b')]
     assert _tags("<!-- <p>x</p> --><p>y</p>") == [("p", "y")]
@@ -143,6 +153,7 @@ def test_outcomes(spark):
             ("https://b.org", "https://c.org", "Moved", "<p>x", None, 1),
             ("https://d.org", "https://www.d.org", "D", "<h1>Wall</h1><p>Members Only</p>", None, 1),
             ("https://e.org", "https://e.org", "E", None, None, 1),
+            ("https://g.org", "https://h.org", "Gone", None, None, 2),
             ("https://f.org", "https://f.org", "404", "<h1>Ok</h1><p>404 is fine here", None, 1),
             ("https://f.org", "https://f.org", "404", "<p>second try", None, 2),
         ],
@@ -150,10 +161,11 @@ def test_outcomes(spark):
     )
     urls = spark.createDataFrame([(u,) for u in ["https://a.org", "https://f.org", "https://f.org", "https://none.org"]], "url string")
     rows = {r.url: r for r in pages.fetch(crawl).collect()}
-    assert len(rows) == 5
+    assert len(rows) == 6
     assert (rows["https://a.org"].status, rows["https://a.org"].alerts, rows["https://a.org"].sections) == ("dead", ["net::ERR"], None)
     moved = rows["https://b.org"]
     assert (moved.status, moved.title, moved.alerts, moved.links) == ("redirect", "Moved", ["Redirected to: https://c.org"], None)
+    assert (rows["https://g.org"].status, rows["https://g.org"].title) == ("redirect", "Gone")
     wall = rows["https://d.org"]
     assert (wall.status, wall.alerts, wall.sections[0].content) == ("paywall", ["Paywall detected"], "Members Only")
     assert (rows["https://e.org"].status, rows["https://e.org"].title) == ("dead", None)
