@@ -39,6 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.graph import components
+from linkloom.llm.pieces import slices
+from linkloom.llm.urlfilter import bloom, may_be_listed
 from linkloom.llm.words import NOT_BLANK, grams, mix, run_hashes, split_words
 from linkloom.operators.staging import staged
 
@@ -49,16 +51,17 @@ SHORT = 32
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
-    words = split_words(texts, NOT_BLANK, fold=True)
-    hashes = grams(words.hash, size)
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        if b - a >= size:
-            found = np.sort(hashes[a : b - size + 1])
-            yield found[np.append(True, found[1:] != found[:-1])]
-        elif b > a:
-            yield run_hashes(words.hash, np.array([a]), b - a)
-        else:
-            yield hashes[:0]
+    for part in slices(texts):
+        words = split_words(part, NOT_BLANK, fold=True)
+        hashes = grams(words.hash, size)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            if b - a >= size:
+                found = np.sort(hashes[a : b - size + 1])
+                yield found[np.append(True, found[1:] != found[:-1])]
+            elif b > a:
+                yield run_hashes(words.hash, np.array([a]), b - a)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -151,8 +154,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, text) of the named documents, written once."""
-    found = docs.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """(rep, text) of the named documents, written once.  A filter of fixed size keeps other texts out of the shuffle."""
+    ids = ids.select(F.col("rep").alias("doc_id")).distinct()
+    near = may_be_listed(docs, "doc_id", bloom(ids, "doc_id")).where("__maybe").drop("__maybe")
+    found = near.join(ids, "doc_id", "left_semi")
     return staged(found.groupBy("doc_id").agg(F.first("text").alias("text")).withColumnRenamed("doc_id", "rep"))
 
 
@@ -173,15 +178,18 @@ class _Dense:
         least = F.ceil(F.lit(percent) * F.col("n") / 100)
         reach = F.size("lists") - least + 1
         met = by_text.where(reach > 0).select(
-            "rep", "n", (F.size(F.filter("lists", lambda e: e["df"] > SHORT)) / F.col("n")).alias("center"),
-            F.explode(F.slice("lists", F.lit(1), reach.cast("int"))).alias("e"),
+            "rep", "n", F.size("lists").alias("s"),
+            (F.size(F.filter("lists", lambda e: e["df"] > SHORT)) / F.col("n")).alias("center"),
+            F.posexplode(F.slice("lists", F.lit(1), reach.cast("int"))).alias("at", "e"),
         )
         # Lists have one order for all, so the first that two similar texts share is within both reaches.
-        self.met = staged(met.select("rep", "n", "center", F.col("e.tok").alias("tok"), F.col("e.df").alias("df")))
+        self.met = staged(met.select("rep", "n", "s", "at", "center", F.col("e.tok").alias("tok"), F.col("e.df").alias("df")))
         self.percent = percent
 
-    def _near(self, n: Column, m: Column) -> Column:
-        return self.percent * F.greatest(n, m) <= 100 * F.least(n, m)
+    def _near(self, x: str, y: str) -> Column:
+        """Whether the structs x and y of n, s and at leave room for the overlap that texts of their sizes need."""
+        need = F.ceil(F.lit(self.percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")) / (100 + self.percent))
+        return (F.col(f"{x}.s") - F.col(f"{x}.at") >= need) & (F.col(f"{y}.s") - F.col(f"{y}.at") >= need)
 
     def short(self) -> DataFrame:
         """Candidates in short lists."""
@@ -190,24 +198,29 @@ class _Dense:
 
     def central(self) -> DataFrame:
         """Everyone with the likeliest centre of each of its long lists."""
-        long = self.met.where(F.col("df") > SHORT)
-        center = long.groupBy("tok").agg(F.max(F.struct("center", -F.col("rep"), "n")).alias("c"))
-        pairs = long.join(center.select("tok", (-F.col("c.col2")).alias("y"), F.col("c.n").alias("m")), "tok")
-        pairs = pairs.where(F.col("rep") != F.col("y")).where(self._near(F.col("n"), F.col("m")))
-        return pairs.groupBy(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).agg(F.count("*").alias("shared"))
+        long = self._long()
+        center = long.groupBy("tok").agg(F.max(F.struct("center", -F.col("rep"), "y")).alias("c"))
+        pairs = long.withColumnRenamed("y", "x").join(center.select("tok", (-F.col("c.col2")).alias("other"), F.col("c.y").alias("y")), "tok")
+        pairs = pairs.where(F.col("rep") != F.col("other")).where(self._near("x", "y"))
+        return _counted(pairs)
+
+    def _long(self) -> DataFrame:
+        return self.met.where(F.col("df") > SHORT).select("tok", "rep", "center", F.struct("n", "s", "at").alias("y"))
 
     def left_over(self, component: DataFrame) -> DataFrame:
         """Texts of different components that share a long list; per list the largest component need not meet itself."""
-        long = self.met.where(F.col("df") > SHORT).select("tok", "rep", "n")
-        named = long.join(component, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        named = self._long().join(component, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component", "center")
         mixed = named.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
         named = staged(named.join(mixed, "tok"))
         sizes = named.groupBy("tok", "c").agg(F.count("*").alias("k"))
         main = sizes.groupBy("tok").agg(F.max(F.struct("k", "c")).alias("top")).select("tok", F.col("top.c").alias("main"))
-        minor = named.join(main, "tok").where("c <> main").drop("main")
-        other = named.select("tok", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
-        pairs = minor.join(other, "tok").where("c <> d").where(self._near(F.col("n"), F.col("m")))
-        return pairs.groupBy(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).agg(F.count("*").alias("shared"))
+        minor = named.join(main, "tok").where("c <> main").select("tok", "rep", F.col("y").alias("x"), "c")
+        other = named.select("tok", F.col("rep").alias("other"), "y", F.col("c").alias("d"))
+        return _counted(minor.join(other, "tok").where("c <> d").where(self._near("x", "y")))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def near_duplicates(
