@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import bpe, decontaminate, jaccard, suffixes, toxicity
+from linkloom.llm.lists import without
 from linkloom.llm.shipping import ship
 from linkloom.operators.staging import mark, release, staging_dir
 
@@ -51,8 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     _next_stage(spark)
     near = jaccard.near_duplicates(docs, size=5, percent=80)
-    others = near.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+    return without(docs.select(COLUMNS), near.where("doc_id <> component_id").select("doc_id"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of which benchmark items make up less than a twentieth."""
     _next_stage(spark)
     found = decontaminate.judged(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+    return without(docs.select(COLUMNS), found.where("contaminated").select("doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

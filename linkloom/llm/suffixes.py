@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.lists import with_values, within
 from linkloom.llm.pieces import slices
 from linkloom.llm.words import BASE, NOT_BLANK, grams, inside_text, mix, powers, split_words
 from linkloom.operators.staging import staged
@@ -154,7 +155,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
     by_doc = unlike.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
         F.collect_list(F.struct("gram", "block", "windows", "n", F.col("first.start").alias("start"))).alias("named")
     )
-    texts = docs.select("doc_id", "text").join(by_doc, "doc_id").dropDuplicates(["doc_id"])
+    by_doc = staged(by_doc)
+    texts = within(docs.select("doc_id", "text"), by_doc).join(by_doc, "doc_id").dropDuplicates(["doc_id"])
     windows = staged(_windows(texts.select("text", "doc_id", "named"), length))
     twice = (
         windows.groupBy("gram", "window")
@@ -215,8 +217,7 @@ def without_copies(docs: DataFrame, found: DataFrame, text: str = "text") -> Dat
     """`docs` with the words of later copies cut out; documents of which nothing is left go."""
     columns = docs.columns
     at = columns.index(text)
-    joined = docs.join(found.where(F.size("copies") > 0).select("doc_id", F.col("copies").alias("__copies")), "doc_id", "left")
-    joined = joined.select(*columns, "__copies")
+    joined = with_values(docs, found.where(F.size("copies") > 0).select("doc_id", F.col("copies").alias("__copies")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
