@@ -145,8 +145,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
     kept = staged(suffixes(docs, length, k))
     distinct = kept.groupBy("gram", "block", "windows").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
     distinct = staged(distinct)
+    # Tables with one row per key are written before they are joined, so that Spark can split the other side's hot keys.
     near = distinct.groupBy("gram").agg(F.sum("n").alias("in_all"), F.count("*").alias("unequal")).where("in_all > 1")
-    named = staged(distinct.join(near.select("gram", "unequal"), "gram"))
+    named = staged(distinct.join(staged(near.select("gram", "unequal")), "gram"))
 
     alike = named.where("unequal = 1").select(
         "gram", "block", F.lit(0).alias("offset"), "windows", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")
@@ -158,7 +159,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
     by_doc = staged(by_doc)
     texts = within(docs.select("doc_id", "text"), by_doc).join(by_doc, "doc_id").dropDuplicates(["doc_id"])
     windows = staged(_windows(texts.select("text", "doc_id", "named"), length))
-    twice = (
+    twice = staged(
         windows.groupBy("gram", "window")
         .agg(F.sum("n").alias("in_all"), F.min(F.struct("first_doc", "first_start")).alias("first"))
         .where("in_all > 1")
@@ -169,7 +170,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
     found = alike.unionByName(single).groupBy("gram", "block").agg(
         F.collect_list(F.struct("offset", "windows", "first_doc", "first_start")).alias("runs")  # one per window of a block at most
     )
-    rows = kept.select("gram", "block", "doc_id", "start").join(found, ["gram", "block"])
+    rows = kept.select("gram", "block", "doc_id", "start").join(staged(found), ["gram", "block"])
     return rows.select("doc_id", "start", F.explode("runs").alias("r")).select(
         "doc_id", (F.col("start") + F.col("r.offset")).alias("start"), "r.windows", "r.first_doc", "r.first_start"
     )
