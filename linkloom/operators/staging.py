@@ -41,19 +41,17 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def mark(spark: SparkSession) -> int:
-    """How many tables were staged so far: what `release` may keep."""
-    return len(_written.get(spark.sparkContext.applicationId, []))
+def staged_by(spark: SparkSession, since: int = 0) -> list[str]:
+    """Folders of the tables that this application has staged, but for the first `since`."""
+    return _written.get(spark.sparkContext.applicationId, [])[since:]
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Remove the tables staged after a `mark`.
+def release(spark: SparkSession, places: list[str]) -> None:
+    """Remove staged tables.
 
     For a caller that has written or collected what was made from them; frames
     that still read them fail afterwards.
     """
-    places = _written.get(spark.sparkContext.applicationId, [])
-    for place in places[since:]:
+    for place in places:
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del places[since:]
