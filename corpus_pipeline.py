@@ -9,6 +9,8 @@ staged.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,62 +19,69 @@ from pyspark.sql import functions as F
 from linkloom.llm import bpe, decontaminate, jaccard, suffixes, toxicity
 from linkloom.llm.lists import without
 from linkloom.llm.shipping import ship
-from linkloom.operators.staging import mark, release, staging_dir
+from linkloom.operators.staging import release, staged_by, staging_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.7
-_begun: dict[str, int] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _next_stage(spark: SparkSession) -> None:
-    """Tables staged by the stage before are not read again once its result is written."""
-    ship(spark)
-    app = spark.sparkContext.applicationId
-    if app in _begun:
-        release(spark, _begun[app])
-    _begun[app] = mark(spark)
+def _stage(work: Callable) -> Callable:
+    """A stage that first removes what the stage before it had staged: its result is written by now."""
 
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        app = spark.sparkContext.applicationId
+        release(spark, _staged.pop(app, []))
+        before = len(staged_by(spark))
+        result = work(spark, docs, sf_dir)
+        _staged[app] = staged_by(spark, before)
+        return result
 
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
-    _next_stage(spark)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return toxicity.score(docs.select(COLUMNS), model).where(F.col("score") < TOXIC).select(COLUMNS)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id.
 
     Five words and a similarity of 0.8, the usual measure.  A document without
     words is like no other and stays.
     """
-    _next_stage(spark)
     near = jaccard.near_duplicates(docs, size=5, percent=80)
     return without(docs.select(COLUMNS), near.where("doc_id <> component_id").select("doc_id"))
 
 
+@_stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay where they occur first; `n_chars` follows the text."""
-    _next_stage(spark)
     found = suffixes.passages(docs.select("doc_id", "text"))
     kept = suffixes.without_copies(docs.select(COLUMNS), found)
     return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark items make up less than a twentieth."""
-    _next_stage(spark)
     found = decontaminate.judged(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")))
     return without(docs.select(COLUMNS), found.where("contaminated").select("doc_id"))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
-    _next_stage(spark)
     coded = bpe.encode(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
