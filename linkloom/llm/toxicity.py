@@ -35,7 +35,7 @@ LENGTHS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 PASSAGE = 8
-PER_CLASS = 2500
+PER_CLASS = 2000
 LEAST = 5
 
 _U = np.uint64
@@ -96,7 +96,7 @@ class Passages:
         per_passage = np.full(int(per_text.sum()), PASSAGE, np.int64)
         full = np.cumsum(per_text)[sizes > 0] - 1
         per_passage[full] = sizes[sizes > 0] - PASSAGE * (per_text[sizes > 0] - 1)
-        return cls(buckets, per_word, token.reshape(-1), per_passage, per_text)
+        return cls(buckets.astype(np.int32), per_word, token.reshape(-1).astype(np.int32), per_passage, per_text)
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
         """Logit of each passage, without bias."""
@@ -157,9 +157,11 @@ def train(
     of_word = np.repeat(np.arange(len(passages.per_word)), passages.per_word)
     known = _common(passages, of_word, least)
     used, local = np.unique(passages.buckets[known], return_inverse=True)
-    local, of_word = local.reshape(-1), of_word[known]
+    local, of_word = local.reshape(-1).astype(np.int32), of_word[known].astype(np.int32)
+    del known
+    passages.buckets = passages.buckets[:0]
     per_word = np.maximum(passages.per_word, 1)
-    of_passage = np.repeat(np.arange(len(passages.per_passage)), passages.per_passage)
+    of_passage = np.repeat(np.arange(len(passages.per_passage), dtype=np.int32), passages.per_passage)
     random = np.random.default_rng(seed)
     vectors = random.normal(0, 0.01, (len(used), DIMENSIONS))
     softmax = np.ones(DIMENSIONS)
@@ -167,7 +169,7 @@ def train(
     speed = [np.zeros_like(vectors), np.zeros_like(softmax), 0.0]
     for step in range(1, rounds + 1):
         sharpness = min(0.5 * 1.04**step, 6.0)
-        bucket = vectors @ softmax
+        bucket = np.einsum("ij,j->i", vectors, softmax)  # no library threads: Spark counts cores
         word = np.bincount(of_word, bucket[local], len(per_word)) / per_word
         passage = _means(word[passages.token], passages.per_passage)
         value, share = pooled(passage, passages.per_text, sharpness)
@@ -175,20 +177,22 @@ def train(
         to_passage = np.repeat(error, passages.per_text) * share / passages.per_passage
         to_word = np.bincount(passages.token, to_passage[of_passage], len(word)) / per_word
         to_bucket = np.bincount(local, to_word[of_word], len(used))
-        steps = [rate * (to_bucket[:, None] * softmax + decay * vectors), 0.01 * rate * (to_bucket @ vectors), 0.1 * error.sum()]
+        steps = [rate * (to_bucket[:, None] * softmax + decay * vectors), 0.01 * rate * np.einsum("i,ij->j", to_bucket, vectors), 0.1 * error.sum()]
         speed = [momentum * v - g for v, g in zip(speed, steps)]
         vectors += speed[0]
         softmax += speed[1]
         bias += speed[2]
     weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = vectors @ softmax
+    weights[used] = np.einsum("ij,j->i", vectors, softmax)
     return Model(weights, float(bias), sharpness)
 
 
 def _common(passages: Passages, of_word: np.ndarray, least: int) -> np.ndarray:
     """Which subwords have a bucket that `least` texts use, a word counted once per text."""
     of_text = np.repeat(np.repeat(np.arange(len(passages.per_text)), passages.per_text), passages.per_passage)
-    pairs = np.unique(of_text * len(passages.per_word) + passages.token)
+    of_text *= len(passages.per_word)
+    of_text += passages.token
+    pairs = np.unique(of_text)
     texts = np.bincount(pairs % len(passages.per_word), minlength=len(passages.per_word))
     return np.bincount(passages.buckets, texts[of_word], BUCKETS)[passages.buckets] >= least
 
@@ -209,7 +213,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> li
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     rows = sample(docs, labels, per_class)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    texts, toxic = [t for t, _ in rows], [y for _, y in rows]
+    del rows
+    return train(texts, toxic)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
