@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from linkloom import fixed_values as fixed
 from linkloom.functions.sql import each, record
-from linkloom.functions.text import all_matches, extract, first_group, strip
+from linkloom.functions.text import all_matches, extract, first_group, head, strip
+from linkloom.limits import limits
 
 
 def _from_run_start(pattern: str) -> str:
@@ -16,9 +17,9 @@ def _from_run_start(pattern: str) -> str:
 
 
 def amounts(text: str) -> str:
-    """First ten dollar amounts: array<struct<value, unit, raw>>, unit null if none is given."""
+    """Dollar amounts: array<struct<value, unit, raw>>, unit null if none is given."""
     return each(
-        f"slice({all_matches(text, fixed.AMOUNT)}, 1, {fixed.FACTS_PER_TEXT})",
+        head(all_matches(text, fixed.AMOUNT), limits().facts_per_text),
         lambda raw: record(
             value=extract(raw, fixed.AMOUNT, 1), unit=f"nullif({extract(raw, fixed.AMOUNT, 2)}, '')", raw=raw
         ),
@@ -26,8 +27,8 @@ def amounts(text: str) -> str:
 
 
 def percentages(text: str) -> str:
-    """First ten percentages, as written."""
-    return f"slice({all_matches(text, _from_run_start(fixed.PERCENTAGE))}, 1, {fixed.FACTS_PER_TEXT})"
+    """Percentages, as written."""
+    return head(all_matches(text, _from_run_start(fixed.PERCENTAGE)), limits().facts_per_text)
 
 
 def followers(text: str) -> str:

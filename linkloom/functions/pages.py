@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from linkloom import fixed_values as fixed
 from linkloom.functions.sql import any_of, cases, each, each_numbered, first, keep, let, quote, record, some
-from linkloom.functions.text import replace_all, shorten, shorten_at_blank, strip
+from linkloom.functions.text import head, replace_all, shorten, shorten_at_blank, strip
+from linkloom.limits import limits
 
 NO_SECTIONS = "cast(array() AS array<struct<level:tinyint,heading:string,content:string>>)"
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -103,10 +104,10 @@ def long_texts(elements: str, *tags: str) -> str:
 
 
 def _section(heading: str, paragraphs: str) -> str:
-    cut = each(paragraphs, lambda p: shorten_at_blank(f"{p}.text", fixed.PARAGRAPH_BYTES))
+    cut = each(paragraphs, lambda p: shorten_at_blank(f"{p}.text", limits().paragraph_bytes))
     return record(
         level=f"cast(substring({heading}.tag, 2, 1) AS tinyint)",
-        heading=shorten_at_blank(f"{heading}.text", fixed.HEADING_BYTES),
+        heading=shorten_at_blank(f"{heading}.text", limits().heading_bytes),
         content=f"array_join({cut}, '\n\n')",
     )
 
@@ -131,7 +132,7 @@ def _by_place(headings: str, paragraphs: str) -> str:
 
 
 def sections(elements: str, main: str, place: str, order: str = "tag") -> str:
-    """array<struct<level, heading, content>>, at most fifty.
+    """array<struct<level, heading, content>>.
 
     `order="tag"` gives the established result: all headings are visited
     before all paragraphs, so the last heading of the deepest level gets every
@@ -143,7 +144,7 @@ def sections(elements: str, main: str, place: str, order: str = "tag") -> str:
         lambda headings: let(long_texts(main, "p"), lambda paragraphs: build(headings, paragraphs)),
     )
     chosen = let(found, lambda s: f"if(size({s}) > 0, {s}, {whole_text_section(elements, place)})")
-    return f"slice({chosen}, 1, {fixed.SECTIONS_PER_PAGE})"
+    return head(chosen, limits().sections_per_page)
 
 
 def whole_text_section(elements: str, place: str) -> str:
@@ -153,19 +154,20 @@ def whole_text_section(elements: str, place: str) -> str:
         with_tags(inside(elements, place), "#text"),
         lambda e: replace_all(text_of(e), rf"(?>(\S{{{width}}}|.{{1,{width}}}(?=\s|\z)))\s*+(?=\S)", "$1\n"),
     )
-    content = f"array_join(slice(split(array_join({wrapped}, '\n'), '\n'), 1, {fixed.FALLBACK_LINES}), '\n')"
+    lines = f"split(array_join({wrapped}, '\n'), '\n')"
+    content = f"array_join({head(lines, limits().fallback_lines)}, '\n')"
     return each(
         keep(f"array({content})", lambda text: f"{text} <> ''"),
         lambda text: record(
             level="cast(1 AS tinyint)",
             heading=quote(fixed.FALLBACK_HEADING),
-            content=shorten_at_blank(text, fixed.FALLBACK_BYTES),
+            content=shorten_at_blank(text, limits().fallback_bytes),
         ),
     )
 
 
 def links(main: str) -> str:
-    """First fifty distinct targets with the text of their first link."""
+    """Distinct targets with the text of their first link."""
     usable = keep(
         each(
             with_tags(main, "a"), lambda e: record(text=strip(text_of(e)), href=f"{e}.href", url=f"{e}.link")
@@ -177,9 +179,9 @@ def links(main: str) -> str:
     def first_of_each(found: str, targets: str) -> str:
         def link(url: str) -> str:
             text = f"get({found}, cast(array_position({targets}, {url}) AS int) - 1).text"
-            return record(text=let(text, lambda t: shorten(t, fixed.LINK_TEXT_BYTES)), url=url)
+            return record(text=let(text, lambda t: shorten(t, limits().link_text_bytes)), url=url)
 
-        return each(f"slice(array_distinct({targets}), 1, {fixed.LINKS_PER_PAGE})", link)
+        return each(head(f"array_distinct({targets})", limits().links_per_page), link)
 
     return let(usable, lambda found: let(f"{found}.url", lambda targets: first_of_each(found, targets)))
 
@@ -187,10 +189,9 @@ def links(main: str) -> str:
 def code_blocks(main: str) -> str:
     """Distinct code: `code` in `pre` first, then any `pre`.
 
-    Twenty at most, but when the first kind fills the twenty, the second may
-    still add one.
+    Under a limit, when the first kind fills it, the second may still add one.
     """
-    most = fixed.CODE_PER_PAGE
+    most = limits().code_per_page
 
     def usable(kind: str) -> str:
         trimmed = each(kind, lambda e: record(source=strip(text_of(e)), classes=f"{e}.class"))
@@ -203,11 +204,12 @@ def code_blocks(main: str) -> str:
             lambda t: f"startswith({t}, 'language-') OR startswith({t}, 'lang-')",
         )
         lang = replace_all(first(tokens), r"^(?:language-)*(?:lang-)*", "")
-        return record(lang=lang, source=shorten_at_blank(text, fixed.CODE_BYTES))
+        return record(lang=lang, source=shorten_at_blank(text, limits().code_bytes))
 
     def chosen(inner: str, whole: str, initial: str) -> str:
-        room = f"if(size({initial}) = {most}, 1, {most} - size({initial}))"
-        more = f"slice(array_except({whole}.source, {initial}), 1, {room})"
+        more = f"array_except({whole}.source, {initial})"
+        if most is not None:
+            more = f"slice({more}, 1, if(size({initial}) = {most}, 1, {most} - size({initial})))"
         return f"concat({each(initial, lambda t: described(t, inner))}, {each(more, lambda t: described(t, whole))})"
 
     def of_page(outer: str) -> str:
@@ -220,7 +222,7 @@ def code_blocks(main: str) -> str:
             lambda inner: let(
                 usable(outer),
                 lambda whole: let(
-                    f"slice(array_distinct({inner}.source), 1, {most})",
+                    head(f"array_distinct({inner}.source)", most),
                     lambda initial: chosen(inner, whole, initial),
                 ),
             ),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from linkloom import fixed_values as fixed
 from linkloom.functions.sql import any_of, cases, each, each_numbered, first, fold, keep, let, pairs, quote, record
 from linkloom.functions.text import (
-    contains_any, extract, first_group, matches, replace_all, shorten, strip,
+    contains_any, extract, first_group, head, matches, replace_all, shorten, strip,
 )
+from linkloom.limits import limits
 from linkloom.functions.urls import urls_in_paper
 
 
@@ -62,7 +63,7 @@ def sections(raw_lines: str) -> str:
 
 
 def _sections_between(trimmed: str, starts: str) -> str:
-    most = fixed.SECTIONS_PER_PAPER
+    most = limits().sections_per_paper
 
     def whole(edge: str, number: str) -> str:
         until = f"coalesce(get({starts}, {number}), size({trimmed}))"
@@ -78,14 +79,14 @@ def _sections_between(trimmed: str, starts: str) -> str:
     def limited(s: str) -> str:
         return record(
             level=f"cast(if({s}.numbered, {heading_level(f'{s}.heading')}, 1) AS tinyint)",
-            heading=shorten(f"{s}.heading", fixed.HEADING_BYTES),
-            content=shorten(f"{s}.content", fixed.SECTION_BYTES),
+            heading=shorten(f"{s}.heading", limits().heading_bytes),
+            content=shorten(f"{s}.content", limits().section_bytes),
         )
 
     # Only the last section can be empty: every other one passed the byte test.
-    edges = f"slice(concat(array(-1), {starts}), 1, {most + 1})"
+    edges = head(f"concat(array(-1), {starts})", most and most + 1)
     kept = keep(each_numbered(edges, whole), lambda s: f"{s}.content <> ''")
-    return each(f"slice({kept}, 1, {most})", limited)
+    return each(head(kept, most), limited)
 
 
 def is_code_line(line: str) -> str:
@@ -94,7 +95,7 @@ def is_code_line(line: str) -> str:
 
 
 def code_islands(raw_lines: str) -> str:
-    """Runs of at least three code lines: array<struct<lang, source>>, first ten."""
+    """Runs of at least three code lines: array<struct<lang, source>>."""
     return let(
         raw_lines,
         lambda kept: let(
@@ -124,8 +125,8 @@ def _islands(raw_lines: str, runs: str) -> str:
     joined = each(long_runs, lambda run: f"array_join(slice({raw_lines}, {run}.first + 1, {run}.count), '\n')")
     sources = keep(joined, lambda source: f"octet_length({source}) >= {fixed.SHORTEST_ISLAND}")
     return each(
-        f"slice({sources}, 1, {fixed.CODE_PER_PAPER})",
-        lambda source: record(lang=language(source), source=shorten(source, fixed.CODE_BYTES)),
+        head(sources, limits().code_per_paper),
+        lambda source: record(lang=language(source), source=shorten(source, limits().code_bytes)),
     )
 
 
@@ -174,8 +175,8 @@ def doi(text: str) -> str:
 
 
 def links(text: str) -> str:
-    """First fifty distinct URLs: array<struct<text, url>>."""
+    """Distinct URLs: array<struct<text, url>>."""
     return each(
-        f"slice({urls_in_paper(text)}, 1, {fixed.LINKS_PER_PAPER})",
-        lambda url: record(text=shorten(url, fixed.LINK_TEXT_BYTES), url=url),
+        head(urls_in_paper(text), limits().links_per_paper),
+        lambda url: record(text=shorten(url, limits().link_text_bytes), url=url),
     )

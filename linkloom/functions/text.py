@@ -50,20 +50,29 @@ def head_bytes(text: str, size: int) -> str:
     return let(f"cast({text} AS binary)", cut)
 
 
-def shorten(text: str, limit: int) -> str:
+def head(array: str, most: int | None) -> str:
+    """The first `most` items, or all."""
+    return array if most is None else f"slice({array}, 1, {most})"
+
+
+def shorten(text: str, limit: int | None) -> str:
     """At most `limit` bytes, the last three of them dots when text was cut."""
+    if limit is None:
+        return text
     return f"if(octet_length({text}) <= {limit}, {text}, concat({head_bytes(text, limit - 3)}, '...'))"
 
 
-def shorten_at_blank(text: str, limit: int) -> str:
+def shorten_at_blank(text: str, limit: int | None) -> str:
     """Cut at `limit` bytes, going back to a blank within the final 50 bytes, plus dots."""
+    if limit is None:
+        return text
 
-    def cut(head: str) -> str:
+    def cut(start: str) -> str:
         def at_blank(blank: str) -> str:  # -1: there is none
-            back = f"cast(substring(cast({head} AS binary), 1, {blank}) AS string)"
-            return f"if({blank} > greatest(octet_length({head}) - 50, 0), {back}, {head})"
+            back = f"cast(substring(cast({start} AS binary), 1, {blank}) AS string)"
+            return f"if({blank} > greatest(octet_length({start}) - 50, 0), {back}, {start})"
 
-        return let(f"octet_length({head}) - octet_length(substring_index({head}, ' ', -1)) - 1", at_blank)
+        return let(f"octet_length({start}) - octet_length(substring_index({start}, ' ', -1)) - 1", at_blank)
 
     return f"if(octet_length({text}) <= {limit}, {text}, concat({let(head_bytes(text, limit), cut)}, '...'))"
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import facts as fact
 from linkloom.functions import health as judge
 from linkloom.functions import urls as url_functions
+from linkloom.limits import ESTABLISHED, WHOLE, Limits, using
 from linkloom.operators import citations, facts, health, pages, papers, registry, rollups
 from linkloom.operators.snapshot import first_attempts
 from linkloom.operators.unfold import unfold
@@ -369,4 +372,19 @@ _ALL = [
     page_text_fallback, page_code, page_json,
     scan_report, verify_report, link_report_rows, fact_report_rows,
 ]
-QUERIES = {query.__name__: query for query in _ALL}
+_UNCUT = [amounts, percentages, fact_records, doc_links, page_links]
+
+
+def _under(chosen: Limits, query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        with using(chosen):
+            return query(spark, sf)
+
+    return run
+
+
+# Under the established cuts each query has its plain name.  Those whose test views reach a cut are there uncut as well.
+QUERIES = {query.__name__: _under(ESTABLISHED, query) for query in _ALL} | {
+    f"{query.__name__}_whole": _under(WHOLE, query) for query in _UNCUT
+}

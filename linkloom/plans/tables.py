@@ -20,13 +20,13 @@ _TABLES_OF = {
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input with fewer splits than cores.
+    """Give every core a share of an input that is a single split.
 
     Text work is bound by CPU, and one small file would keep one core busy.
-    Inputs of a real size have more splits than cores and stay as they are.
+    Inputs of a real size have many splits and stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() == 1 else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from linkloom.limits import ESTABLISHED, using  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -23,6 +25,12 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def established_limits():
+    with using(ESTABLISHED):
+        yield
+
+
 @pytest.fixture(scope="session")
 def value(spark):
     """Value of an SQL expression over named texts: value(fn('t'), t='...')."""

@@ -7,6 +7,7 @@ import pytest
 
 from linkloom import fixed_values as fixed
 from linkloom.functions import facts, health, papers, text, urls
+from linkloom.limits import WHOLE, limits, using
 
 
 def test_urls_lose_their_tail_and_keep_first_seen_order(value):
@@ -277,3 +278,11 @@ def test_long_runs_take_no_quadratic_time(value):
 def test_fixed_lists_hold_no_pattern_signs():
     for rules in (fixed.PAYWALL_ATTRIBUTES, fixed.LOGIN_ATTRIBUTES):
         assert all(part.replace("-", "").isalpha() for _, parts in rules for part in parts)
+
+
+def test_nothing_is_cut_without_limits(value):
+    many = " ".join(f"{n}%" for n in range(30))
+    assert value(f"size({facts.percentages('t')})", t=many) == 10
+    with using(WHOLE):
+        assert value(f"size({facts.percentages('t')})", t=many) == 30
+        assert value(text.shorten("t", limits().link_text_bytes), t="x" * 500) == "x" * 500
