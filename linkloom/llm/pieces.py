@@ -15,6 +15,12 @@ _STARTS_BLANK = np.zeros(256, bool)  # first bytes of white space beyond ASCII,
 _STARTS_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+
+
 @dataclass
 class Pieces:
     """Piece i of all texts is `distinct[index[i]]`; text d has pieces first[d] to first[d + 1]."""
@@ -27,7 +33,8 @@ class Pieces:
 def cut(texts: pa.Array) -> Pieces:
     """Cut before a single blank or newline that stands between characters that are no white space.
 
-    Where white space beyond ASCII may be next to it, no cut is made.
+    Where white space beyond ASCII may be next to it, no cut is made.  Marks
+    such as a comma are cut off the letter before them.
     """
     data, at = text_bytes(texts)
     n = len(data)
@@ -39,6 +46,7 @@ def cut(texts: pa.Array) -> Pieces:
     spots = np.flatnonzero(good)
     before, prior = data[spots - 1], data[np.maximum(spots - 2, 0)]
     good[spots[_ENDS_BLANK[before] & ((prior == 0xC2) | ((prior >= 0x80) & (prior < 0xC0)))]] = False
+    good[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
     inner = at[(at > 0) & (at < n)]
     good[inner - 1] = False  # blanks at the seams of two texts
     good[inner] = True  # a text's own start
@@ -53,7 +61,7 @@ def cut(texts: pa.Array) -> Pieces:
 class IdLists:
     """Growing lists of token ids, found by piece; emptied when a bound of entries is passed."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
         self.place: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -62,7 +70,7 @@ class IdLists:
         """(ids, starts, sizes): list i is ids[starts[i]:starts[i] + sizes[i]]; `encode` gives the lists of new pieces."""
         if len(self.place) > self.most:
             self.__init__(self.most)
-        new = [p for p in pieces if p not in self.place]
+        new = list(dict.fromkeys(p for p in pieces if p not in self.place))
         if new:
             ids, sizes = encode(new)
             starts = len(self.ids) + np.cumsum(sizes) - sizes
@@ -82,7 +90,7 @@ def joined(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pieces: Piece
     return ids[spread_ranges(starts[pieces.index], lengths)], ends[pieces.first]
 
 
-def slices(texts: pa.Array, most: int = 16 << 20):
+def slices(texts: pa.Array, most: int = 8 << 20):
     """The texts again, some megabytes at a time; one text is never cut."""
     _, at = text_bytes(texts)
     lo = 0

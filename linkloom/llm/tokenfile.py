@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.pieces import IdLists, cut, joined, slices
+from linkloom.llm.sampling import some_rows
+from linkloom.llm.words import spread_ranges
 from linkloom.operators.staging import staged
 
 MAGIC = b"LLTK"
@@ -44,6 +47,7 @@ SAMPLE_DOCS = 400
 SAMPLE_CHARS = (100, 8_000)  # the dictionary serves short documents
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
+LINE_WORDS = 500
 
 FRAMES = "doc_id bigint, n_tokens bigint, frame binary"
 BLOCKS = "part int, block int, n_docs bigint, n_ids bigint, first_doc bigint, last_doc bigint, payload binary"
@@ -56,7 +60,10 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), IdLists()
+    library = Tokenizer.from_file(path)
+    closes = np.zeros(max(library.get_vocab().values()) + 1, bool)
+    closes[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
+    return library, IdLists(), closes
 
 
 def token_lists(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -65,15 +72,33 @@ def token_lists(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     The tokenizer drops white space and never looks across it, so each distinct
     piece is encoded once.
     """
-    library, held = _tokenizer(path)
+    library, held, closes = _tokenizer(path)
 
-    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in library.encode_batch([p.decode() for p in new], add_special_tokens=False)]
+    def each(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in library.encode_batch_fast(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words go through in lines of many; each ends with the first token that closes a word."""
+        words = [p.decode() for p in new]
+        plain = np.fromiter((w.strip(" \n").isalpha() and max(w) < "\u0100" for w in words), bool, len(words))
+        lines = [w for w, simple in zip(words, plain.tolist()) if simple]
+        ids, _ = each([" ".join(lines[i : i + LINE_WORDS]) for i in range(0, len(lines), LINE_WORDS)])
+        ends = np.flatnonzero(closes[ids])
+        if len(ends) != len(lines):
+            return each(words)
+        rest, rest_sizes = each([w for w, simple in zip(words, plain.tolist()) if not simple])
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(ends, prepend=-1), rest_sizes
+        starts[plain] = ends + 1 - sizes[plain]
+        starts[~plain] = len(ids) + np.cumsum(rest_sizes) - rest_sizes
+        return np.concatenate([ids, rest])[spread_ranges(starts, sizes)], sizes
 
     pieces = cut(texts)
-    return joined(*held.of(pieces.distinct, encode), pieces)
+    # The tokenizer lower-cases; what may be a special token is left as it is.
+    folded = [p if b"<" in p else p.lower() for p in pieces.distinct]
+    return joined(*held.of(folded, encode), pieces)
 
 
 def id_width(path: str) -> int:
@@ -86,13 +111,13 @@ def _codec(dictionary: bytes):
 
 
 def train(docs: DataFrame, path: str, end_id: int, text: str = "text") -> bytes:
-    """A dictionary from a bounded sample: the documents of medium length with the least hashes.
+    """A dictionary from a bounded sample of documents of medium length.
 
     The sample decides about compression only, never about contents.
     """
     size = F.char_length(text)
-    sample = docs.where((size >= SAMPLE_CHARS[0]) & (size <= SAMPLE_CHARS[1])).select(F.col(text).alias("t"))
-    texts = [r.t for r in sample.orderBy(F.xxhash64("t")).limit(SAMPLE_DOCS).collect()]
+    short = docs.where((size >= SAMPLE_CHARS[0]) & (size <= SAMPLE_CHARS[1])).select(F.col(text).alias("t"))
+    texts = [r.t for r in some_rows(short, SAMPLE_DOCS, docs.count())]
     ids, bounds = token_lists(pa.array(texts, pa.string()), path)
     kind = f"<u{id_width(path)}"
     samples = [np.append(ids[a:b], end_id).astype(kind).tobytes() for a, b in zip(bounds, bounds[1:])]
