@@ -51,7 +51,7 @@ SHORT = 32
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
-    for part in slices(texts):
+    for part in slices(texts, 4 << 20):
         words = split_words(part, NOT_BLANK, fold=True)
         hashes = grams(words.hash, size)
         for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):

@@ -1,4 +1,4 @@
-"""The package's source for executors that have no copy of it."""
+"""What jobs of these operators need on executors: the package's source, and batches of a bounded size."""
 
 from __future__ import annotations
 
@@ -10,12 +10,18 @@ from pyspark.sql import SparkSession
 
 import linkloom
 
+#: Texts come to Python in batches of this size, so that workers stay small next to the executor's heap.
+BATCH_BYTES = 4 << 20
+
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package along with the jobs of this application, once."""
+    """Send the package along with the jobs of this application, once, and bound the batches of this session."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCHES, None) != str(BATCH_BYTES):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(linkloom.__file__))
