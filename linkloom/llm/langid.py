@@ -3,9 +3,12 @@
 Every language has a model of the letters of words: four letters deep, with
 marks for the ends of a word.  Counts come from all learning texts: each task
 counts the distinct words of a batch once, Spark adds up (language, gram).
-The models lie in sorted arrays of 64-bit keys with a column per language; a
-language's rarest grams beyond `most_grams` are left out, which bounds what is
-sent to the tasks.
+All grams count.  The models lie in sorted arrays of 64-bit keys with a column
+per language, in shards of a bounded size: a shard has every gram of some
+letters before the last, so it tells the probabilities of its grams alone.
+Discounts, letters and pairs of letters are counted in Spark over all grams.
+Texts meet one shard at a time and carry the bits told so far; with one shard
+that is a single pass.  Only a pair of letters is never split over shards.
 
 A text gets the language of the least cross-entropy per letter.  It is marked
 as rejected if that entropy is above what all but a few texts of the language
@@ -19,22 +22,25 @@ as they occur; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from linkloom.llm.pieces import slices
 from linkloom.llm.sampling import some_rows
 from linkloom.llm.words import split_words
-from linkloom.operators.staging import staged
+from linkloom.operators.staging import release, staged, staged_by
 
 DEPTH = 4
-MOST_GRAMS = 300_000
+SHARD_CELLS = 16_000_000  # grams of a shard, times numbers for each
 CALIBRATION_TEXTS = 1_000
 REJECTED_SHARE = 0.005
 
@@ -122,7 +128,6 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     floor: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def log_probabilities(self, key: np.ndarray) -> np.ndarray:
         """log2 P(letter | letters before) in each language, for each key."""
@@ -132,12 +137,14 @@ class Model:
             p = _rows(*self.grams[depth - 1], short, 0.0) + _rows(*self.contexts[depth - 1], short >> _U(16), 1.0) * p
         return np.log2(p)
 
-    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per letter of each text in each language, and the number of letters and ends told."""
+    def bits(self, texts: pa.Array, span: Span) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text's grams within the span in each language, and the number of letters and ends of the text."""
         found = Batch.of(texts)
         n = len(found.first) - 1
         key, place = np.unique(found.key, return_inverse=True)
-        bits = -self.log_probabilities(key)
+        own = span.holds(key)
+        bits = np.zeros((len(key), len(self.langs)))
+        bits[own] = -self.log_probabilities(key[own])
         place = place.reshape(-1)
         sizes = np.bincount(found.word, minlength=found.n_words)
         told = _sums(sizes[found.token].astype(np.float64), found.first)
@@ -145,19 +152,73 @@ class Model:
         for i in range(len(self.langs)):
             of_word = np.bincount(found.word, bits[place, i], found.n_words)
             total[:, i] = _sums(of_word[found.token], found.first)
-        return total / np.maximum(told, 1)[:, None], told
+        return total, told
+
+
+@dataclass(frozen=True)
+class Span:
+    """Grams whose letter before the last is one of `lo` to `hi`, and the one before that is `rest` modulo `of`."""
+
+    lo: int = 0
+    hi: int = 0xFFFF
+    of: int = 1
+    rest: int = 0
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        last, prior = (key >> _U(16)) & _mask(1), (key >> _U(32)) & _mask(1)
+        return (last >= _U(self.lo)) & (last <= _U(self.hi)) & (prior % _U(self.of) == _U(self.rest))
+
+    def sql(self) -> Column:
+        last, prior = (F.shiftrightunsigned("key", k).bitwiseAND(0xFFFF) for k in (16, 32))
+        return last.between(self.lo, self.hi) & (prior % self.of == self.rest)
+
+
+def spans(sizes: dict[int, int], most: int) -> list[Span]:
+    """Spans of at most `most` grams that hold every key, from the number of grams by the letter before the last."""
+    found, lo, held = [], 0, 0
+    for letter in sorted(sizes):
+        size = sizes[letter]
+        if held and held + size > most:
+            found.append(Span(lo, letter - 1))
+            lo, held = letter, 0
+        if size > most:
+            if lo < letter:
+                found.append(Span(lo, letter - 1))
+            of = -(-size // most)
+            found.extend(Span(letter, letter, of, rest) for rest in range(of))
+            lo, held = letter + 1, 0
+        else:
+            held += size
+    return [*found, Span(lo)] if lo <= 0xFFFF else found
+
+
+@dataclass
+class Shards:
+    """Models of all languages, shard by shard."""
+
+    langs: list[str] = field(default_factory=list)
+    parts: list[tuple[Span, Broadcast]] = field(default_factory=list)
+    limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score, rejected) of each text; the score is the language's share of the evidence of up to 64 letters."""
+        """(language, score, rejected) of each text."""
         if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        entropy, told = self.entropies(texts)
-        best = entropy.argmin(1)
-        least = entropy[np.arange(len(best)), best]
-        share = np.exp2(-(entropy - least[:, None]) * np.minimum(told, 64)[:, None])
-        score = np.where(told > 0, 1 / share.sum(1), 0.0)
-        names = [self.langs[b] if t else "und" for b, t in zip(best.tolist(), (told > 0).tolist())]
-        return names, score, (told > 0) & (least > self.limit[best])
+            return _judged([], self.limit, np.zeros((len(texts), 0)), np.zeros(len(texts)))
+        told = [shared.value.bits(texts, span) for span, shared in self.parts]
+        return _judged(self.langs, self.limit, sum(bits for bits, _ in told), told[0][1])
+
+
+def _judged(langs: list[str], limit: np.ndarray, bits: np.ndarray, told: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, rejected) from each text's bits; the score is the language's share of the evidence of up to 64 letters."""
+    if not langs:
+        return ["und"] * len(told), np.zeros(len(told)), np.zeros(len(told), bool)
+    entropy = bits / np.maximum(told, 1)[:, None]
+    best = entropy.argmin(1)
+    least = entropy[np.arange(len(best)), best]
+    share = np.exp2(-(entropy - least[:, None]) * np.minimum(told, 64)[:, None])
+    score = np.where(told > 0, 1 / share.sum(1), 0.0)
+    names = [langs[b] if t else "und" for b, t in zip(best.tolist(), (told > 0).tolist())]
+    return names, score, (told > 0) & (least > limit[best])
 
 
 def _mask(depth: int) -> np.uint64:
@@ -177,29 +238,39 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def build(rows: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Models from (keys, counts) per language."""
-    model = Model(langs=sorted(rows))
-    size = len(model.langs)
+    """Models from all (keys, counts) of each language."""
+    langs = sorted(rows)
+    levels = [[rows[lang]] for lang in langs]
+    for found in levels:
+        for depth in range(DEPTH - 1, 0, -1):
+            found.insert(0, _continued(found[0][0], depth))
+    discounts = [[_discount(int((n == 1).sum()), int((n == 2).sum())) for _, n in found] for found in levels]
+    return _model(langs, levels, discounts)
+
+
+def _continued(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of `depth` letters: they count by how many different letters come before them."""
+    return np.unique(key & _mask(depth), return_counts=True)
+
+
+def _discount(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.95)
+
+
+def _model(langs: list[str], levels: list[list[tuple[np.ndarray, np.ndarray]]], discounts: list[list[float]]) -> Model:
+    """Models from (keys, counts) and discounts by language and depth; every depth has all grams of each of its contexts."""
     parts = [[] for _ in range(DEPTH)]
     weights = [[] for _ in range(DEPTH)]
-    letters = 1
-    for lang in model.langs:
-        key, n = rows[lang]
-        letters = max(letters, len(np.unique(key & _mask(1))) + 1)
-        for depth in range(DEPTH, 0, -1):
-            once, twice = int((n == 1).sum()), int((n == 2).sum())
-            discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.95)
+    for found, less in zip(levels, discounts):
+        for depth, ((key, n), discount) in enumerate(zip(found, less)):
             context, place = np.unique(key >> _U(16), return_inverse=True)
-            total, kinds = np.bincount(place, n), np.bincount(place)
-            parts[depth - 1].append((key, (n - np.minimum(discount, n)) / total[place]))
-            weights[depth - 1].append((context, np.minimum(discount * kinds / total, 1.0)))
-            # Below, a gram counts by how many different letters come before it.
-            key, n = np.unique(key & _mask(depth - 1), return_counts=True) if depth > 1 else (key, n)
-    model.grams = [_table(p, size, 0.0) for p in parts]
-    model.contexts = [_table(w, size, 1.0) for w in weights]
-    model.floor = np.full(size, 1.0 / letters)
-    model.limit = np.full(size, np.inf)
-    return model
+            place = place.reshape(-1)
+            total, kinds = np.bincount(place, n, len(context)), np.bincount(place, minlength=len(context))
+            parts[depth].append((key, (n - np.minimum(discount, n)) / total[place]))
+            weights[depth].append((context, np.minimum(discount * kinds / total, 1.0)))
+    size, letters = len(langs), 1 + max(len(found[0][0]) for found in levels)
+    grams, contexts = [_table(p, size, 0.0) for p in parts], [_table(w, size, 1.0) for w in weights]
+    return Model(langs, grams, contexts, np.full(size, 1.0 / letters))
 
 
 def _table(columns: list[tuple[np.ndarray, np.ndarray]], size: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -210,20 +281,17 @@ def _table(columns: list[tuple[np.ndarray, np.ndarray]], size: int, missing: flo
     return keys, values
 
 
-def fit(docs: DataFrame, most_grams: int = MOST_GRAMS, calibration_texts: int = CALIBRATION_TEXTS) -> Model:
+def fit(docs: DataFrame, shard_cells: int = SHARD_CELLS, calibration_texts: int = CALIBRATION_TEXTS) -> Shards:
     """Models of every non-null `lang` of (text, lang), from all texts; the rejection limits from a sample."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    found = counts(known)
-    # At most `most_grams` rows of three numbers for each language come to the driver.
-    langs = [r.lang for r in known.select("lang").distinct().collect()]
-    rows = {}
-    for r in _most_frequent(found, langs, most_grams).collect():
-        rows[r.lang] = (np.array(r.keys, np.int64).view(_U), np.array(r.ns, np.float64))
-    if not rows:
-        return Model()
-    model = build({lang: (k[np.argsort(k)], n[np.argsort(k)]) for lang, (k, n) in rows.items()})
+    model = _shards(staged(counts(known)), shard_cells)
+    if not model.langs:
+        return model
     sample = some_rows(known, calibration_texts, known.count())
-    entropy, told = model.entropies(pa.array([r.text for r in sample], pa.string()))
+    texts = pa.array([r.text for r in sample], pa.string())
+    found = [shared.value.bits(texts, span) for span, shared in model.parts]
+    told = found[0][1]
+    entropy = sum(bits for bits, _ in found) / np.maximum(told, 1)[:, None]
     for i, lang in enumerate(model.langs):
         own = np.array([r.lang == lang for r in sample], bool) & (told > 0)
         if own.any():
@@ -231,37 +299,99 @@ def fit(docs: DataFrame, most_grams: int = MOST_GRAMS, calibration_texts: int =
     return model
 
 
-def _most_frequent(found: DataFrame, langs: list[str], most: int) -> DataFrame:
-    """(lang, keys, ns): each language's grams, the rarest left out if they are too many."""
-    found = staged(found)
-    kept = None
-    for lang in langs:
-        some = found.where(F.col("lang") == lang).orderBy(F.desc("n"), "key").limit(most)
-        kept = some if kept is None else kept.unionByName(some)
-    if kept is None:
-        kept = found
-    return kept.groupBy("lang").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("ns"))
+def _shards(found: DataFrame, shard_cells: int) -> Shards:
+    """Models of the counted grams (lang, key, n).
+
+    To the driver come two numbers per language and depth, what is counted by
+    single letters, and the grams of one shard at a time.
+    """
+    levels = [found]
+    for depth in range(DEPTH - 1, 0, -1):
+        short = levels[0].select("lang", F.col("key").bitwiseAND(F.lit(int(_mask(depth)))).alias("key"))
+        levels.insert(0, short.groupBy("lang", "key").agg(F.count("*").alias("n")))
+    levels[1] = staged(levels[1])
+    levels[0] = levels[1].select("lang", F.col("key").bitwiseAND(0xFFFF).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
+    seen = [f.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect() for f in levels]
+    langs = sorted(r.lang for r in seen[0])
+    if not langs:
+        return Shards()
+    less = [{r.lang: _discount(r.once, r.twice) for r in rows} for rows in seen]
+    discounts = [[by_lang[lang] for by_lang in less] for lang in langs]
+    letters = _by_lang(levels[0], langs)
+    last = F.shiftrightunsigned("key", 16).bitwiseAND(0xFFFF)
+    sizes = {r.letter: r["count"] for r in found.groupBy(last.alias("letter")).count().collect()}
+    model = Shards(langs, [], np.full(len(langs), np.inf))
+    for span in spans(sizes, max(shard_cells // (len(langs) + 2), 1)):
+        whole = _by_lang(found.where(span.sql()), langs)
+        pairs = _by_lang(levels[1].where(Span(span.lo, span.hi).sql()), langs)
+        own = [[letters[i], pairs[i], _continued(whole[i][0], 3), whole[i]] for i in range(len(langs))]
+        model.parts.append((span, found.sparkSession.sparkContext.broadcast(_model(langs, own, discounts))))
+    return model
+
+
+def _by_lang(rows: DataFrame, langs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of each language, by key."""
+    table = rows.select("lang", "key", "n").toArrow().combine_chunks()
+    of = pc.index_in(table["lang"], pa.array(langs, pa.string())).to_numpy()
+    key, n = table["key"].to_numpy().view(_U), table["n"].to_numpy().astype(np.float64)
+    order = np.lexsort((key, of))
+    key, n, ends = key[order], n[order], np.searchsorted(of[order], np.arange(len(langs) + 1))
+    return [(key[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def _told(frame: DataFrame, model: Shards, text: str, finish: Callable, schema: StructType | str) -> DataFrame:
+    """What `finish` makes of (batch, bits in each language, letters) for batches of `frame`.
+
+    A pass for each shard; all but the last write the bits told so far beside
+    the columns, so that a task has one shard only.
+    """
+    columns, at = frame.columns, frame.columns.index(text)
+    place = None
+    for number, (span, shared) in enumerate(model.parts or [(None, None)]):
+        first, end = number == 0, number >= len(model.parts) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], span=span, shared=shared, first=first, end=end) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lo = 0
+                for texts in slices(batch.column(at)):
+                    part = batch.slice(lo, len(texts))
+                    lo += len(texts)
+                    if shared is None:
+                        bits, told = np.zeros((len(texts), 0)), np.zeros(len(texts))
+                    else:
+                        bits, told = shared.value.bits(texts, span)
+                    if not first:
+                        bits += part.column(len(columns)).flatten().to_numpy().reshape(bits.shape)
+                    own = pa.RecordBatch.from_arrays(part.columns[: len(columns)], names=columns)
+                    if end:
+                        yield finish(own, bits, told)
+                    else:
+                        so_far = pa.ListArray.from_arrays(np.arange(len(bits) + 1, dtype=np.int32) * bits.shape[1], bits.reshape(-1))
+                        yield pa.RecordBatch.from_arrays([*own.columns, so_far], names=[*columns, "__bits"])
+
+        if end:
+            return frame.mapInArrow(run, schema)
+        before, frame = place, frame.mapInArrow(run, StructType([*frame.schema.fields[: len(columns)], StructField("__bits", ArrayType(DoubleType()))]))
+        since = len(staged_by(spark := frame.sparkSession))
+        frame = staged(frame)
+        if before:
+            release(spark, before)
+        place = staged_by(spark, since)
+
+
+def predict(docs: DataFrame, model: Shards, text: str = "text") -> DataFrame:
     """All columns of `docs`, and `lang_pred`, `score`, `rejected`."""
     made = ["lang_pred", "score", "rejected"]
     columns = [c for c in docs.columns if c not in made]
     frame = docs.select(*(F.col(f"`{c}`") for c in columns))
-    at = columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    langs, limit = model.langs, model.limit
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lo = 0
-            for texts in slices(batch.column(at)):
-                names, score, rejected = shared.value.predict(texts)
-                part = batch.slice(lo, len(texts))
-                lo += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names), pa.array(score), pa.array(rejected)], names=[*columns, *made])
+    def finish(batch: pa.RecordBatch, bits: np.ndarray, told: np.ndarray) -> pa.RecordBatch:
+        names, score, rejected = _judged(langs, limit, bits, told)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=[*columns, *made])
 
     schema = frame.selectExpr("*", "'' AS lang_pred", "0.0D AS score", "true AS rejected").schema
-    return frame.mapInArrow(run, schema)
+    return _told(frame, model, text, finish, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -250,6 +250,43 @@ def test_language_probabilities_add_up():
         assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_language_keeps_every_gram(spark):
+    """Shards of any size give what all counts give together; a cut list of frequent grams does not."""
+    rng = random.Random(9)
+    langs = ["aa", "bb", "cc"]
+    letter = lambda i: chr(0x4E00 + max(0, rng.randrange(-20, 20 + 20 * i)))
+    rows = [(" ".join("".join(letter(i % 3) for _ in range(3)) for _ in range(20)), langs[i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    counted = defaultdict(Counter)
+    for text, lang in rows:
+        for word in text.split():
+            counted[lang].update(langid.grams_of([word.encode()])[0].tolist())
+    whole = {}
+    for lang, grams in counted.items():
+        keys = np.array(sorted(grams), np.uint64)
+        whole[lang] = (keys, np.array([grams[k] for k in keys.tolist()], float))
+    texts = pa.array([t for t, _ in rows[:9]] + ["never seen", "", None])
+    expected, told = langid.build(whole).bits(texts, langid.Span())
+    expected = expected / np.maximum(told, 1)[:, None]
+    for cells in (langid.SHARD_CELLS, 1_500):
+        model = langid.fit(docs, shard_cells=cells)
+        assert (len(model.parts) > 1) == (cells == 1_500) == any(span.of > 1 for span, _ in model.parts)
+        found = sum(shared.value.bits(texts, span)[0] for span, shared in model.parts)
+        assert found / np.maximum(told, 1)[:, None] == pytest.approx(expected, rel=1e-5)
+        assert model.predict(texts)[0][:9] == [lang for _, lang in rows[:9]]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "doc_id bigint, text string")
+    found = langid.predict(frame, model).orderBy("doc_id").collect()
+    names, score, rejected = model.predict(texts)
+    assert [(r.lang_pred, r.rejected) for r in found] == list(zip(names, rejected.tolist()))
+    assert [r.score for r in found] == pytest.approx(score.tolist())
+
+
+def test_language_spans_hold_every_key():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    for sizes, most in (({}, 5), ({0: 3, 7: 2, 9: 30, 0xFFFF: 30}, 10), ({0: 50, 1: 1}, 10)):
+        assert (sum(s.holds(keys).astype(int) for s in langid.spans(sizes, most)) == 1).all()
+
+
 # --- near duplicates ------------------------------------------------------------------
 
 
