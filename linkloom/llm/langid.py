@@ -12,7 +12,7 @@ that is a single pass.  Only a pair of letters is never split over shards.
 
 A text gets the language of the least cross-entropy per letter.  It is marked
 as rejected if that entropy is above what all but a few texts of the language
-have, measured on a bounded sample of learning texts.
+have, measured on all learning texts of the language.
 
 Defined results: a null text and one without a letter are `und` with score 0
 and not rejected; ties go to the language that sorts first; without learning
@@ -35,13 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from linkloom.llm.pieces import slices
-from linkloom.llm.sampling import some_rows
 from linkloom.llm.words import split_words
 from linkloom.operators.staging import release, staged, staged_by
 
 DEPTH = 4
 SHARD_CELLS = 16_000_000  # grams of a shard, times numbers for each
-CALIBRATION_TEXTS = 1_000
 REJECTED_SHARE = 0.005
 
 _U = np.uint64
@@ -281,21 +279,23 @@ def _table(columns: list[tuple[np.ndarray, np.ndarray]], size: int, missing: flo
     return keys, values
 
 
-def fit(docs: DataFrame, shard_cells: int = SHARD_CELLS, calibration_texts: int = CALIBRATION_TEXTS) -> Shards:
-    """Models of every non-null `lang` of (text, lang), from all texts; the rejection limits from a sample."""
+def fit(docs: DataFrame, shard_cells: int = SHARD_CELLS) -> Shards:
+    """Models of every non-null `lang` of (text, lang) and their rejection limits, from all texts."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     model = _shards(staged(counts(known)), shard_cells)
     if not model.langs:
         return model
-    sample = some_rows(known, calibration_texts, known.count())
-    texts = pa.array([r.text for r in sample], pa.string())
-    found = [shared.value.bits(texts, span) for span, shared in model.parts]
-    told = found[0][1]
-    entropy = sum(bits for bits, _ in found) / np.maximum(told, 1)[:, None]
-    for i, lang in enumerate(model.langs):
-        own = np.array([r.lang == lang for r in sample], bool) & (told > 0)
-        if own.any():
-            model.limit[i] = np.quantile(entropy[own, i], 1 - REJECTED_SHARE)
+    langs = model.langs
+
+    def finish(batch: pa.RecordBatch, bits: np.ndarray, told: np.ndarray) -> pa.RecordBatch:
+        own = pc.index_in(batch.column(1), pa.array(langs, pa.string())).fill_null(0).to_numpy(zero_copy_only=False)
+        entropy = bits[np.arange(len(own)), own] / np.maximum(told, 1)
+        use = pa.array(told > 0)
+        return pa.RecordBatch.from_arrays([batch.column(1).filter(use), pa.array(entropy).filter(use)], names=["lang", "entropy"])
+
+    texts = _told(known, model, "text", finish, "lang string, entropy double")
+    for r in texts.groupBy("lang").agg(F.percentile_approx("entropy", 1 - REJECTED_SHARE).alias("limit")).collect():
+        model.limit[langs.index(r.lang)] = r.limit
     return model
 
 

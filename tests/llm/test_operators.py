@@ -287,6 +287,21 @@ def test_language_spans_hold_every_key():
         assert (sum(s.holds(keys).astype(int) for s in langid.spans(sizes, most)) == 1).all()
 
 
+def test_language_limits_come_from_all_texts(spark):
+    """A rare language has its own limit, which few of its texts pass."""
+    rng = random.Random(3)
+    rare = [" ".join("".join(rng.choice("klmnuvwi") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(3, 40))) for _ in range(40)]
+    rows = [(prose(i, 6, 9), "often") for i in range(8000)] + [(t, "rare") for t in rare] + [("123", "signs"), (None, "rare")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    model = langid.fit(docs)
+    assert model.langs == ["often", "rare"] and np.isfinite(model.limit).all()
+    names, _, rejected = model.predict(pa.array(rare))
+    assert names == ["rare"] * 40 and not rejected.any()
+    own = spark.createDataFrame([(t,) for t, lang in rows if lang == "often"], "text string")
+    refused = langid.predict(own, model).where("rejected").count()
+    assert 0 < refused <= 60
+
+
 # --- near duplicates ------------------------------------------------------------------
 
 
