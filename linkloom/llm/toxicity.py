@@ -35,7 +35,7 @@ LENGTHS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 PASSAGE = 8
-PER_CLASS = 2000
+PER_CLASS = 2500
 LEAST = 5
 
 _U = np.uint64

@@ -517,6 +517,12 @@ def test_toxicity_of_odd_texts(spark, odd, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_sample_is_not_lowered(spark):
+    ids = spark.range(5200)
+    docs, labels = ids.selectExpr("id AS doc_id", "concat('text ', id) AS text"), ids.selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    assert Counter(toxic for _, toxic in toxicity.sample(docs, labels)) == {0: 2500, 1: 2500}
+
+
 def test_toxicity_without_labels(spark, odd):
     labels = spark.createDataFrame([(4, None), (None, 1), (77, 1)], "doc_id bigint, toxic int")
     assert {r.score for r in toxicity.score(odd, toxicity.fit(odd, labels)).collect()} == {0.0}
