@@ -40,7 +40,7 @@ def markdown_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
 
 
 class HiddenFilesError(ValueError):
-    """A pattern names files that Spark's readers pass over, as their names begin with `_` or `.`."""
+    """A pattern names files that Spark's readers pass over, as their names or folders begin with `_` or `.`."""
 
 
 def _refuse_hidden(files, place, spark: SparkSession) -> None:
@@ -53,6 +53,26 @@ def _refuse_hidden(files, place, spark: SparkSession) -> None:
         raise HiddenFilesError(f"cannot read, rename them: {', '.join(hidden)}")
 
 
+def _refuse_hidden_below(files, pattern: str, spark: SparkSession) -> None:
+    """The same for `**`, which also loses what lies in folders with such names."""
+    wanted = re.compile(_glob_regex(pattern.removeprefix("./")))
+    store = re.match(r"[a-z0-9]+://[^/]*", pattern)
+    here = "" if store or pattern.startswith("/") else files.getWorkingDirectory().toUri().getPath().rstrip("/") + "/"
+    hidden = []
+    for top in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern.split("**")[0] or ".")) or []:
+        root = top.getPath().toUri().getPath().rstrip("/") + "/"
+        found = files.listFiles(top.getPath(), True)
+        while found.hasNext():
+            path = found.next().getPath().toUri().getPath()
+            names = path.removeprefix(root).split("/")
+            if any(n.startswith(".") or n.startswith("_") and "=" not in n for n in names):
+                shown = (store.group() if store else "") + path.removeprefix(here)
+                if wanted.fullmatch(shown):
+                    hidden.append(shown)
+    if hidden:
+        raise HiddenFilesError(f"cannot read, rename them or their folders: {', '.join(sorted(hidden))}")
+
+
 def _one_pattern(spark: SparkSession, pattern: str) -> DataFrame | None:
     place = spark._jvm.org.apache.hadoop.fs.Path(pattern.split("**")[0] or ".")
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -62,6 +82,7 @@ def _one_pattern(spark: SparkSession, pattern: str) -> DataFrame | None:
         for ending in ("md", "markdown") if inside else ("",):
             _refuse_hidden(files, place.suffix(f"/*.{ending}") if inside else place, spark)
     if "**" in pattern:
+        _refuse_hidden_below(files, pattern, spark)
         reader = reader.option("recursiveFileLookup", True)
     elif "*" not in pattern and files.exists(place) and files.getFileStatus(place).isDirectory():
         reader = reader.option("pathGlobFilter", "*.{md,markdown}")

@@ -104,6 +104,26 @@ def test_hidden_files_are_not_lost_in_silence(spark, tmp_path):
             markdown_files(spark, [f"{tmp_path}{pattern}"])
 
 
+def test_hidden_files_of_recursive_patterns(spark, tmp_path):
+    for name in ("notes/a.md", "notes/sub/b.md", "_top/c.md", "notes/_x.txt", "notes/k/_y=1/d.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    recursive = [f"{tmp_path}/notes/**/*.md", f"{tmp_path}/no*/**/*.md"]
+    for pattern in recursive:
+        assert markdown_files(spark, [pattern]).count() == 3
+    assert markdown_files(spark, [f"{tmp_path}/_top/**/*.md"]).count() == 1
+    for name in ("notes/_index.md", "notes/sub/.hidden.md", "notes/_drafts/e.md", "notes/sub/.git/deep/f.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+        for pattern in [*recursive, f"file://{tmp_path}/notes/**/*.md"]:
+            with pytest.raises(HiddenFilesError, match=name):
+                markdown_files(spark, [pattern])
+        (tmp_path / name).rename(tmp_path / f"{name}.txt")
+    assert markdown_files(spark, recursive).count() == 6
+    with pytest.raises(NoFilesError):
+        markdown_files(spark, [f"{tmp_path}/none/**/*.md"])
+
+
 def test_the_least_attempt_counts(spark):
     rows = [("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 1), ("d", 5)]
     crawl = spark.createDataFrame([(u, n, f"{u}{n}") for u, n in rows], "url string, attempt int, title string")
