@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes what its predecessor kept, with the columns of `documents`,
-and its decisions take effect.  Whoever runs the stages writes each result and
+and its decisions take effect.  They refer to rows: one without `doc_id` and
+several of one `doc_id` are judged each for itself.  Whoever runs the stages writes each result and
 reads it again, as `run` does; a stage then removes what the one before it had
 staged.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from linkloom.llm import bpe, decontaminate, jaccard, suffixes, toxicity
 from linkloom.llm.lists import without
 from linkloom.llm.shipping import ship
-from linkloom.operators.staging import release, staged_by, staging_dir
+from linkloom.operators.staging import release, staged, staged_by, staging_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.7
@@ -46,6 +47,27 @@ def _stage(work: Callable) -> Callable:
     return run_stage
 
 
+def _by_row(work: Callable) -> Callable:
+    """A stage whose `doc_id` names one row each, in the order of ids, those without last.
+
+    If ids do not, the rows are numbered and written once, so that the numbers
+    are stable; the result has its own ids again.
+    """
+
+    @wraps(work)
+    def run_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        unclear = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+        if unclear.isEmpty():
+            return work(spark, docs.select(COLUMNS), sf_dir)
+        spread = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "__place"]  # no task gets all rows of an id
+        rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__place")).orderBy(*spread).drop("__place")
+        rows = rows.withColumnRenamed("doc_id", "__id").withColumn("doc_id", F.monotonically_increasing_id())
+        rows = staged(rows.select(*COLUMNS, "__id"))
+        return work(spark, rows, sf_dir).drop("doc_id").withColumnRenamed("__id", "doc_id").select(COLUMNS)
+
+    return run_rows
+
+
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
@@ -54,6 +76,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 @_stage
+@_by_row
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id.
 
@@ -61,22 +84,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     words is like no other and stays.
     """
     near = jaccard.near_duplicates(docs, size=5, percent=80)
-    return without(docs.select(COLUMNS), near.where("doc_id <> component_id").select("doc_id"))
+    return without(docs, near.where("doc_id <> component_id").select("doc_id"))
 
 
 @_stage
+@_by_row
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay where they occur first; `n_chars` follows the text."""
     found = suffixes.passages(docs.select("doc_id", "text"))
-    kept = suffixes.without_copies(docs.select(COLUMNS), found)
+    kept = suffixes.without_copies(docs, found)
     return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
 
 
 @_stage
+@_by_row
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark items make up less than a twentieth."""
     found = decontaminate.judged(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")))
-    return without(docs.select(COLUMNS), found.where("contaminated").select("doc_id"))
+    return without(docs, found.where("contaminated").select("doc_id"))
 
 
 @_stage

@@ -70,6 +70,23 @@ def test_stages_keep_columns(spark, sf_dir):
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
 
 
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Copies, passages and benchmark items go, whether ids are null, repeated or neither."""
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    one, two, three, four = (" ".join(f"{c}{(i * i + k) % 97}" for i in range(90)) for k, c in enumerate("abcd"))
+    item_text = " ".join(f"item{i}" for i in range(30))
+    spark.createDataFrame([("b1", item_text)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda *rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    kept = lambda stage, *rows: sorted(((r.doc_id, r.text) for r in stage(spark, frame(*rows), str(tmp_path)).collect()), key=str)
+    found = kept(corpus_pipeline.drop_near_duplicates, (None, one), (None, one), (7, two), (7, two), (7, three), (8, four), (None, four))
+    assert found == sorted([(None, one), (7, two), (7, three), (8, four)], key=str)
+    for ids in ((None, None), (5, None), (6, 6)):
+        rows = [(ids[0], two + " " + one), (ids[1], three + " " + one)]
+        texts = [t for _, t in kept(corpus_pipeline.cut_repeated_passages, *rows)]
+        assert len(texts) == 2 and sum(one in t for t in texts) == 1
+        assert kept(corpus_pipeline.drop_contaminated, (ids[0], item_text), (ids[1], four)) == [(ids[1], four)]
+
+
 def test_held_out_documents_teach_nothing(spark, sf_dir):
     """Whatever the held-out rows say, the results stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
