@@ -37,6 +37,7 @@ DIMENSIONS = 8
 PASSAGE = 8
 PER_CLASS = 2500
 LEAST = 5
+SLICE = 4 << 20
 
 _U = np.uint64
 _LETTERS = numbered(256, 11)
@@ -88,15 +89,28 @@ class Passages:
 
     @classmethod
     def of(cls, texts: pa.Array) -> Passages:
-        words = split_words(texts, ALNUM, fold=True)
-        _, chosen, token = np.unique(words.hash, return_index=True, return_inverse=True)
-        buckets, per_word = subwords(words, chosen)
-        sizes = np.diff(words.first)
+        hashes, buckets, per_word, token, sizes = [], [], [], [], []
+        for part in slices(texts, SLICE) if len(texts) else [texts]:  # splitting takes many times the size of the text
+            words = split_words(part, ALNUM, fold=True)
+            found, chosen, place = np.unique(words.hash, return_index=True, return_inverse=True)
+            bucket, n = subwords(words, chosen)
+            token.append((place.reshape(-1) + sum(map(len, hashes))).astype(np.int32))
+            hashes.append(found)
+            buckets.append(bucket.astype(np.int32))
+            per_word.append(n)
+            sizes.append(np.diff(words.first))
+        del words
+        _, chosen, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        buckets, per_word, sizes = np.concatenate(buckets), np.concatenate(per_word), np.concatenate(sizes)
+        token = place.reshape(-1).astype(np.int32)[np.concatenate(token)]
+        starts = (np.cumsum(per_word) - per_word)[chosen]
+        per_word = per_word[chosen]
+        buckets = buckets[spread_ranges(starts, per_word)]
         per_text = -(-sizes // PASSAGE)
         per_passage = np.full(int(per_text.sum()), PASSAGE, np.int64)
         full = np.cumsum(per_text)[sizes > 0] - 1
         per_passage[full] = sizes[sizes > 0] - PASSAGE * (per_text[sizes > 0] - 1)
-        return cls(buckets.astype(np.int32), per_word, token.reshape(-1).astype(np.int32), per_passage, per_text)
+        return cls(buckets, per_word, token, per_passage, per_text)
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
         """Logit of each passage, without bias."""
@@ -126,7 +140,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Scores of all texts, some megabytes at a time."""
-        parts = [self._scores(part) for part in slices(texts, 4 << 20)]
+        parts = [self._scores(part) for part in slices(texts, SLICE)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def _scores(self, texts: pa.Array) -> np.ndarray:
@@ -154,11 +168,15 @@ def train(
     if not (label[use] == 0).any() or not (label[use] == 1).any():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(label.mean()) if len(label) else 0.0)
     weight = np.where(label == 1, 0.5 / (label[use] == 1).sum(), 0.5 / (label[use] == 0).sum()) * use
-    of_word = np.repeat(np.arange(len(passages.per_word)), passages.per_word)
+    of_word = np.repeat(np.arange(len(passages.per_word), dtype=np.int32), passages.per_word)
     known = _common(passages, of_word, least)
-    used, local = np.unique(passages.buckets[known], return_inverse=True)
-    local, of_word = local.reshape(-1).astype(np.int32), of_word[known].astype(np.int32)
+    local, of_word = passages.buckets[known], of_word[known]
     del known
+    place = np.zeros(BUCKETS, np.int32)
+    place[local] = 1
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    local = place[local]
     passages.buckets = passages.buckets[:0]
     per_word = np.maximum(passages.per_word, 1)
     of_passage = np.repeat(np.arange(len(passages.per_passage), dtype=np.int32), passages.per_passage)
@@ -193,8 +211,14 @@ def _common(passages: Passages, of_word: np.ndarray, least: int) -> np.ndarray:
     of_text *= len(passages.per_word)
     of_text += passages.token
     pairs = np.unique(of_text)
+    del of_text
     texts = np.bincount(pairs % len(passages.per_word), minlength=len(passages.per_word))
-    return np.bincount(passages.buckets, texts[of_word], BUCKETS)[passages.buckets] >= least
+    del pairs
+    total = np.zeros(BUCKETS)
+    for lo in range(0, len(of_word), 1 << 20):
+        part = slice(lo, lo + (1 << 20))
+        total += np.bincount(passages.buckets[part], texts[of_word[part]], BUCKETS)
+    return (total >= least)[passages.buckets]
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:

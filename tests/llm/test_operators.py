@@ -509,6 +509,14 @@ def test_toxicity_learns_subwords():
     assert model.scores(pa.array(texts[:1]))[0] > 0.5
 
 
+def test_toxicity_does_not_depend_on_slices(monkeypatch):
+    texts, marks = toxic_rows(120, 1)
+    texts[:4] = ["", None, "one", " "]
+    whole = toxicity.train(texts, marks, rounds=5).weights
+    monkeypatch.setattr(toxicity, "SLICE", 2000)
+    assert (toxicity.train(texts, marks, rounds=5).weights == whole).all()
+
+
 def test_toxicity_of_odd_texts(spark, odd, none):
     model = toxicity.train(*toxic_rows(120, 1))
     rows = toxicity.score(odd, model).orderBy("doc_id").collect()
