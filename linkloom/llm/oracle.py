@@ -103,5 +103,55 @@ twice AS (
 SELECT doc_id, count(DISTINCT j)::BIGINT AS n_repeated, count(DISTINCT CASE WHEN later THEN j END)::BIGINT AS n_copied
 FROM (SELECT doc_id, later, unnest(range(i, i + 50)) AS j FROM twice) GROUP BY doc_id"""
 
+_LINES = """
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT doc_id, pos, line, keeper IS NULL OR keeper = doc_id AS stays FROM keyed LEFT JOIN common USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stays)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
+_LOWERED = """translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
+#: The CRC is worked out bit by bit for every distinct feature.
+_RESAMPLED = f"""
+WITH split AS (
+  SELECT doc_id AS id, true AS is_doc, regexp_extract_all({_LOWERED}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+  UNION ALL SELECT item_id, false, regexp_extract_all({_LOWERED}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') FROM benchmark),
+runs AS (
+  SELECT id, is_doc, unnest(w) AS f FROM split
+  UNION ALL SELECT id, is_doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split),
+counted AS (SELECT id, is_doc, f, count(*) AS n FROM runs GROUP BY ALL),
+bits AS (
+  SELECT f, list_transform(range(4 * length(hex(f))), lambda i:
+      (('0x' || substr(hex(f), 2 * (i // 8) + 1, 2))::INT >> (i % 8)::INT) & 1) AS b
+  FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]), lambda c, x:
+      xor(c >> 1, 3988292384 * (xor(c, x) & 1)))) % 10000 AS bucket FROM bits),
+features AS (SELECT id, is_doc, bucket, n FROM counted JOIN hashed USING (f)),
+sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (is_doc), 0) AS s, coalesce(sum(n) FILTER (NOT is_doc), 0) AS t FROM features GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM sums),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000)))) AS gain FROM sums, totals),
+weighed AS (
+  SELECT id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+  FROM features JOIN gains USING (bucket) WHERE is_doc GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || id)[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM split LEFT JOIN weighed USING (id) WHERE is_doc),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed USING (doc_id)"""
+
 ORACLE = {"op1_quality_rules": _QUALITY, "op3_url_filters": _URLS, "op4_suffix_array_dedup": _PASSAGES,
-          "op7_decontamination": _CONTAMINATION}
+          "op7_decontamination": _CONTAMINATION, "op11_line_dedup": _LINES, "op12_importance_resampling": _RESAMPLED}

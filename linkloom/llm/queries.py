@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, decontaminate, jaccard, langid, quality, sharding, suffixes, tokenfile, toxicity, urlfilter
+from linkloom.llm import (
+    alignment, bpe, decontaminate, jaccard, langid, linededup, quality, resampling, sharding, suffixes, tokenfile, toxicity,
+    urlfilter,
+)
 from linkloom.llm.shipping import ship
 from linkloom.operators.staging import staging_dir
 
@@ -99,6 +102,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_common_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.align(read(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_url_filters, op4_suffix_array_dedup, op5_language_id,
                                      op6_ngram_jaccard_join, op7_decontamination, op8_token_files,
-                                     op9_bpe, op10_toxicity)}
+                                     op9_bpe, op10_toxicity, op11_line_dedup, op12_importance_resampling,
+                                     op13_tokenizer_alignment)}
