@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from linkloom import fixed_values as fixed
-from linkloom.functions.sql import any_of, cases, each, each_numbered, first, keep, let, quote, record, some
+from linkloom.functions.sql import any_of, cases, each, each_numbered, first, first_of_each, keep, let, quote, record
 from linkloom.functions.text import head, replace_all, shorten, shorten_at_blank, strip
 from linkloom.limits import limits
 
@@ -15,9 +17,17 @@ def with_tags(elements: str, *tags: str) -> str:
     return keep(elements, lambda e: f"{e}.tag IN ({', '.join(map(quote, tags))})")
 
 
-def text_of(element: str) -> str:
-    """Text of an element: its range of the bytes in the column `body`."""
-    return f"cast(substring(body, {element}.begin + 1, {element}.stop - {element}.begin) AS string)"
+def text_of(element: str, body: str) -> str:
+    """Text of an element: its range of the page's bytes."""
+    return f"cast(substring({body}, {element}.begin + 1, {element}.stop - {element}.begin) AS string)"
+
+
+def texts_of(elements: str, record_of: Callable[[str, str], str]) -> str:
+    """A record of each element and its text.
+
+    The column `body` is named once: every look at a binary column copies it.
+    """
+    return let("body", lambda body: each(elements, lambda e: record_of(e, text_of(e, body))))
 
 
 def _filled(text: str) -> str:
@@ -45,7 +55,7 @@ def meta(metas: str, *keys: str) -> str:
 
 def title(elements: str, metas: str) -> str:
     def of_first(tag: str) -> str:
-        return _filled(let(first(keep(elements, lambda e: f"{e}.tag = '{tag}'")), text_of))
+        return _filled(let(first(keep(elements, lambda e: f"{e}.tag = '{tag}'")), lambda e: text_of(e, "body")))
 
     return f"coalesce({of_first('title')}, {_named(metas, 'property', 'og:title')}, {of_first('h1')})"
 
@@ -97,9 +107,7 @@ def inside(elements: str, place: str) -> str:
 
 def long_texts(elements: str, *tags: str) -> str:
     """array<struct<tag, pos, text>> of the tags, trimmed, very short texts left out."""
-    picked = each(
-        with_tags(elements, *tags), lambda e: record(tag=f"{e}.tag", pos=f"{e}.pos", text=strip(text_of(e)))
-    )
+    picked = texts_of(with_tags(elements, *tags), lambda e, text: record(tag=f"{e}.tag", pos=f"{e}.pos", text=strip(text)))
     return keep(picked, lambda e: f"octet_length({e}.text) >= {fixed.SHORTEST_TEXT}")
 
 
@@ -119,16 +127,23 @@ def _by_tag(headings: str, paragraphs: str) -> str:
 
 
 def _by_place(headings: str, paragraphs: str) -> str:
-    ordered = f"array_sort({each(headings, lambda h: record(pos=f'{h}.pos', tag=f'{h}.tag', text=f'{h}.text'))})"
+    both = f"array_sort(concat({', '.join(each(x, lambda e: record(pos=f'{e}.pos', tag=f'{e}.tag', text=f'{e}.text')) for x in (headings, paragraphs))}))"
+
+    def split(merged: str) -> str:
+        """Each heading takes what lies between it and the next one: a slice of the merged list."""
+        places = keep(f"sequence(0, size({merged}) - 1)", lambda i: f"coalesce(get({merged}, {i}).tag, 'p') <> 'p'")
 
-    def with_following(all_headings: str) -> str:
-        def following(h: str, number: str) -> str:
-            until = f"coalesce(get({all_headings}, {number} + 1).pos, {2**31 - 1})"
-            return _section(h, keep(paragraphs, lambda p: f"{p}.pos > {h}.pos AND {p}.pos < {until}"))
+        def of_heading(starts: str) -> str:
+            def section(at: str, number: str) -> str:
+                until = f"coalesce(get({starts}, {number} + 1), size({merged}))"
+                following = f"slice({merged}, {at} + 2, {until} - {at} - 1)"
+                return let(f"get({merged}, {at})", lambda h: _section(h, following))
 
-        return each_numbered(all_headings, following)
+            return each_numbered(starts, section)
 
-    return keep(let(ordered, with_following), lambda s: f"{s}.content <> ''")
+        return let(places, of_heading)
+
+    return keep(let(both, split), lambda s: f"{s}.content <> ''")
 
 
 def sections(elements: str, main: str, place: str, order: str = "tag") -> str:
@@ -150,9 +165,9 @@ def sections(elements: str, main: str, place: str, order: str = "tag") -> str:
 def whole_text_section(elements: str, place: str) -> str:
     """One section with the first lines of the rendered text; none for a page without text."""
     width = fixed.FALLBACK_WIDTH
-    wrapped = each(
+    wrapped = texts_of(
         with_tags(inside(elements, place), "#text"),
-        lambda e: replace_all(text_of(e), rf"(?>(\S{{{width}}}|.{{1,{width}}}(?=\s|\z)))\s*+(?=\S)", "$1\n"),
+        lambda e, text: replace_all(text, rf"(?>(\S{{{width}}}|.{{1,{width}}}(?=\s|\z)))\s*+(?=\S)", "$1\n"),
     )
     lines = f"split(array_join({wrapped}, '\n'), '\n')"
     content = f"array_join({head(lines, limits().fallback_lines)}, '\n')"
@@ -169,21 +184,15 @@ def whole_text_section(elements: str, place: str) -> str:
 def links(main: str) -> str:
     """Distinct targets with the text of their first link."""
     usable = keep(
-        each(
-            with_tags(main, "a"), lambda e: record(text=strip(text_of(e)), href=f"{e}.href", url=f"{e}.link")
-        ),
+        texts_of(with_tags(main, "a"), lambda e, text: record(text=strip(text), href=f"{e}.href", url=f"{e}.link")),
         lambda e: f"{e}.href <> '' AND NOT startswith({e}.href, '#') AND NOT startswith({e}.href, 'javascript:')"
         f" AND octet_length({e}.text) >= {fixed.SHORTEST_TEXT}",
     )
 
-    def first_of_each(found: str, targets: str) -> str:
-        def link(url: str) -> str:
-            text = f"get({found}, cast(array_position({targets}, {url}) AS int) - 1).text"
-            return record(text=let(text, lambda t: shorten(t, limits().link_text_bytes)), url=url)
-
-        return each(head(f"array_distinct({targets})", limits().links_per_page), link)
+    def link(found: str) -> str:
+        return record(text=let(f"{found}.text", lambda t: shorten(t, limits().link_text_bytes)), url=f"{found}.url")
 
-    return let(usable, lambda found: let(f"{found}.url", lambda targets: first_of_each(found, targets)))
+    return each(head(first_of_each(usable, lambda e: f"{e}.url"), limits().links_per_page), link)
 
 
 def code_blocks(main: str) -> str:
@@ -193,40 +202,31 @@ def code_blocks(main: str) -> str:
     """
     most = limits().code_per_page
 
-    def usable(kind: str) -> str:
-        trimmed = each(kind, lambda e: record(source=strip(text_of(e)), classes=f"{e}.class"))
+    def usable(kind: str, inner: str) -> str:
+        trimmed = texts_of(kind, lambda e, text: record(source=strip(text), classes=f"{e}.class", inner=inner))
         return keep(trimmed, lambda e: f"octet_length({e}.source) >= {fixed.SHORTEST_CODE}")
 
-    def described(text: str, found: str) -> str:
-        classes = f"get({found}, cast(array_position({found}.source, {text}) AS int) - 1).classes"
+    def described(block: str) -> str:
         tokens = keep(
-            f"split({classes}, {quote(f'[{fixed.WS}]+')})",
+            f"split({block}.classes, {quote(f'[{fixed.WS}]+')})",
             lambda t: f"startswith({t}, 'language-') OR startswith({t}, 'lang-')",
         )
         lang = replace_all(first(tokens), r"^(?:language-)*(?:lang-)*", "")
-        return record(lang=lang, source=shorten_at_blank(text, limits().code_bytes))
+        return record(lang=lang, source=shorten_at_blank(f"{block}.source", limits().code_bytes))
 
-    def chosen(inner: str, whole: str, initial: str) -> str:
-        more = f"array_except({whole}.source, {initial})"
+    def by_source(blocks: str) -> str:
+        return first_of_each(blocks, lambda e: f"{e}.source")
+
+    def chosen(whole: str, initial: str) -> str:
+        more = keep(by_source(f"concat({initial}, {whole})"), lambda e: f"NOT {e}.inner")
         if most is not None:
             more = f"slice({more}, 1, if(size({initial}) = {most}, 1, {most} - size({initial})))"
-        return f"concat({each(initial, lambda t: described(t, inner))}, {each(more, lambda t: described(t, whole))})"
+        return each(f"concat({initial}, {more})", described)
 
     def of_page(outer: str) -> str:
-        in_pre = keep(
-            with_tags(main, "code"),
-            lambda c: some(outer, lambda p: f"{p}.pos < {c}.pos AND {c}.end_pos <= {p}.end_pos"),
-        )
-        return let(
-            usable(in_pre),
-            lambda inner: let(
-                usable(outer),
-                lambda whole: let(
-                    head(f"array_distinct({inner}.source)", most),
-                    lambda initial: chosen(inner, whole, initial),
-                ),
-            ),
-        )
+        # the innermost `pre` around a `code` is in the scope if any is
+        in_pre = keep(with_tags(main, "code"), lambda c: f"coalesce({c}.pre >= get({outer}, 0).pos, false)")
+        return let(head(by_source(usable(in_pre, "true")), most), lambda initial: chosen(usable(outer, "false"), initial))
 
     return let(with_tags(main, "pre"), of_page)
 

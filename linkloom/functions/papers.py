@@ -7,7 +7,7 @@ brought together again, so none of them shuffles.
 from __future__ import annotations
 
 from linkloom import fixed_values as fixed
-from linkloom.functions.sql import any_of, cases, each, each_numbered, first, fold, keep, let, pairs, quote, record
+from linkloom.functions.sql import any_of, cases, each, each_numbered, first, keep, let, pairs, quote, record
 from linkloom.functions.text import (
     contains_any, extract, first_group, head, matches, replace_all, shorten, strip,
 )
@@ -28,30 +28,40 @@ def heading_level(heading: str) -> str:
     return f"least(6, 1 + length({replace_all(number, '[^.]', '')}))"
 
 
+def _outline(trimmed: str) -> str:
+    """A paper's lines as signs: `H` or `l` begins a line, then as many signs as it adds bytes to a section, with a ceiling.
+
+    A blank line adds two (`bb`), any other its bytes (`x`) and a blank (`s`) behind one that is not blank.
+    """
+
+    def signs(line: str, number: str) -> str:
+        joined = f"if(coalesce(get({trimmed}, {number} - 1), '') = '', '', 's')"
+        size = f"least(octet_length({line}), {fixed.SECTION_OPENING_BYTES + 1})"
+        return f"if({line} = '', 'lbb', concat(if({is_heading(line)}, 'H', 'l'), {joined}, repeat('x', {size})))"
+
+    return f"array_join({each_numbered(trimmed, signs)}, '')"
+
+
 def section_starts(trimmed: str) -> str:
     """Indexes (from 0) of the lines that open a section.
 
     Whether a heading opens one depends on how many bytes the running section
-    holds, which depends on where it was opened: a fold.  It carries sizes and
-    positions only, never text; `glued` says that nothing separates the next
-    line from what came before.
+    holds, which depends on where it was opened.  A regular expression walks
+    the outline once: a section is its heading, what is not counted at its
+    beginning, as many signs as let a heading open the next one, and the rest up
+    to that heading.  All quantifiers are possessive, so nothing is tried twice.
     """
-    measured = each(trimmed, lambda t: record(size=f"octet_length({t})", heading=is_heading(t)))
-    start = record(line="0", bytes="0", glued="true", starts="cast(array() AS array<int>)")
+    enough = fixed.SECTION_OPENING_BYTES + 1
+    pattern = rf"(?:^|Hs?+x++)(?:lbb)*+[lH]?+s?+(?:[lH]?+[sxb]){{0,{enough}}}+[lsxb]*+"
 
-    def step(acc: str, line: str) -> str:
-        opens = f"({line}.heading AND {acc}.bytes > {fixed.SECTION_OPENING_BYTES})"
-        return record(
-            line=f"{acc}.line + 1",
-            bytes=cases(
-                [(f"{line}.size = 0", f"if({acc}.bytes > 0, {acc}.bytes + 2, 0)"), (opens, "0")],
-                f"{acc}.bytes + if({acc}.glued, 0, 1) + {line}.size",
-            ),
-            glued=f"({line}.size = 0 OR {opens})",
-            starts=f"if({opens}, array_append({acc}.starts, {acc}.line), {acc}.starts)",
-        )
+    def marks(section: str) -> str:  # a sign per line, the first one raised
+        return f"rpad('O', length(translate({section}, 'sxb', '')), '.')"
+
+    def raised(flags: str) -> str:
+        return keep(f"sequence(0, size({trimmed}) - 1)", lambda i: f"{i} > 0 AND substring({flags}, {i} + 1, 1) = X'4F'")
 
-    return fold(measured, start, step, lambda acc: f"{acc}.starts")
+    parts = f"regexp_extract_all({_outline(trimmed)}, {quote(pattern)}, 0)"
+    return let(f"cast(array_join({each(parts, marks)}, '') AS binary)", raised)
 
 
 def sections(raw_lines: str) -> str:

@@ -47,6 +47,10 @@ def keep(array: str, test: Callable[[str], str]) -> str:
     return f"filter({array}, {_lambda(1, test)})"
 
 
+def keep_numbered(array: str, test: Callable[[str, str], str]) -> str:
+    return f"filter({array}, {_lambda(2, test)})"
+
+
 def some(array: str, test: Callable[[str], str]) -> str:
     return f"exists({array}, {_lambda(1, test)})"
 
@@ -68,6 +72,20 @@ def let(value: str, body: Callable[[str], str]) -> str:
     return f"get({each(f'array({value})', body)}, 0)"
 
 
+def first_of_each(items: str, key: Callable[[str], str]) -> str:
+    """Items whose key no earlier item has, in their order; by sorting, as looking each up would be quadratic."""
+
+    def chosen(held: str) -> str:
+        def heads(ordered: str) -> str:
+            return keep_numbered(ordered, lambda x, i: f"{i} = 0 OR get({ordered}, {i} - 1).key <> {x}.key")
+
+        numbered = each_numbered(held, lambda e, i: record(key=key(e), at=i))
+        places = f"array_sort({each(let(f'array_sort({numbered})', heads), lambda x: f'{x}.at')})"
+        return each(places, lambda at: f"get({held}, {at})")
+
+    return let(items, chosen)
+
+
 def first(array: str) -> str:
     return f"get({array}, 0)"
 

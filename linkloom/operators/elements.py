@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from itertools import accumulate
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
@@ -27,8 +27,8 @@ from linkloom import fixed_values as fixed
 # Executors need no copy of this package: the functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_FIELDS = ["pos", "end_pos", "tag", "begin", "stop", "class", "id", "role", "href", "link", "property", "name", "content"]
-_NUMBERS = {"pos", "end_pos", "begin", "stop"}
+_FIELDS = ["pos", "end_pos", "tag", "begin", "stop", "pre", "class", "id", "role", "href", "link", "property", "name", "content"]
+_NUMBERS = {"pos", "end_pos", "begin", "stop", "pre"}
 PAGE = T.StructType(
     [
         T.StructField("body", T.BinaryType()),
@@ -121,7 +121,8 @@ def _may_be_scope(attrs: dict[str, str]) -> bool:
 def flatten(page: str, base: str) -> tuple[bytes, list[dict]]:
     """Text and elements of a page in document order.
 
-    `pos`..`end_pos` spans an element's inside, `begin`..`stop` its text.
+    `pos`..`end_pos` spans an element's inside, `begin`..`stop` its text; `pre` is
+    the place of the innermost open `pre` around a `code`.
     """
     page = page.replace("\r\n", "\n").replace("\r", "\n")
     elements: list[dict] = []
@@ -210,7 +211,9 @@ def flatten(page: str, base: str) -> tuple[bytes, list[dict]]:
                 or tag in _SCOPE_TAGS
                 or attrs and _may_be_scope(attrs)
             ):
-                element = {"pos": count, "end_pos": count, "tag": tag, **{k: attrs.get(k) for k in _FIELDS[4:]}}
+                element = {"pos": count, "end_pos": count, "tag": tag, **{k: attrs.get(k) for k in _FIELDS[6:]}}
+                if tag == "code" and levels["pre"]:
+                    element["pre"] = stack[levels["pre"][-1]][1]["pos"]
                 elements.append(element)
             if tag in _BREAKS:
                 blocks.append((count, len(texts)))
@@ -238,19 +241,27 @@ def flatten(page: str, base: str) -> tuple[bytes, list[dict]]:
             # Three characters or more besides blanks, or short enough to look.
             room = filled[last] - filled[first]
             element["long"] = room > 2 or room > 0 and len("".join(texts[first:last]).strip().encode()) > 2
-    rendered = []
-    for element in _rendered(elements, blocks, texts, count):
-        coded.append(element.pop("text").encode())
-        element |= {"begin": ends[-1], "stop": ends[-1] + len(coded[-1])}
-        ends.append(element["stop"])
-        rendered.append(element)
+    rendered = _rendered(elements, blocks, texts, count)
+    for element in rendered:
+        if "text" in element:  # other than the page's own bytes
+            coded.append(element.pop("text").encode())
+            ends.append(ends[-1] + len(coded[-1]))
+            element |= {"begin": ends[-2], "stop": ends[-1]}
+        else:
+            first, last = element.pop("pieces")
+            element |= {"begin": ends[first], "stop": ends[last]}
     for element in elements:
         element.pop("long", None)
     return b"".join(coded), elements + rendered
 
 
 def _rendered(elements: list[dict], blocks: list, texts: list[str], count: int) -> list[dict]:
-    """Block texts as `#text` elements, if some possible scope has no section of its own."""
+    """Block texts, one a line, as `#text` elements, if some possible scope has no section of its own.
+
+    There is one element for all blocks between two borders of possible scopes.
+    A block that stands alone and is rendered as it is points at the page's own
+    bytes, so the body is at most twice the text.
+    """
     scopes = [(0, count)] + [
         (e["pos"], e["end_pos"])
         for e in elements
@@ -265,11 +276,23 @@ def _rendered(elements: list[dict], blocks: list, texts: list[str], count: int)
     else:
         return []
     blocks = [(0, 0), *blocks, (0, len(texts))]
-    found = []
+    borders = sorted({place for start, end in scopes for place in (start, end + 1)})
+    runs: list[tuple[int, list]] = []  # neighbouring blocks that every scope has or lacks together
     for (pos, first), (_, until) in zip(blocks, blocks[1:]):
-        text = " ".join("".join(texts[first:until]).split()) if pos >= 0 else ""
-        if text:
-            found.append({"pos": pos, "end_pos": pos, "tag": "#text", "text": text})
+        raw = "".join(texts[first:until]) if pos >= 0 else ""
+        if text := " ".join(raw.split()):
+            part = bisect_right(borders, pos)
+            if not runs or runs[-1][0] != part:
+                runs.append((part, []))
+            runs[-1][1].append((pos, text, (first, until) if text == raw else None))
+    found = []
+    for _, run in runs:
+        pos, text, pieces = run[0]
+        element = {"pos": pos, "end_pos": pos, "tag": "#text"}
+        if len(run) == 1 and pieces:
+            found.append({**element, "pieces": pieces})
+        else:
+            found.append({**element, "text": "\n".join(text for _, text, _ in run)})
     return found
 
 

@@ -9,7 +9,7 @@ from linkloom import fixed_values as fixed
 from linkloom.functions import facts
 from linkloom.functions.sql import quote
 from linkloom.functions.urls import fact_type, fact_urls, user_name
-from linkloom.operators.snapshot import UrlList, first_attempts
+from linkloom.operators.snapshot import ORDER, UrlList, first_attempts, in_order
 from linkloom.operators.unfold import unfold
 
 
@@ -27,8 +27,10 @@ def typed(urls: DataFrame) -> DataFrame:
 def _everything(pages: DataFrame) -> DataFrame:
     """All facts of every page, whatever its type."""
     error = "error" if "error" in pages.columns else "cast(NULL AS string)"
+    kept = [ORDER] if ORDER in pages.columns else []
     return pages.selectExpr(
         "url",
+        *kept,
         "html IS NOT NULL AS success",
         f"{facts.quick_title('html')} AS title",
         f"{facts.amounts('html')} AS amounts",
@@ -69,8 +71,8 @@ def refresh(urls: DataFrame, crawl: DataFrame) -> DataFrame:
     """Facts for each entry of a list of (url) or (url, type).
 
     Facts are read in the row that holds the page, so that the join carries a
-    few short values instead of HTML.  `market` pages are reported as
+    few short values instead of HTML; totals alone run no pattern.  `market` pages are reported as
     `generic`.
     """
     listed = UrlList(typed(urls).select("url", "type"))
-    return _by_type(listed.attach(_everything(listed.restrict(first_attempts(crawl)))))
+    return _by_type(listed.attach(_everything(first_attempts(in_order(listed.restrict(crawl))))))

@@ -6,39 +6,45 @@ columns, ever goes through a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom import fixed_values as fixed
 from linkloom.functions.health import http_status, verdict
 from linkloom.functions.urls import left_domain
-from linkloom.operators.snapshot import UrlList, first_attempts, one_per_url
+from linkloom.operators.snapshot import UrlList, first_attempts, in_order, one_per_url
 
 
 def verdicts(crawl: DataFrame) -> DataFrame:
     """Registry verdict of every crawl row, by its first attempt: (url, status, notes)."""
-    judged = first_attempts(crawl).selectExpr(
-        "url", f"{verdict('url', 'final_url', 'title', 'html', 'error')} AS verdict"
+    rows = first_attempts(crawl)
+    kept = ["__order"] if "__order" in rows.columns else []
+    judged = rows.selectExpr(
+        "url", f"{verdict('url', 'final_url', 'title', 'html', 'error')} AS verdict", *kept
     )
-    return judged.select("url", "verdict.status", "verdict.notes")
+    return judged.select("url", "verdict.status", "verdict.notes", *kept)
 
 
 def verify(crawl: DataFrame) -> DataFrame:
     """One verdict per URL."""
-    return one_per_url(verdicts(crawl))
+    return one_per_url(verdicts(in_order(crawl)))
 
 
 def link_results(crawl: DataFrame, retries: int = 1) -> DataFrame:
     """One result per URL: (url, status, error, redirect_to, ok).
 
-    The second attempt counts if the first came to nothing and a retry is
-    allowed; more than one retry is never made.
+    The next attempt counts if the first came to nothing and a retry is
+    allowed; more than one retry is never made.  Attempts go by their order,
+    whatever their numbers.  HTML is not read.
+
+    A repeated attempt is settled first; then a task sends at most two rows per
+    URL, however many attempts there were.
     """
     status = F.expr(http_status("title", "error"))
-    attempt = F.col("attempt") if "attempt" in crawl.columns else F.lit(1)
-    tried = crawl.select(
+    narrow = in_order(crawl.drop("html"))
+    tried = narrow.select(
         "url",
-        attempt.alias("attempt"),
+        F.col("__order.attempt").alias("attempt"),
         F.struct(
             status.alias("status"),
             "error",
@@ -46,22 +52,18 @@ def link_results(crawl: DataFrame, retries: int = 1) -> DataFrame:
                 status.between(200, 399) & F.expr(left_domain("url", "final_url")), F.col("final_url")
             ).alias("redirect_to"),
         ).alias("result"),
+        "__order",
     )
-    first, second = F.col("first"), F.col("second")
-    picked = (
-        tried.where(F.col("attempt") <= (2 if retries > 0 else 1))
-        .groupBy("url")
-        .agg(
-            F.max(F.when(F.col("attempt") == 1, F.col("result"))).alias("first"),
-            F.max(F.when(F.col("attempt") == 2, F.col("result"))).alias("second"),
-        )
-        .select(
-            "url",
-            F.when(
-                first.isNull() | ((first["status"] == 0) & second.isNotNull()), second
-            ).otherwise(first).alias("result"),
-        )
+    by_attempt = Window.partitionBy("url").orderBy("attempt")
+    turns = (
+        one_per_url(tried, "attempt")
+        .withColumn("turn", F.row_number().over(by_attempt))
+        .where(F.col("turn") <= (2 if retries > 0 else 1))
     )
+    first, second = (F.max(F.when(F.col("turn") == n, F.col("result"))) for n in (1, 2))
+    both = turns.groupBy("url").agg(first.alias("first"), second.alias("second"))
+    second_counts = (F.col("first.status") == 0) & F.col("second").isNotNull()
+    picked = both.select("url", F.when(second_counts, F.col("second")).otherwise(F.col("first")).alias("result"))
     return picked.select("url", "result.*").withColumn(
         "ok", F.col("status").between(200, 399) & F.col("redirect_to").isNull()
     )

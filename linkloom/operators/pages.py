@@ -16,7 +16,7 @@ from linkloom.functions.health import page_wall
 from linkloom.functions.sql import cases, quote
 from linkloom.functions.urls import left_domain
 from linkloom.operators.elements import elements
-from linkloom.operators.snapshot import UrlList, first_attempts
+from linkloom.operators.snapshot import ORDER, UrlList, first_attempts, in_order
 
 
 def structure(crawl: DataFrame, raw: bool = False, order: str = "tag") -> DataFrame:
@@ -39,8 +39,10 @@ def structure(crawl: DataFrame, raw: bool = False, order: str = "tag") -> DataFr
             ("outcome = 'dead'", f"coalesce(error, {quote(fixed.NO_CONTENT)})"),
         ]
     )
-    judged = crawl.selectExpr("url", "final_url", "title", "html", "error", f"{outcome} AS outcome").selectExpr(
+    kept = [ORDER] if ORDER in crawl.columns else []
+    judged = crawl.selectExpr("url", "final_url", "title", "html", "error", f"{outcome} AS outcome", *kept).selectExpr(
         "url",
+        *kept,
         "outcome",
         "if(error IS NOT NULL OR html IS NOT NULL OR outcome = 'redirect', title, NULL) AS nav_title",
         f"{trouble} AS trouble",
@@ -56,6 +58,7 @@ def structure(crawl: DataFrame, raw: bool = False, order: str = "tag") -> DataFr
     )
     full = split.selectExpr(
         "url",
+        *kept,
         "coalesce(outcome, wall) AS status",
         f"if(outcome IS NULL, {page.title('el', 'metas')}, nav_title) AS title",
         f"{page.meta('metas', 'og:site_name')} AS site",
@@ -73,13 +76,14 @@ def structure(crawl: DataFrame, raw: bool = False, order: str = "tag") -> DataFr
 def fetch(crawl: DataFrame, urls: DataFrame | None = None, raw: bool = False, order: str = "tag") -> DataFrame:
     """Records of the listed URLs, one per list entry; without a list, of the whole crawl.
 
-    A listed URL without a crawl row is dead with a note that says so.
+    A listed URL without a crawl row is dead with a note that says so.  Which row
+    of a URL counts is settled by a narrow key, so whoever counts outcomes only
+    never has a page parsed.
     """
-    rows = first_attempts(crawl)
     if urls is None:
-        return structure(rows, raw, order)
+        return structure(first_attempts(crawl), raw, order)
     listed = UrlList(urls)
-    joined = listed.attach(structure(listed.restrict(rows), raw, order))
+    joined = listed.attach(structure(first_attempts(in_order(listed.restrict(crawl))), raw, order))
     missing = F.col("status").isNull()
     return joined.withColumns(
         {

@@ -8,7 +8,39 @@ from pyspark.sql import functions as F
 from linkloom.operators.staging import staged
 
 COPIES_PER_SLICE = 100_000
-FILTER_ROWS = 1 << 15  # of two numbers: half a megabyte, whatever the list
+URLS_PER_WORD = 4  # of 64 bits, three of them for each URL: about one in fifty others passes
+MOST_WORDS = 1 << 20  # of two numbers each: the filter is never larger than some 30 megabytes
+CROWDED = 16  # URLs per word from which on a filter of that size would let most rows pass
+
+
+ORDER = "__order"
+
+
+def in_order(crawl: DataFrame) -> DataFrame:
+    """Crawl rows with `__order`: (attempt, checksum), a narrow key that tells which row of a URL counts.
+
+    The attempt made first comes first.  Rows that repeat an attempt follow the
+    checksum of what they hold, so the choice depends on contents and not on
+    the order of files; rows with one checksum are alike.
+    """
+    attempt = F.col("attempt") if "attempt" in crawl.columns else F.lit(1)
+    held = [F.col(c) for c in crawl.columns if c not in ("url", "attempt")]
+    return crawl.withColumn(ORDER, F.struct(attempt.cast("int").alias("attempt"), F.xxhash64(*held).alias("checksum")))
+
+
+def one_per_url(results: DataFrame, *more_keys: str) -> DataFrame:
+    """Of each URL the result whose row comes first by `__order`.
+
+    Every column is an aggregate of its own with the same narrow order, so all
+    come from one row, combine map-side, and those that nobody reads are never
+    computed: column pruning goes through to the page's parsing.  Results that
+    come without an order have one row per URL already, or the least counts.
+    """
+    keys = ["url", *more_keys]
+    rest = [c for c in results.columns if c not in (*keys, ORDER)]
+    if ORDER not in results.columns:
+        return results.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__best")).select(*keys, "__best.*")
+    return results.groupBy(*keys).agg(*(F.min_by(c, ORDER).alias(c) for c in rest))
 
 
 def first_attempts(crawl: DataFrame) -> DataFrame:
@@ -24,17 +56,6 @@ def first_attempts(crawl: DataFrame) -> DataFrame:
     return crawl.where(F.col("attempt") <= 1).unionByName(late).drop("attempt")
 
 
-def one_per_url(results: DataFrame, *more_keys: str) -> DataFrame:
-    """One result per URL: the greatest one, should a snapshot hold a URL twice.
-
-    The maximum is taken map-side first, and its shuffle is the one that a
-    join on the same key needs anyway.
-    """
-    keys = ["url", *more_keys]
-    rest = [c for c in results.columns if c not in keys]
-    return results.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__best")).select(*keys, "__best.*")
-
-
 class UrlList:
     """A list of URLs, duplicates and all, to be joined with results by URL.
 
@@ -50,11 +71,18 @@ class UrlList:
     def restrict(self, crawl: DataFrame) -> DataFrame:
         """Leave out crawl rows that the list does not name, before any work on them.
 
-        A filter of fixed size is sent to every task: a list of millions is no
-        more to send than a short one, and no HTML is shuffled.  Some rows that
-        are not listed may pass; `attach` drops them.
+        A filter that grows with the list, up to a fixed size, is sent to every
+        task, and no HTML is shuffled.  Some rows that are not listed may pass;
+        `attach` drops them.  A list too long for the largest filter meets the
+        crawl in a semi-join instead, before any page is parsed.
         """
-        place = F.pmod(F.xxhash64("url"), F.lit(FILTER_ROWS))
+        listed = self.counted.count()
+        if listed > CROWDED * MOST_WORDS:
+            return crawl.join(self.counted.select("url").distinct(), "url", "left_semi").select(*crawl.columns)
+        words = 1 << 10
+        while words * URLS_PER_WORD < listed and words < MOST_WORDS:
+            words *= 2
+        place = F.pmod(F.xxhash64("url"), F.lit(words))
         bits = self.counted.groupBy(place.alias("__place")).agg(F.bit_or(_mask()).alias("__bits"))
         probed = crawl.withColumn("__place", place).join(F.broadcast(bits), "__place")
         return probed.where(F.col("__bits").bitwiseAND(_mask()) == _mask()).select(*crawl.columns)

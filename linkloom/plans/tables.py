@@ -16,17 +16,22 @@ _TABLES_OF = {
     "crawl": ("pages",),
     "facts": ("pages",),
     "rich_pages": ("pages",),
+    "bare_pages": ("pages",),
 }
 
 
+#: Session setting: into how many parts a view deals out its main table; without it, the table's own splits stay.
+PARTS = "spark.linkloom.viewParts"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that is a single split.
+    """Deal out rows as the session asks for it.
 
-    Text work is bound by CPU, and one small file would keep one core busy.
-    Inputs of a real size have many splits and stay as they are.
+    The test tables have one row group each, which Spark reads in one task,
+    however many cores there are.  Tables of a real size need no dealing out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() == 1 else df
+    parts = df.sparkSession.conf.get(PARTS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,5 +22,5 @@ REFERENCES = _struct(
 )
 CITED_IN = _struct("url:string path:string arg_no:int scan:int")
 META = _struct(
-    "version:int first_scan:int created:date last_verified:timestamp tool:string total_links:bigint"
+    "version:int created:date last_verified:timestamp tool:string total_links:bigint"
 )

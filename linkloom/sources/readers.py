@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import re
 from functools import reduce
@@ -16,6 +17,7 @@ from linkloom.functions.urls import urls_in
 from linkloom.operators.registry import PATHS_PER_ROW, Registry
 from linkloom.operators.unfold import unfold
 from linkloom.schemas import CRAWL, MARKDOWN, REFERENCES, TEXTDOCS
+from linkloom.sources.listing import contents, listed, search
 
 
 class NoFilesError(ValueError):
@@ -26,12 +28,19 @@ def markdown_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
     """Files as (path, content, arg_no), one row per file and pattern that names it.
 
     A pattern with `*` takes any file it matches, a directory its own
-    `.md` and `.markdown` files, a plain file itself.  Paths that do not exist
-    are passed over; if nothing is left, `NoFilesError` says so.
+    `.md` and `.markdown` files, a plain file itself, whatever their names begin
+    with.  Paths that do not exist are passed over; if nothing is left,
+    `NoFilesError` says so.  Files are listed and read in tasks, or by Spark's
+    readers in stores that only those can open.
     """
     parts = []
     for number, pattern in enumerate(patterns):
-        part = _one_pattern(spark, pattern)
+        wanted = search(spark, pattern)
+        if wanted is None:
+            part = _one_pattern(spark, pattern)
+        else:
+            found = listed(spark, wanted)
+            part = None if found is None else contents(found, wanted)
         if part is not None:
             parts.append(part.select("path", "content", F.lit(number).alias("arg_no")))
     if not parts:
@@ -102,7 +111,7 @@ def _one_pattern(spark: SparkSession, pattern: str) -> DataFrame | None:
     found = rows.select(path.alias("path"), F.col("value").alias("content"))
     if "*" in pattern:  # a pattern names files, not the inside of directories it matches
         found = found.where(F.col("path").rlike(_glob_regex(pattern.removeprefix("./"))))
-    return found if rows.inputFiles() else None
+    return None if found.isEmpty() else found
 
 
 def _glob_regex(pattern: str) -> str:
@@ -127,6 +136,11 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return url_lines(spark.read.text(path))
 
 
+def urls_in_documents(documents: DataFrame) -> DataFrame:
+    """URL list from documents: the URLs of each, deduplicated in it."""
+    return unfold(documents, [], urls_in("content"), "url").select("url")
+
+
 def urls_of(spark: SparkSession, url: str | None = None, lines: str | None = None, document: str | None = None) -> DataFrame:
     """URLs to work on: a single one wins over a list file, a list over a document."""
     if url is not None:
@@ -135,8 +149,7 @@ def urls_of(spark: SparkSession, url: str | None = None, lines: str | None = Non
         return url_list(spark, lines)
     if document is None:
         raise ValueError("give a URL, a file with one URL per line, or a document")
-    text = spark.read.text(document, wholetext=True)
-    return unfold(text, [], urls_in("value"), "url").select("url")
+    return urls_in_documents(spark.read.text(document, wholetext=True).withColumnRenamed("value", "content"))
 
 
 def crawl(spark: SparkSession, path: str) -> DataFrame:
@@ -171,6 +184,18 @@ def registry_records(spark: SparkSession, path: str) -> Registry:
     )
 
 
+def registry_meta(spark: SparkSession, path: str) -> tuple[dt.date, dt.datetime | None]:
+    """Day of creation and time of the last verification, from the one `meta` object of a registry.
+
+    Another tool's registry, or a file that has not exactly one object, is an error.
+    """
+    schema = "created date, last_verified timestamp, tool string, total_links bigint"
+    rows = spark.read.schema(schema).json(path, mode="FAILFAST").limit(2).collect()
+    if len(rows) != 1 or rows[0].created is None or rows[0].tool != fixed.REGISTRY_TOOL:
+        raise ValueError(f"no registry meta at {path}")
+    return rows[0].created, rows[0].last_verified
+
+
 def papers(spark: SparkSession, path: str) -> DataFrame:
     """Extracted paper texts."""
     return spark.read.schema(TEXTDOCS).parquet(path)

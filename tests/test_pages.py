@@ -1,7 +1,10 @@
 """Page parsing and whole page records."""
 
+import time
+
 import pytest
 
+from linkloom.limits import WHOLE, using
 from linkloom.operators import pages
 from linkloom.operators.elements import flatten, resolve
 from linkloom.sources.readers import crawl_of_pages
@@ -30,6 +33,16 @@ def test_new_paragraph_ends_the_open_one():
 def test_nested_elements_repeat_no_text():
     body, elements = flatten("<pre>abc" * 20_000, "")
     assert len(body) < 200_000 and len(elements) < 25_000
+    assert len(elements) == 20_001  # the rendered text is one element: nothing divides it
+    html = "<div>some text</div>"
+    body, elements = flatten(html, "")
+    assert body == b"some text" and [(e["begin"], e["stop"]) for e in elements] == [(0, 9)]  # normal text is not repeated
+
+
+def test_rendered_text_follows_the_scope(page):
+    html = "before<nav>menu</nav><main>one<div>two  \n three</div><article>four</article>five</main><p class='content'>six</p>"
+    assert page(html).sections[0].content == "one\ntwo three\nfour\nfive"
+    assert page(html, raw=True).sections[0].content == "before\nmenu\none\ntwo three\nfour\nfive\nsix"
 
 
 def test_meta_without_content_hides_a_later_one(page):
@@ -175,3 +188,34 @@ def test_outcomes(spark):
         ("https://a.org", "dead", ["net::ERR"]), ("https://f.org", "ok", []), ("https://f.org", "ok", []),
         ("https://none.org", "dead", ["Not crawled"]),
     ]
+
+
+def test_code_in_pre_follows_the_scope(page):
+    html = "<pre>outer text <main><code>inner code one</code></main></pre><main><pre>x<i><code>inner code two</i></code> rest</pre></main>"
+    assert [c.source for c in page(html).code] == []  # its `pre` is not in the main part
+    html = "<main><pre><b><code>inner code one</b></code></pre><code>not in a block</code><pre>a whole block</pre></main><pre>other block</pre>"
+    assert [c.source for c in page(html).code] == ["inner code one", "a whole block"]
+    with using(WHOLE):
+        twice = "<pre><code>inner code one</code></pre><pre>inner code one</pre><pre><code>inner code two</code></pre>"
+        assert [c.source for c in page(twice).code] == ["inner code one", "inner code two"]
+
+
+def _crowded(n):
+    return "<main>" + "".join(
+        f"<h2>Topic {i}</h2><p>Body {i} here</p><a href='/{i}'>link {i}</a><a href='/{i}'>again</a><pre><code>code block {i}</code></pre>" for i in range(n)
+    ) + "</main>"
+
+
+def test_whole_pages_take_linear_time(spark):
+    def seconds(n):
+        rows = crawl_of_pages(spark.createDataFrame([("https://x.org/", _crowded(n))], "url string, html string"))
+        begin = time.perf_counter()
+        with using(WHOLE):
+            r = pages.fetch(rows, order="document").selectExpr("size(sections)", "size(links)", "size(code)", "sections[1]", "links[1]", "code[1].source").first()
+        assert tuple(r)[:3] == (n, n, n) and tuple(r[4]) == ("link 1", "https://x.org/1") and r[5] == "code block 1"
+        assert tuple(r[3]) == (2, "Topic 1", "Body 1 here")
+        return time.perf_counter() - begin
+
+    seconds(1_000)
+    half, whole = min(seconds(8_000) for _ in range(2)), min(seconds(16_000) for _ in range(2))
+    assert whole < 3 * half + 1

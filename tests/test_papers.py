@@ -1,7 +1,11 @@
 """Whole paper records."""
 
+import time
+from random import Random
+
 from linkloom.functions import papers as paper
 from linkloom.functions.text import lines
+from linkloom.limits import WHOLE, using
 from linkloom.operators import papers, rollups
 
 LONG = "some words that fill up a line of text well beyond fifty bytes"
@@ -79,3 +83,42 @@ def test_records(spark):
     blank = rows["file://.hidden"]
     assert (blank.status, blank.title, blank.sections, blank.chars) == ("ok", ".hidden", [], 0)
     assert tuple(rollups.record_totals(papers.extract(docs)).first()) == (2, 5)
+
+
+def _plain_starts(lines):
+    """Indexes of opening lines, line by line."""
+    starts, held, glued = [], 0, True
+    for i, line in enumerate(lines):
+        if not line:
+            held, glued = held + 2 if held else 0, True
+        elif line.isupper() and len(line.encode()) > 3 and held > 50:
+            starts.append(i)
+            held, glued = 0, True
+        else:
+            held, glued = held + len(line.encode()) + (0 if glued else 1), False
+    return starts
+
+
+def test_sections_open_where_a_line_by_line_walk_opens_them(spark):
+    random = Random(4)
+    kinds = ["", "", "HEADING", "NEXT ONE", "short", "x" * 20, "x" * 24, "x" * 49, "x" * 50, "x" * 51, "é" * 25, LONG]
+    texts = [[random.choice(kinds) for _ in range(random.randrange(1, 40))] for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t array<string>")
+    got = rows.selectExpr("id", f"{paper.section_starts('t')} AS s").orderBy("id").collect()
+    assert [r.s for r in got] == [_plain_starts(t) for t in texts]
+    assert sum(len(r.s) for r in got) > 300
+
+
+def test_a_hundred_thousand_headings_take_linear_time(spark):
+    def seconds(n):
+        text = f"{LONG}\nHEADING HERE\n" * n + LONG
+        rows = spark.createDataFrame([(text,)], "t string")
+        begin = time.perf_counter()
+        with using(WHOLE):
+            (r,) = rows.selectExpr(f"size({paper.sections(lines('t'))}) AS n").collect()
+        assert r.n == n + 1
+        return time.perf_counter() - begin
+
+    seconds(2_000)
+    half, whole = min(seconds(50_000) for _ in range(2)), min(seconds(100_000) for _ in range(2))
+    assert whole < 3 * half + 1

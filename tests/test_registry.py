@@ -3,16 +3,19 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.operators import citations, facts, health, registry, rollups
+from linkloom.operators import citations, facts, health, pages, registry, rollups, snapshot
 from linkloom.operators.snapshot import UrlList, first_attempts
 from linkloom.plans import commands
 from linkloom.sources.readers import HiddenFilesError, NoFilesError, crawl, registry_records, markdown_files, markdown_table, url_list, urls_of
 from linkloom.sources.records import json_lines, write_json_lines
-from linkloom.sources.registry_store import RegistryExistsError, RegistryStore
+from linkloom.sources import listing, registry_store
+from linkloom.sources.registry_store import RegistryExistsError, RegistryStore, Version, VersionTakenError
 
 DAY = dt.date(2024, 1, 2)
 NOW = dt.datetime(2024, 5, 6, 7, 8, 9)
+CRAWL_ROW = "url string, final_url string, title string, html string, error string, attempt int"
 
 
 def _files(spark, *rows):
@@ -95,33 +98,58 @@ def test_nested_keeps_every_file_of_a_crowded_url(spark):
     assert len(cold) == 50 and all(r.part == 0 and r.cited_in == sorted(r.cited_in) for r in cold)
 
 
-def test_hidden_files_are_not_lost_in_silence(spark, tmp_path):
-    (tmp_path / "a.md").write_text("[a](https://a.org)")
-    assert markdown_files(spark, [str(tmp_path)]).count() == 1
-    (tmp_path / "_index.md").write_text("[b](https://b.org)")
-    for pattern in ("", "/*.md", "/_index.md"):
-        with pytest.raises(HiddenFilesError):
-            markdown_files(spark, [f"{tmp_path}{pattern}"])
-
-
-def test_hidden_files_of_recursive_patterns(spark, tmp_path):
-    for name in ("notes/a.md", "notes/sub/b.md", "_top/c.md", "notes/_x.txt", "notes/k/_y=1/d.md"):
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text(name)
-    recursive = [f"{tmp_path}/notes/**/*.md", f"{tmp_path}/no*/**/*.md"]
-    for pattern in recursive:
-        assert markdown_files(spark, [pattern]).count() == 3
-    assert markdown_files(spark, [f"{tmp_path}/_top/**/*.md"]).count() == 1
-    for name in ("notes/_index.md", "notes/sub/.hidden.md", "notes/_drafts/e.md", "notes/sub/.git/deep/f.md"):
+def _written(tmp_path, *names):
+    for name in names:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(name)
-        for pattern in [*recursive, f"file://{tmp_path}/notes/**/*.md"]:
-            with pytest.raises(HiddenFilesError, match=name):
-                markdown_files(spark, [pattern])
-        (tmp_path / name).rename(tmp_path / f"{name}.txt")
-    assert markdown_files(spark, recursive).count() == 6
+
+
+def test_files_with_any_name_are_read(spark, tmp_path):
+    names = ["a.md", "_index.md", ".x.md", "_drafts/e.md", "sub/.git/deep/f.md", "sub/b.md", "k/_y=1/d.md", "sub/c.markdown", "sub/_n.txt", ".md"]
+    _written(tmp_path, *names)
+
+    def found(*patterns):
+        rows = markdown_files(spark, [f"{tmp_path}/{p}" for p in patterns]).collect()
+        assert all(r.path == f"{tmp_path}/{r.content}" for r in rows)
+        return sorted(r.content for r in rows)
+
+    assert found("") == [".x.md", "_index.md", "a.md"]  # `.md` is a name without ending
+    assert found("*.md") == [".md", ".x.md", "_index.md", "a.md"]
+    assert found("_index.md", "sub/.git/deep/f.md") == ["_index.md", "sub/.git/deep/f.md"]
+    assert found("**/*.md") == sorted(n for n in names if n.endswith(".md"))
+    assert found("s*/**/*.md") == ["sub/.git/deep/f.md", "sub/b.md"]
+    assert found("**/_*/**/*.md") == ["_drafts/e.md", "k/_y=1/d.md"]
+    assert found("**") == sorted(names) and found("sub/**/**/?.m[!x]") == ["sub/.git/deep/f.md", "sub/b.md"]
+    assert [r.path for r in markdown_files(spark, [f"file://{tmp_path}/_dr*/*.md"]).collect()] == [f"file://{tmp_path}/_drafts/e.md"]
+
+
+def test_relative_patterns_keep_relative_paths(spark, tmp_path, monkeypatch):
+    import os
+
+    _written(tmp_path, "docs/_a.md", "docs/sub/b.md")
+    here = os.path.relpath(tmp_path)
+    assert sorted(r.path for r in markdown_files(spark, [f"{here}/docs/**/*.md"]).collect()) == [f"{here}/docs/_a.md", f"{here}/docs/sub/b.md"]
+
+
+def test_the_driver_lists_no_files(spark, tmp_path, monkeypatch):
+    _written(tmp_path, *(f"d{n % 40}/s{n % 7}/f{n}.md" for n in range(400)))
+    jobs = []
+    level = listing._level
+    monkeypatch.setattr(listing, "_level", lambda *a: jobs.append(a) or level(*a))
+    assert markdown_files(spark, [f"{tmp_path}/**/*.md"]).count() == 400
+    assert len(jobs) == 3  # one per level, not one per directory
+
+
+def test_stores_that_tasks_cannot_open_lose_no_file_in_silence(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "STORES", {})
+    _written(tmp_path, "a.md", "sub/b.md")
+    assert markdown_files(spark, [str(tmp_path)]).count() == 1 and markdown_files(spark, [f"{tmp_path}/**/*.md"]).count() == 2
     with pytest.raises(NoFilesError):
         markdown_files(spark, [f"{tmp_path}/none/**/*.md"])
+    _written(tmp_path, "_index.md", "sub/.hidden.md")
+    for pattern in ("", "/*.md", "/_index.md", "/sub/**/*.md"):
+        with pytest.raises(HiddenFilesError):
+            markdown_files(spark, [f"{tmp_path}{pattern}"])
 
 
 def test_the_least_attempt_counts(spark):
@@ -137,6 +165,16 @@ def test_a_list_passes_few_other_rows(spark):
     assert {f"u{n}" for n in range(2000)} <= left and len(left) < 2400
 
 
+def test_a_long_list_passes_few_other_rows(spark, monkeypatch):
+    urls = spark.range(300_000).selectExpr("concat('u', id) AS url")
+    crawl = spark.range(3_000_000).selectExpr("concat('u', id * 3) AS url", "id AS n")
+    passed = UrlList(urls).restrict(crawl)
+    assert 100_000 <= passed.count() < 200_000  # of 2,900,000 others less than one in 29
+    monkeypatch.setattr(snapshot, "MOST_WORDS", 1 << 10)
+    exact = UrlList(urls).restrict(crawl)  # too long for the largest filter
+    assert exact.columns == crawl.columns and exact.count() == 100_000
+
+
 def test_attach_copies_a_hot_result_in_slices(spark):
     urls = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', concat('c', id)) AS url")
     results = spark.createDataFrame([("hot", 1), ("c1", 2), ("other", 3)], "url string, n int")
@@ -284,14 +322,109 @@ def test_store_round_trip(spark, tmp_path):
 def test_lost_scan_leaves_the_old_version(spark, tmp_path):
     store = RegistryStore(spark, str(tmp_path / "registry"))
     store.create(DAY)
-    number = store.next_number()
-    left_over = spark.createDataFrame([("https://lost.org", "l.md", 0)], "url string, path string, arg_no int")
-    store.write_pairs(left_over, number)  # and then the job dies
+    left_over = spark.createDataFrame([("https://lost.org", "l.md", 0, 2)], "url string, path string, arg_no int, scan int")
+    store.store(store.latest(), store.read().references, left_over)  # and then the job dies
     assert _pairs(store.read()) == [("https://example.com", "README.md")]
     commands.scan(store, _files(spark, ("a.md", "https://a.org")), DAY)
     assert [u for u, _ in _pairs(store.read())] == ["https://a.org", "https://example.com"]
 
 
+def test_two_writers_from_one_version_keep_both(spark, tmp_path, monkeypatch):
+    store = RegistryStore(spark, str(tmp_path / "registry"))
+    store.create(DAY)
+    publish, rivals = RegistryStore.publish, [("b.md", "[B](https://b.org) https://x.org"), ("c.md", "https://x.org")]
+
+    def late(self, version):
+        if rivals:  # another writer is done while this one still writes
+            commands.scan(RegistryStore(spark, self.root), _files(spark, rivals.pop(0)), DAY)
+        publish(self, version)
+
+    monkeypatch.setattr(RegistryStore, "publish", late)
+    report = commands.scan(store, _files(spark, ("a.md", "[A](https://a.org) https://x.org")), DAY).first()
+    assert _pairs(store.read()) == [
+        ("https://a.org", "a.md"), ("https://b.org", "b.md"), ("https://example.com", "README.md"),
+        ("https://x.org", "a.md"), ("https://x.org", "b.md"), ("https://x.org", "c.md"),
+    ]
+    assert (report.total_urls, report.new_urls, report.updated_urls) == (4, 1, 1)  # counted on what the others had made
+    assert store.latest().number == 4 and len(_pairs(store.read(version=2))) == 2
+    rivals += [("d.md", "https://d.org")]
+    crawled = spark.createDataFrame([("https://x.org", "https://x.org", "404", "x", None, 1)], CRAWL_ROW)
+    commands.verify_references(store, crawled, NOW)
+    rows = _refs(store.read().references)
+    assert (rows["https://x.org"].status, rows["https://d.org"].status) == ("dead", "pending")
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    store = RegistryStore(spark, str(tmp_path / "registry"))
+    held = store.create(DAY)
+    with pytest.raises(VersionTakenError):
+        store.publish(held)
+    assert store.latest() == held and Version.from_json(held.to_json()) == held
+
+
+def test_a_small_scan_reads_a_bounded_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry_store, "ROWS_PER_BUCKET", 50)
+    read = []
+    for n in (300, 3000):
+        store = RegistryStore(spark, str(tmp_path / f"registry{n}"))
+        files = spark.range(n).selectExpr("concat('f', id % 7, '.md') AS path", "concat('[T](https://x.org/', id, ')') AS content")
+        commands.scan(store, files.groupBy("path").agg(F.array_join(F.collect_list("content"), " ").alias("content")), DAY)
+        commands.scan(store, _files(spark, ("g.md", "https://x.org/1")), DAY)  # more rows than a bucket should have: they are split
+        held = store.latest()
+        assert held.total_links == n and held.buckets * 50 >= n
+        before = store.part(held).references.inputFiles()
+        opened = []
+        part = RegistryStore.part
+        with monkeypatch.context() as patch:
+            patch.setattr(RegistryStore, "part", lambda self, v, b=None: opened.append((v, list(b))) or part(self, v, b))
+            report = commands.scan(store, _files(spark, ("h.md", "https://x.org/1 https://new.org")), DAY).first()
+        assert (report.total_urls, report.new_urls, report.updated_urls) == (n + 1, 1, 1)
+        ((version, named),) = opened
+        assert len(named) <= 2
+        read.append(sum(version.rows[k] for k in named))
+        kept = set(before) & set(store.part(store.latest()).references.inputFiles())
+        assert len(kept) >= len(before) - 2 * 4  # files of all other buckets are taken over
+        assert len(_refs(store.read().references)) == n + 1
+    assert max(read) <= 2 * 100
+
+
+def test_many_small_scans_leave_few_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commands, "MOST_PARTS", 3)
+    store = RegistryStore(spark, str(tmp_path / "registry"))
+    for n in range(6):
+        commands.scan(store, _files(spark, (f"f{n}.md", "https://x.org")), DAY)
+    held = store.latest()
+    assert max(map(len, held.cited_in)) <= 3
+    assert _pairs(store.read()) == [("https://x.org", f"f{n}.md") for n in range(6)]
+    nested = registry.nested(store.read()).first()
+    assert nested.cited_in == [f"f{n}.md" for n in range(6)]  # in the order of scans
+
+
+def test_records_out_in_out(spark, tmp_path):
+    store = RegistryStore(spark, str(tmp_path / "registry"))
+    commands.scan(store, _files(spark, ("b.md", "[A](https://a.org) https://x.org"), ("a.md", "https://x.org")), DAY)
+    commands.scan(store, _files(spark, ("0.md", "https://x.org https://y.org")), DAY)
+    crawled = spark.createDataFrame([("https://x.org", "https://x.org", "404", "x", None, 1)], CRAWL_ROW)
+    commands.verify_references(store, crawled, NOW)
+    places = [[str(tmp_path / f"{name}{i}") for name in ("records", "meta")] for i in range(2)]
+    commands.export_records(store, *places[0])
+    other = RegistryStore(spark, str(tmp_path / "other"))
+    commands.import_records(other, *places[0])
+    commands.export_records(other, *places[1])
+    lines = [[[r.value for r in spark.read.text(place).collect()] for place in pair] for pair in places]
+    assert lines[0] == lines[1] and len(lines[0][0]) == 3 and '"cited_in":["a.md","b.md","0.md"]' in lines[0][0][1]
+    assert lines[0][1] == ['{"created":"2024-01-02","last_verified":"2024-05-06T07:08:09.000000+00:00","tool":"ref","total_links":3}']
+    assert (other.latest().created, other.latest().last_verified) == (DAY, NOW)
+    report = commands.scan(other, _files(spark, ("a.md", "https://x.org")), DAY).first()
+    assert (report.new_urls, report.updated_urls) == (0, 0)
+    commands.import_records(other, places[1][0], today=DAY)  # replaces what there was
+    assert other.latest().last_verified is None and other.latest().total_links == 3
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "meta").write_text('{"created":"2024-01-02","tool":"other"}')
+    with pytest.raises(ValueError):
+        commands.import_records(other, places[1][0], str(tmp_path / "bad"))
+
+
 def test_markdown_sources(spark, tmp_path, monkeypatch):
     for name in ("docs/a.md", "docs/b.markdown", "docs/c.txt", "docs/sub/d.md", "docs/sub/deep/e.md", "docs/with blank+plus.md"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -328,7 +461,48 @@ def test_crawl_source_prunes_and_pushes_down(spark, tmp_path):
     spark.createDataFrame([("u", "u", "t", "<p>", None, 1)], "url string, final_url string, title string, html string, error string, attempt int").write.parquet(place)
     plan = health.link_results(crawl(spark, place))._jdf.queryExecution().toString()
     scan = [line for line in plan.splitlines() if "FileScan" in line][-1]
-    assert "html" not in scan.split("ReadSchema")[1] and "attempt" in scan.split("PushedFilters")[1]
+    assert "html" not in scan.split("ReadSchema")[1]
+
+
+def test_attempts_go_by_order_not_by_number(spark):
+    rows = [
+        ("three", "t", "ok", "<p>", None, 3), ("late", "l", "ok", "<p>", "timeout", 4), ("late", "l", "404", "<p>", None, 9),
+        ("late", "l", "ok", "<p>", None, 10), ("twice", "t", "ok", "<p>", "x", 2), ("twice", "t", "ok", "<p>", "x", 2), ("twice", "t", "ok", "<p>", None, 7),
+    ]
+    crawled = spark.createDataFrame(rows, CRAWL_ROW)
+    assert {r.url: r.status for r in health.link_results(crawled).collect()} == {"three": 200, "late": 404, "twice": 200}
+    assert {r.url: r.status for r in health.link_results(crawled, retries=0).collect()} == {"three": 200, "late": 0, "twice": 0}
+    assert {r.url: r.status for r in health.verify(crawled).collect()} == {"three": "ok", "late": "dead", "twice": "dead"}
+    listed = spark.createDataFrame([("three",), ("none",)], "url string")
+    assert {r.url: r.status for r in health.check_links(listed, crawled).collect()} == {"three": 200, "none": 0}
+
+
+def test_the_row_that_counts_does_not_depend_on_the_order_of_rows(spark):
+    rows = [("u", "u", t, f"<h1>{t}</h1>", None, 1) for t in "abcdef"]
+    listed = spark.createDataFrame([("u",), ("u",)], "url string")
+    found = set()
+    for turn in (rows, rows[::-1], rows[3:] + rows[:3]):
+        crawled = spark.createDataFrame(turn, CRAWL_ROW).repartition(3)
+        (record,) = {(r.title, r.status) for r in pages.fetch(crawled, listed).collect()}
+        (fact,) = {r.title for r in facts.refresh(listed, crawled).collect()}
+        assert fact == record[0]  # one row, whatever is asked of it
+        found.add(record)
+    assert len(found) == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_totals_parse_no_page_and_run_no_pattern(spark, tmp_path):
+    place = str(tmp_path / "crawl")
+    spark.createDataFrame([("https://u.org", "https://u.org", "t", "<p>$5 up 3%", None, 1)], CRAWL_ROW).write.parquet(place)
+    listed = spark.createDataFrame([("https://u.org",)], "url string")
+    records = pages.fetch(crawl(spark, place), listed)
+    assert "_elements" in _plan(records) and "_elements" not in _plan(rollups.record_totals(records))
+    quoted = facts.refresh(listed, crawl(spark, place))
+    assert "regexp_extract" in _plan(quoted) and "regexp_extract" not in _plan(rollups.fact_totals(quoted))
+    assert rollups.record_totals(records).first().ok == rollups.fact_totals(quoted).first().ok == 1
 
 
 def test_registry_records_round_trip(spark, tmp_path):
