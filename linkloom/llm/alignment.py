@@ -49,7 +49,9 @@ from linkloom.llm.pieces import IdLists, slices
 from linkloom.llm.words import spread_ranges, text_bytes
 from linkloom.operators.staging import staged
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+LINE_WORDS = 200
+PART_WORDS = 20_000  # encoded at once
 STRING_BYTES = 32 << 20
 OUTPUT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 CHUNKS = "chunk bigint, codes array<bigint>, documents array<int>, payload binary"
@@ -106,9 +108,12 @@ def divide(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b:
 
 # --- the two tokenizers ------------------------------------------------------------------
 
+_MAY_START_BLANK = np.zeros(256, bool)  # first bytes of white space beyond ASCII, and of many other characters
+_MAY_START_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
 
 class _Side:
-    """Bytes of each token, and the ids of words."""
+    """Bytes of each token, and the ids of words.  `encode` gives the ids of texts, read with a blank before them."""
 
     def __init__(self, sizes: np.ndarray, data: np.ndarray, encode):
         self.sizes, self.data, self.starts = sizes, data, np.cumsum(sizes) - sizes
@@ -117,9 +122,40 @@ class _Side:
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and where each word begins, with the end behind."""
-        ids, starts, sizes = self.held.of(words, self.encode)
+        ids, starts, sizes = self.held.of(words, self._new)
         return ids[spread_ranges(starts, sizes)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
+    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that were not met before: most go through in lines of many, cut where their bytes end."""
+        odd = frozenset(np.flatnonzero(_MAY_START_BLANK).tolist())
+        plain = [bool(w) and w[0] > 32 and w[-1] > 32 and w[0] not in odd for w in words]
+        joined = [w for w, fits in zip(words, plain) if fits]
+        lengths = np.fromiter(map(len, joined), np.int64, len(joined)) + 1
+        counted, coded, rest = np.zeros(len(joined), np.int64), [], []
+        for lo in range(0, len(joined), PART_WORDS):
+            part = joined[lo : lo + PART_WORDS]
+            lines = [part[i : i + LINE_WORDS] for i in range(0, len(part), LINE_WORDS)]
+            for i, (line, ids) in enumerate(zip(lines, self.encode([b" ".join(line).decode() for line in lines]))):
+                ids, first = np.array(ids, np.int64), lo + i * LINE_WORDS
+                ends, stops = np.cumsum(self.sizes[ids]), np.cumsum(lengths[first : first + len(line)])
+                at = np.searchsorted(ends, stops)
+                if not len(ends) or ends[-1] != stops[-1] or (ends[at] != stops).any():
+                    found = self.encode([w.decode() for w in line])  # some word is not given back
+                    ids, at = np.fromiter(chain.from_iterable(found), np.int64), np.cumsum(list(map(len, found))) - 1
+                counted[first : first + len(line)] = np.diff(at, prepend=-1)
+                coded.append(ids)
+        others = [w.decode() for w, fits in zip(words, plain) if not fits]
+        for lo in range(0, len(others), LINE_WORDS):
+            rest += self.encode(others[lo : lo + LINE_WORDS])
+        if not others:
+            return np.concatenate(coded), counted
+        fits, sizes, starts = np.array(plain), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[fits], sizes[~fits] = counted, list(map(len, rest))
+        all_ids = np.concatenate([*coded, np.fromiter(chain.from_iterable(rest), np.int64)])
+        starts[fits] = np.cumsum(counted) - counted
+        starts[~fits] = counted.sum() + np.cumsum(sizes[~fits]) - sizes[~fits]
+        return all_ids[spread_ranges(starts, sizes)], sizes
+
     def gives_back(self, ids: np.ndarray, first: np.ndarray, expected: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which words' tokens have exactly the words' bytes."""
         covered = np.concatenate([[0], np.cumsum(self.sizes[ids])])[first]
@@ -132,11 +168,6 @@ class _Side:
         return same
 
 
-def _lists(found: list) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
-
-
 @lru_cache(maxsize=2)
 def _byte_level(path: str) -> _Side:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -150,9 +181,8 @@ def _byte_level(path: str) -> _Side:
     if splitter["type"] != "ByteLevel" or not splitter["use_regex"]:
         raise ValueError("tokens may go on behind a blank")
 
-    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        coded = library.encode_batch_fast([f" {w.decode()}" for w in words], add_special_tokens=False)
-        return _lists([e.ids for e in coded])
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in library.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
 
     return _Side(vocabulary.token_size, vocabulary.token_bytes, encode)
 
@@ -168,18 +198,14 @@ def _piece_level(path: str) -> _Side:
         raise ValueError("a piece goes on behind a blank")
     told = [bytes([int(name[3:5], 16)]) if library.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
 
-    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return _lists(library.encode([w.decode() for w in words], num_threads=1))
+    def encode(texts: list[str]) -> list[list[int]]:
+        return library.encode(texts, num_threads=1)
 
     return _Side(np.array([len(t) for t in told], np.int64), np.frombuffer(b"".join(told), np.uint8), encode)
 
 
 # --- chunks of texts -------------------------------------------------------------------------
 
-_MAY_START_BLANK = np.zeros(256, bool)  # first bytes of white space beyond ASCII, and of many other characters
-_MAY_START_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-
-
 def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words without the blank before them, the word at each place, and each text's first place.
 
@@ -204,7 +230,12 @@ def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(data[kept])])
     coded = rows.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, at)
+    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # frequent words first: their numbers are small
+    order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)).to_pylist(), place[index], np.searchsorted(starts, at)
 
 
 def _join(parts: pa.Array, bounds: np.ndarray, sign: str) -> pa.Array:
@@ -213,24 +244,56 @@ def _join(parts: pa.Array, bounds: np.ndarray, sign: str) -> pa.Array:
 
 
 def _pairs(ids_a: np.ndarray, ids_b: np.ndarray, leaves: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf, pair code, how often) of the linked ids of each leaf: equal ids of a leaf are counted before pairs are made."""
+    """(leaf, pair code, how often) of the linked ids of each leaf.
+
+    Most leaves have a token of each.  Of the others, equal ids are counted
+    before pairs are made.
+    """
 
     def counted(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         of = np.repeat(np.arange(len(lo)), hi - lo)
-        keys, n = np.unique(of << 32 | ids[spread_ranges(lo, hi - lo)], return_counts=True)
+        keys = np.sort(of << 32 | ids[spread_ranges(lo, hi - lo)])
+        at = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, n = keys[at], np.diff(at, append=len(keys))
         return keys & 0xFFFFFFFF, n, np.searchsorted(keys, np.arange(len(lo) + 1) << 32)
 
-    a, n_a, first_a = counted(ids_a, leaves[:, 0], leaves[:, 1])
-    b, n_b, first_b = counted(ids_b, leaves[:, 2], leaves[:, 3])
-    leaf = np.repeat(np.arange(len(leaves)), np.diff(first_a))
+    crowded = np.flatnonzero((leaves[:, 1] - leaves[:, 0] > 1) | (leaves[:, 3] - leaves[:, 2] > 1))
+    a, n_a, first_a = counted(ids_a, leaves[crowded, 0], leaves[crowded, 1])
+    b, n_b, first_b = counted(ids_b, leaves[crowded, 2], leaves[crowded, 3])
+    leaf = np.repeat(np.arange(len(crowded)), np.diff(first_a))
     partners = np.diff(first_b)[leaf]
     left, right = np.repeat(np.arange(len(a)), partners), spread_ranges(first_b[leaf], partners)
-    return leaf[left], a[left] * width + b[right], n_a[left] * n_b[right]
+    sizes = np.ones(len(leaves), np.int64)
+    sizes[crowded] = np.diff(first_a) * np.diff(first_b)
+    of_leaf = np.repeat(np.arange(len(leaves)), sizes)
+    code = ids_a[leaves[of_leaf, 0]] * width + ids_b[leaves[of_leaf, 2]]
+    often = np.ones(len(of_leaf), np.int64)
+    places = spread_ranges((np.cumsum(sizes) - sizes)[crowded], sizes[crowded])
+    code[places], often[places] = a[left] * width + b[right], n_a[left] * n_b[right]
+    return of_leaf, code, often
+
+
+def _linked(ids_a: np.ndarray, ids_b: np.ndarray, leaves: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(leaf, distinct codes, number of the code, how often) of the linked ids of each leaf."""
+    leaf, code, often = _pairs(ids_a, ids_b, leaves, width)
+    codes, pair = np.unique(code, return_inverse=True)
+    return leaf, codes, pair.reshape(-1), often
 
 
 def _pack(arrays: dict[str, np.ndarray | pa.Array]) -> bytes:
-    """Arrays as one compressed Arrow table of a row, read back by `_unpack`."""
-    columns = [v if isinstance(v, pa.Array) else pa.array(v) for v in arrays.values()]
+    """Arrays as one compressed Arrow table of a row, read back by `_unpack`.
+
+    Numbers are told by their steps if they ascend, and byte by byte: the first
+    bytes of all, then the second ones, which are mostly alike.
+    """
+    told = {name: v if isinstance(v, pa.Array) else None for name, v in arrays.items()}
+    for name, v in arrays.items():
+        if told[name] is None:
+            ascends = len(v) > 1 and v.dtype != bool and bool((v[1:] >= v[:-1]).all())
+            small = _narrow(np.diff(v, prepend=0) if ascends else v)
+            told[f"{name}:{small.itemsize}:{int(ascends)}"] = pa.array(small.view(np.uint8).reshape(-1, small.itemsize).T.reshape(-1))
+    told = {name: v for name, v in told.items() if v is not None}
+    arrays, columns = told, list(told.values())
     lists = [pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in columns]
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_arrays(lists, names=list(arrays))
@@ -241,11 +304,22 @@ def _pack(arrays: dict[str, np.ndarray | pa.Array]) -> bytes:
 
 def _unpack(payload: bytes) -> dict[str, pa.Array]:
     batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_next_batch()
-    return {name: column.flatten() for name, column in zip(batch.schema.names, batch.columns)}
+    found = {}
+    for name, column in zip(batch.schema.names, batch.columns):
+        values = column.flatten()
+        if ":" in name:
+            name, size, ascends = name.split(":")
+            raw = np.ascontiguousarray(values.to_numpy().reshape(int(size), -1).T)
+            values = raw.view(f"<u{size}").reshape(-1).astype(np.int64)
+            values = np.cumsum(values) if ascends == "1" else values
+        found[name] = values
+    return found
 
 
 def _narrow(numbers: np.ndarray) -> np.ndarray:
-    return numbers.astype(np.uint16 if not len(numbers) or numbers.max() < 1 << 16 else np.uint32)
+    """The same numbers, none negative, in as few bytes as the largest takes."""
+    most = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype(next(f"<u{size}" for size in (1, 2, 4, 8) if most < 1 << 8 * size))
 
 
 def _chunk(doc_ids: pa.Array, texts: pa.Array, a: _Side, b: _Side) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -263,20 +337,11 @@ def _chunk(doc_ids: pa.Array, texts: pa.Array, a: _Side, b: _Side) -> tuple[np.n
     ids_b, first_b = _only(ids_b, first_b, good)
     leaves = divide(np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b]), first_a, first_b)
     first_leaf = np.searchsorted(leaves[:, 0], first_a)
-    leaf, code, often = _pairs(ids_a, ids_b, leaves, width)
-    codes, pair = np.unique(code, return_inverse=True)
-    first_pair = np.searchsorted(leaf, first_leaf)
-    told = pc.binary_join_element_wise(
-        _join(a.names.take(pa.array(ids_a)), np.append(leaves[:, 0], len(ids_a)), ","),
-        _join(b.names.take(pa.array(ids_b)), np.append(leaves[:, 2], len(ids_b)), ","),
-        pa.scalar("|", pa.large_string()),
-    )
-    links = np.concatenate([[0], np.cumsum((leaves[:, 1] - leaves[:, 0]) * (leaves[:, 3] - leaves[:, 2]))])
-    documents = _documents(index, first, use, first_pair, pair, len(codes))
+    leaf, codes, pair, _ = _linked(ids_a, ids_b, leaves, width)
+    documents = _documents(index, first, use, np.searchsorted(leaf, first_leaf), pair, len(codes))
     payload = _pack({
-        "doc_id": doc_ids, "use": use, "first": first, "index": _narrow(index), "told": _join(told, first_leaf, ";"),
-        "n_a": np.diff(first_a), "n_b": np.diff(first_b), "n_groups": np.diff(first_leaf), "n_links": np.diff(links[first_leaf]),
-        "first_pair": first_pair, "pair": _narrow(pair.reshape(-1)), "often": _narrow(often),
+        "doc_id": doc_ids, "use": use, "first": first, "index": index, "ids_a": ids_a, "ids_b": ids_b, "first_leaf": first_leaf,
+        "leaf_a": leaves[:, 1] - leaves[:, 0], "leaf_b": leaves[:, 3] - leaves[:, 2],
     })
     return codes, documents, payload
 
@@ -287,6 +352,11 @@ def _only(ids: np.ndarray, first: np.ndarray, good: np.ndarray) -> tuple[np.ndar
     return ids[np.repeat(good, np.diff(first))], np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+
+
 def _documents(index: np.ndarray, first: np.ndarray, use: np.ndarray, first_pair: np.ndarray, pair: np.ndarray, n: int) -> np.ndarray:
     """In how many documents each pair is linked, some documents at a time."""
     total = np.zeros(n, np.int64)
@@ -298,10 +368,10 @@ def _documents(index: np.ndarray, first: np.ndarray, use: np.ndarray, first_pair
         places = np.arange(first[lo], first[hi])
         doc = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
         chosen = use[lo:hi][doc]
-        keys = np.unique(doc[chosen] * len(sizes) + index[places[chosen]])
+        keys = _distinct(doc[chosen] * len(sizes) + index[places[chosen]])
         doc, word = keys // max(len(sizes), 1), keys % max(len(sizes), 1)
         linked = pair[spread_ranges(first_pair[word], sizes[word])]
-        keys = np.unique(np.repeat(doc, sizes[word]) * n + linked) if n else linked
+        keys = _distinct(np.repeat(doc, sizes[word]) * n + linked)
         total += np.bincount(keys % max(n, 1), minlength=n)[:n]
         lo = hi
     return total
@@ -352,17 +422,24 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(total[bounds])
 
 
-def _answers(payload: bytes, n: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _answers(payload: bytes, n: np.ndarray, best: np.ndarray, a: _Side, b: _Side) -> Iterator[pa.RecordBatch]:
     """Rows of the documents of a chunk, given the totals of its pairs."""
     held = _unpack(payload)
-    told = held.pop("told")
-    doc_ids = held.pop("doc_id")
-    use = held.pop("use").to_numpy(zero_copy_only=False)
-    held = {name: column.to_numpy() for name, column in held.items()}
-    first, index, often = held["first"], held["index"].astype(np.int64), held["often"].astype(np.int64)
-    of_word = {name: held[name] for name in ("n_a", "n_b", "n_groups", "n_links")}
-    of_word["n_best"] = _sums(often * best[held["pair"]], held["first_pair"])
-    of_word["count_sum"] = _sums(often * n[held["pair"]], held["first_pair"])
+    doc_ids, use = held["doc_id"], held["use"].astype(bool)
+    first, index, ids_a, ids_b, first_leaf = (held[name] for name in ("first", "index", "ids_a", "ids_b", "first_leaf"))
+    bounds_a, bounds_b = (np.concatenate([[0], np.cumsum(held[name])]) for name in ("leaf_a", "leaf_b"))
+    leaves = np.stack([bounds_a[:-1], bounds_a[1:], bounds_b[:-1], bounds_b[1:]], 1)
+    leaf, _, pair, often = _linked(ids_a, ids_b, leaves, len(b.sizes))
+    first_pair = np.searchsorted(leaf, first_leaf)
+    told = pc.binary_join_element_wise(
+        _join(a.names.take(pa.array(ids_a)), bounds_a, ","), _join(b.names.take(pa.array(ids_b)), bounds_b, ","), pa.scalar("|", pa.large_string())
+    )
+    told = _join(told, first_leaf, ";")
+    of_word = {
+        "n_a": np.diff(bounds_a[first_leaf]), "n_b": np.diff(bounds_b[first_leaf]), "n_groups": np.diff(first_leaf),
+        "n_links": _sums(held["leaf_a"] * held["leaf_b"], first_leaf),
+        "n_best": _sums(often * best[pair], first_pair), "count_sum": _sums(often * n[pair], first_pair),
+    }
     load = np.concatenate([[0], np.cumsum(np.diff(_offsets(told))[index])])[first]
     columns = {name: _sums(values[index], first) * use for name, values in of_word.items()}
     lo = 0
@@ -397,11 +474,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     rows = made.select("chunk", "payload").join(told, "chunk", "left").select("payload", "n", "best")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _byte_level(path_a), _piece_level(path_b)
         for batch in batches:
             for i in range(batch.num_rows):
                 n, best = (batch.column(c)[i].values for c in (1, 2))
                 numbers = np.zeros(0, np.int64) if n is None else n.to_numpy()
                 flags = np.zeros(0, np.int64) if best is None else best.to_numpy(zero_copy_only=False).astype(np.int64)
-                yield from _answers(batch.column(0)[i].as_py(), numbers, flags)
+                yield from _answers(batch.column(0)[i].as_py(), numbers, flags, a, b)
 
     return rows.mapInArrow(run, OUTPUT)

@@ -14,7 +14,9 @@ batch is therefore the order within every pre-token.
 
 Defined results: null and empty texts have no ids and decode to an empty text;
 a special token's text is encoded as that token; repeated texts give repeated
-rows; an empty table gives an empty one; other columns are not kept.
+rows; an empty table gives an empty one.  A very long text is a batch part of its
+own.  `encode` and `decode` keep other columns, but for one named like theirs in
+any letters; `digests` returns the columns it names.
 """
 
 from __future__ import annotations
@@ -208,7 +210,7 @@ def token_lists(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of `docs` and `ids array<int>`."""
-    columns = [c for c in docs.columns if c != "ids"]
+    columns = [c for c in docs.columns if c.lower() != "ids"]
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns of `rows` and `decoded string`; null ids give a null."""
-    columns = [c for c in rows.columns if c != "decoded"]
+    columns = [c for c in rows.columns if c.lower() != "decoded"]
     at = columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,9 @@ Defined results: a text without words (null, empty) scores 0; without labelled
 texts of both classes every text with words gets the share of toxic ones among
 the labels (0 without labels); a document labelled twice counts as toxic if
 one label says so; repeated rows get equal scores; an empty table gives an
-empty one; null labels and labels without document are ignored.
+empty one; null labels and labels without document are ignored.  A very long text
+is cut into words whole, whatever its length.  A column named `score`, in any
+letters, is replaced.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ PASSAGE = 8
 PER_CLASS = 2500
 LEAST = 5
 SLICE = 4 << 20
+PART = 1 << 20
 
 _U = np.uint64
 _LETTERS = numbered(256, 11)
@@ -100,12 +103,19 @@ class Passages:
             per_word.append(n)
             sizes.append(np.diff(words.first))
         del words
+        # words that several slices have stay where the first one has them
         _, chosen, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        buckets, per_word, sizes = np.concatenate(buckets), np.concatenate(per_word), np.concatenate(sizes)
-        token = place.reshape(-1).astype(np.int32)[np.concatenate(token)]
-        starts = (np.cumsum(per_word) - per_word)[chosen]
-        per_word = per_word[chosen]
-        buckets = buckets[spread_ranges(starts, per_word)]
+        is_first = np.zeros(len(place), bool)
+        is_first[chosen] = True
+        number = (np.cumsum(is_first, dtype=np.int32) - 1)[chosen]
+        token = number[place.reshape(-1)][np.concatenate(token)]
+        kept, at = [], 0
+        for found, n in zip(buckets, per_word):
+            kept.append(found[np.repeat(is_first[at : at + len(n)], n)])
+            at += len(n)
+        del buckets, hashes, place
+        buckets, per_word, sizes = np.concatenate(kept), np.concatenate(per_word)[is_first], np.concatenate(sizes)
+        del kept
         per_text = -(-sizes // PASSAGE)
         per_passage = np.full(int(per_text.sum()), PASSAGE, np.int64)
         full = np.cumsum(per_text)[sizes > 0] - 1
@@ -153,7 +163,7 @@ class Model:
 
 
 def train(
-    texts: list[str], toxic: list[int], rounds: int = 100, rate: float = 100.0, momentum: float = 0.9, decay: float = 1e-6,
+    texts: list[str] | pa.Array, toxic: list[int] | np.ndarray, rounds: int = 100, rate: float = 100.0, momentum: float = 0.9, decay: float = 1e-6,
     least: int = LEAST, seed: int = 5,
 ) -> Model:
     """Vectors and softmax together, by gradient descent over all texts at once.
@@ -162,7 +172,7 @@ def train(
     maximum.  n-grams of fewer than `least` texts teach nothing.  Plain descent
     is on purpose: an n-gram moves by how many texts it explains.
     """
-    passages = Passages.of(pa.array(texts, pa.string()))
+    passages = Passages.of(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
     use = passages.per_text > 0
     label = np.array(toxic, np.float64)
     if not (label[use] == 0).any() or not (label[use] == 1).any():
@@ -188,13 +198,13 @@ def train(
     for step in range(1, rounds + 1):
         sharpness = min(0.5 * 1.04**step, 6.0)
         bucket = np.einsum("ij,j->i", vectors, softmax)  # no library threads: Spark counts cores
-        word = np.bincount(of_word, bucket[local], len(per_word)) / per_word
+        word = _sums(of_word, bucket, local, len(per_word)) / per_word
         passage = _means(word[passages.token], passages.per_passage)
         value, share = pooled(passage, passages.per_text, sharpness)
         error = weight * (1 / (1 + np.exp(-np.clip(value + bias, -40, 40))) - label)
         to_passage = np.repeat(error, passages.per_text) * share / passages.per_passage
         to_word = np.bincount(passages.token, to_passage[of_passage], len(word)) / per_word
-        to_bucket = np.bincount(local, to_word[of_word], len(used))
+        to_bucket = _sums(local, to_word, of_word, len(used))
         steps = [rate * (to_bucket[:, None] * softmax + decay * vectors), 0.01 * rate * np.einsum("i,ij->j", to_bucket, vectors), 0.1 * error.sum()]
         speed = [momentum * v - g for v, g in zip(speed, steps)]
         vectors += speed[0]
@@ -205,6 +215,15 @@ def train(
     return Model(weights, float(bias), sharpness)
 
 
+def _sums(group: np.ndarray, values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sum of `values[at]` by group, a part at a time: pairs of words and subwords are the largest arrays there are."""
+    total = np.zeros(n)
+    for lo in range(0, len(group), PART):
+        part = slice(lo, lo + PART)
+        total += np.bincount(group[part], values[at[part]], n)
+    return total
+
+
 def _common(passages: Passages, of_word: np.ndarray, least: int) -> np.ndarray:
     """Which subwords have a bucket that `least` texts use, a word counted once per text."""
     of_text = np.repeat(np.repeat(np.arange(len(passages.per_text)), passages.per_text), passages.per_passage)
@@ -214,14 +233,10 @@ def _common(passages: Passages, of_word: np.ndarray, least: int) -> np.ndarray:
     del of_text
     texts = np.bincount(pairs % len(passages.per_word), minlength=len(passages.per_word))
     del pairs
-    total = np.zeros(BUCKETS)
-    for lo in range(0, len(of_word), 1 << 20):
-        part = slice(lo, lo + (1 << 20))
-        total += np.bincount(passages.buckets[part], texts[of_word[part]], BUCKETS)
-    return (total >= least)[passages.buckets]
+    return (_sums(passages.buckets, texts, of_word, BUCKETS) >= least)[passages.buckets]
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pa.Table:
     """(text, toxic) of at most `per_class` labelled documents of each class, those with the least hashes of their id."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -232,19 +247,17 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> li
     rows = chosen.collect()  # 2 * per_class pairs of numbers at most
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in rows], "doc_id bigint, toxic int")
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    return sorted(((r.text, r.toxic) for r in texts.collect()), key=lambda x: x[0])
+    return texts.select("text", "toxic").toArrow().sort_by("text").combine_chunks()
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     rows = sample(docs, labels, per_class)
-    texts, toxic = [t for t, _ in rows], [y for _, y in rows]
-    del rows
-    return train(texts, toxic)
+    return train(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of `docs` and `score`."""
-    columns = [c for c in docs.columns if c != "score"]
+    columns = [c for c in docs.columns if c.lower() != "score"]
     frame = docs.select(*(F.col(f"`{c}`") for c in columns))
     at = columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)

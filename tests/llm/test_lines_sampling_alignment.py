@@ -167,7 +167,7 @@ def plain_alignment(texts, tokenizers):
             whole = (" " + text).encode()
             if b"".join(t for _, t in a) == whole == b"".join(t for _, t in b):
                 ends = [set(np.cumsum([len(t) for _, t in side]).tolist()) for side in (a, b)]
-                shared = sorted(ends[0] & ends[1])
+                shared = np.array(sorted(ends[0] & ends[1]))
                 groups = [([], []) for _ in shared]
                 for side, tokens in enumerate((a, b)):
                     at = 0
