@@ -52,7 +52,8 @@ from linkloom.operators.staging import staged
 CHUNK_BYTES = 4 << 20
 LINE_WORDS = 200
 PART_WORDS = 20_000  # encoded at once
-STRING_BYTES = 32 << 20
+STRING_BYTES = 4 << 20
+HELD_WORDS = 100_000
 OUTPUT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 CHUNKS = "chunk bigint, codes array<bigint>, documents array<int>, payload binary"
 
@@ -117,7 +118,7 @@ class _Side:
 
     def __init__(self, sizes: np.ndarray, data: np.ndarray, encode):
         self.sizes, self.data, self.starts = sizes, data, np.cumsum(sizes) - sizes
-        self.encode, self.held = encode, IdLists()
+        self.encode, self.held = encode, IdLists(HELD_WORDS)
         self.names = pa.array(map(str, range(len(sizes))), pa.large_string())
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -471,10 +472,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     asked = made.select("chunk", F.posexplode("codes").alias("at", "code"))
     told = asked.join(totals, "code").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n", "is_best"))).alias("told"))
     told = told.select("chunk", F.col("told.n").alias("n"), F.col("told.is_best").alias("best"))
-    rows = made.select("chunk", "payload").join(told, "chunk", "left").select("payload", "n", "best")
+    # a chunk is large: it is hashed to the few numbers it asked for, not sorted
+    rows = made.select("chunk", "payload").join(told.hint("shuffle_hash"), "chunk", "left").select("payload", "n", "best")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _byte_level(path_a), _piece_level(path_b)
+        a.held, b.held = IdLists(HELD_WORDS), IdLists(HELD_WORDS)  # nothing is encoded any more
         for batch in batches:
             for i in range(batch.num_rows):
                 n, best = (batch.column(c)[i].values for c in (1, 2))

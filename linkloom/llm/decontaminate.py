@@ -12,7 +12,8 @@ texts for each block, so no text is shuffled and any benchmark will do.
 Defined results: a null or wordless text has no words and no hits; an item
 without words occurs nowhere; an item shorter than a window is one run, looked
 up at every word; repeated items and texts count one by one; empty tables give
-no hits; other columns of the texts are not kept.
+no hits; other columns of the texts are not kept.  A very long text is searched
+whole, about a megabyte at a time.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ Defined results: null and wordless texts have an empty set and link to
 nothing, so each is its own component; equal texts are linked; ties between
 candidates go to the smallest id; repeated rows with one id are one document;
 a null id gets the component of its class; an empty table gives an empty one;
-other columns are not kept.
+other columns are not kept.  A very long text has all its shingles, in slices of
+bounded size.
 """
 
 from __future__ import annotations

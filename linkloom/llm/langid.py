@@ -17,7 +17,8 @@ have, measured on all learning texts of the language.
 Defined results: a null text and one without a letter are `und` with score 0
 and not rejected; ties go to the language that sorts first; without learning
 texts everything is `und`; repeated rows get equal results and count as often
-as they occur; an empty table gives an empty one.
+as they occur; an empty table gives an empty one.  A very long text is scored
+whole, as a batch part of its own.
 """
 
 from __future__ import annotations

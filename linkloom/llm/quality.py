@@ -7,7 +7,8 @@ U+0009 to U+000D.
 Defined results: a null text counts as an empty one (all counts 0, no ratio);
 ties do not arise, as rows are judged one by one; repeated rows give repeated
 results; an empty table gives an empty one; columns of the input are kept
-under their names, and a statistic replaces an input column of its name.
+under their names, and a statistic replaces an input column of its name.  A very
+long text is judged whole, in its row; its windows are hashed and sorted there.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ group alone is larger than a shard.
 Defined results: a null text is an empty one, of size 16; equal texts, null
 and empty ones included, are one group; jobs of equal size go by their id and
 shards of equal load by their number; repeated rows take a slot each; an
-empty table gives an empty result; other columns are not kept.
+empty table gives an empty result; other columns are not kept.  A very long text
+is a job of its own, and a shard with little else.
 """
 
 from __future__ import annotations

@@ -1,12 +1,12 @@
-"""Passages that occur again, by sparse suffix arrays.
+"""Passages that occur again, by sparse suffixes.
 
 Of every window of LENGTH words the least k-gram is chosen, by its contents
 alone; only suffixes that start at such places are kept, about one in twenty.
 Two equal windows choose the same place, so a repeated passage of LENGTH words
 has suffixes in common at each of its occurrences.
 
-1. Suffixes are brought together in the order of their first k words.  One
-   whose neighbours differ there is dropped.
+1. Suffixes are brought together by a hash of their first k words.  One without
+   an equal there is dropped.
 2. A suffix is extended to the left and right by all windows that chose it: a
    block of words.  Equal blocks are counted together, so a group of thousands
    of copies goes on as one.  A block without unequal neighbours is settled.
@@ -15,6 +15,12 @@ has suffixes in common at each of its occurrences.
 4. Every occurrence gets what was found for its block; windows that follow each
    other make up the passage.
 
+Neighbours in the lexical order of suffixes alone would not do: of three
+suffixes a < b < c, a and c may share a passage that reaches far to the left of
+the chosen place and only a little to its right, while b, which lies between
+them, shares nothing on the left.  So what the order would bring together is
+compared by blocks and windows, all of them.
+
 Groups are counts and minima that combine before the shuffle, and joins with
 one row per key on one side, which Spark can split; the suffixes of a common
 passage never meet in one task.  The result is exact: a word is in a repeated
@@ -23,7 +29,8 @@ passage if it lies in a run of LENGTH words that the table holds twice.
 Defined results: texts of fewer than LENGTH words, empty and null ones have no
 passage; of equal passages the one with the smallest (doc_id, position) is the
 first; rows without id are not searched; repeated rows with one id share it,
-so that all of them are first; an empty table gives an empty result.
+so that all of them are first; an empty table gives an empty result.  A very
+long text is searched whole, some megabytes at a time.
 """
 
 from __future__ import annotations

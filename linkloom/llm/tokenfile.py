@@ -16,7 +16,8 @@ run again, and any store that Spark reads will do.
 
 Defined results: a null text is an empty one; every document gets the end id;
 documents with equal ids keep a stable order by their contents; a null doc_id
-sorts first; an empty table gives no blocks; other columns are not kept.
+sorts first; an empty table gives no blocks; other columns are not kept.  A very
+long text has one frame, and a block of its own if it fills one.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ SAMPLE_CHARS = (100, 8_000)  # the dictionary serves short documents
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 LINE_WORDS = 500
+HELD_WORDS = 500_000
+_LETTERS = np.zeros(256, bool)
+_LETTERS[65:91] = _LETTERS[97:123] = True
 
 FRAMES = "doc_id bigint, n_tokens bigint, frame binary"
 BLOCKS = "part int, block int, n_docs bigint, n_ids bigint, first_doc bigint, last_doc bigint, payload binary"
@@ -63,7 +67,22 @@ def _tokenizer(path: str):
     library = Tokenizer.from_file(path)
     closes = np.zeros(max(library.get_vocab().values()) + 1, bool)
     closes[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
-    return library, IdLists(), closes
+    return library, IdLists(HELD_WORDS), closes
+
+
+def plain_words(pieces: list[bytes]) -> np.ndarray:
+    """Which pieces are letters of Latin-1 only, but for one blank or newline before them."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    leads = data == 0xC3
+    trails = np.zeros(len(data), bool)
+    trails[1:] = leads[:-1] & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    leads[:-1] &= trails[1:]
+    good = _LETTERS[data] | leads | trails
+    lone = (sizes == 1) & ~good[starts]
+    good[starts] |= (data[starts] == 32) | (data[starts] == 10)
+    return np.logical_and.reduceat(good, starts) & ~lone if len(pieces) else np.zeros(0, bool)
 
 
 def token_lists(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +100,15 @@ def token_lists(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Plain words go through in lines of many; each ends with the first token that closes a word."""
-        words = [p.decode() for p in new]
-        plain = np.fromiter((w.strip(" \n").isalpha() and max(w) < "\u0100" for w in words), bool, len(words))
-        lines = [w for w, simple in zip(words, plain.tolist()) if simple]
-        ids, _ = each([" ".join(lines[i : i + LINE_WORDS]) for i in range(0, len(lines), LINE_WORDS)])
+        plain = plain_words(new)
+        simple = plain.tolist()
+        lines = [p for p, is_plain in zip(new, simple) if is_plain]
+        ids, _ = each([b" ".join(lines[i : i + LINE_WORDS]).decode() for i in range(0, len(lines), LINE_WORDS)])
         ends = np.flatnonzero(closes[ids])
         if len(ends) != len(lines):
-            return each(words)
-        rest, rest_sizes = each([w for w, simple in zip(words, plain.tolist()) if not simple])
-        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            return each([p.decode() for p in new])
+        rest, rest_sizes = each([p.decode() for p, is_plain in zip(new, simple) if not is_plain])
+        sizes, starts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         sizes[plain], sizes[~plain] = np.diff(ends, prepend=-1), rest_sizes
         starts[plain] = ends + 1 - sizes[plain]
         starts[~plain] = len(ids) + np.cumsum(rest_sizes) - rest_sizes

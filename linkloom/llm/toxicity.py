@@ -39,8 +39,9 @@ DIMENSIONS = 8
 PASSAGE = 8
 PER_CLASS = 2500
 LEAST = 5
-SLICE = 4 << 20
+SLICE = 2 << 20
 PART = 1 << 20
+WORDS = 50_000
 
 _U = np.uint64
 _LETTERS = numbered(256, 11)
@@ -58,7 +59,7 @@ def subwords(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     body[last] = _END
     body[spread_ranges(first + 1, sizes)] = words.data[spread_ranges(words.start[chosen], sizes)]
     letters = _LETTERS[body]
-    owner = np.repeat(np.arange(len(chosen)), sizes + 2)
+    owner = np.repeat(np.arange(len(chosen), dtype=np.int32), sizes + 2)
     room = last[owner] - np.arange(total) + 1  # letters from here to the word's end
     buckets, owners = [], []
     rolling = letters.copy()
@@ -66,13 +67,20 @@ def subwords(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rolling = rolling[:-1] * _U(BASE) + letters[n - 1 :] if len(rolling) > 1 else rolling[:0]
         if n in LENGTHS:
             at = np.flatnonzero(room[: len(rolling)] >= n)
-            buckets.append((mix(rolling[at] + _U(n)) & _U(BUCKETS - 1)).astype(np.int64))
+            buckets.append((mix(rolling[at] + _U(n)) & _U(BUCKETS - 1)).astype(np.int32))
             owners.append(owner[at])
     bucket, of = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(of, kind="stable")
     return bucket[order], np.bincount(of, minlength=len(chosen))
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among sorted ones."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 def _means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Mean of each run of `counts` values; 0 for an empty run."""
     ends = np.cumsum(counts)
@@ -93,29 +101,32 @@ class Passages:
     @classmethod
     def of(cls, texts: pa.Array) -> Passages:
         hashes, buckets, per_word, token, sizes = [], [], [], [], []
+        seen = np.zeros(0, _U)
         for part in slices(texts, SLICE) if len(texts) else [texts]:  # splitting takes many times the size of the text
             words = split_words(part, ALNUM, fold=True)
             found, chosen, place = np.unique(words.hash, return_index=True, return_inverse=True)
-            bucket, n = subwords(words, chosen)
-            token.append((place.reshape(-1) + sum(map(len, hashes))).astype(np.int32))
-            hashes.append(found)
-            buckets.append(bucket.astype(np.int32))
+            new = ~_among(found, seen)
+            bucket, n = subwords(words, chosen[new])
+            hashes.append(found[new])
+            buckets.append(bucket)
             per_word.append(n)
+            token.append((found, place.reshape(-1).astype(np.int32)))
             sizes.append(np.diff(words.first))
+            seen = np.sort(np.concatenate([seen, found[new]]))
         del words
-        # words that several slices have stay where the first one has them
-        _, chosen, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        is_first = np.zeros(len(place), bool)
-        is_first[chosen] = True
-        number = (np.cumsum(is_first, dtype=np.int32) - 1)[chosen]
-        token = number[place.reshape(-1)][np.concatenate(token)]
-        kept, at = [], 0
-        for found, n in zip(buckets, per_word):
-            kept.append(found[np.repeat(is_first[at : at + len(n)], n)])
-            at += len(n)
-        del buckets, hashes, place
-        buckets, per_word, sizes = np.concatenate(kept), np.concatenate(per_word)[is_first], np.concatenate(sizes)
-        del kept
+        # words in the order of their hashes, so that nothing depends on slices
+        order = np.argsort(np.concatenate(hashes))
+        token = np.concatenate([np.searchsorted(seen, found).astype(np.int32)[place] for found, place in token])
+        sizes, per_word, held = np.concatenate(sizes), np.concatenate(per_word), np.concatenate(buckets)
+        del buckets, hashes
+        starts, buckets = (np.cumsum(per_word) - per_word)[order], np.empty(len(held), np.int32)
+        per_word, at = per_word[order], 0
+        for lo in range(0, len(order), WORDS):
+            part = slice(lo, lo + WORDS)
+            moved = held[spread_ranges(starts[part], per_word[part])]
+            buckets[at : at + len(moved)] = moved
+            at += len(moved)
+        del held
         per_text = -(-sizes // PASSAGE)
         per_passage = np.full(int(per_text.sum()), PASSAGE, np.int64)
         full = np.cumsum(per_text)[sizes > 0] - 1
@@ -236,7 +247,13 @@ def _common(passages: Passages, of_word: np.ndarray, least: int) -> np.ndarray:
     return (_sums(passages.buckets, texts, of_word, BUCKETS) >= least)[passages.buckets]
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pa.Table:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
+    """The rows of `sample_table`, as pairs."""
+    rows = sample_table(docs, labels, per_class)
+    return list(zip(*(rows.column(name).to_pylist() for name in ("text", "toxic"))))
+
+
+def sample_table(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pa.Table:
     """(text, toxic) of at most `per_class` labelled documents of each class, those with the least hashes of their id."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -251,7 +268,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pa
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    rows = sample(docs, labels, per_class)
+    rows = sample_table(docs, labels, per_class)
     return train(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
 
 

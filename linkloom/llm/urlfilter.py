@@ -8,7 +8,8 @@ removes the false positives.
 Defined results: a null URL, or one without `://`, has an empty host and path,
 fits no rule and is in no list; null entries of the list are ignored and
 repeated ones count once; repeated rows are judged one by one; empty tables
-give empty results.  Among fitting rules the longest wins, and of equally
+give empty results.  A very long URL is read by expressions that look at each
+character once.  Among fitting rules the longest wins, and of equally
 long ones the one that is given first.
 """
 
