@@ -70,7 +70,13 @@ def _by_row(work: Callable) -> Callable:
 
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic.
+
+    It learns from all labels but the held-out ones.  Null, empty and wordless
+    texts score 0 and stay; very long ones are scored whole; a document labelled
+    twice is toxic if one label says so; repeated rows are judged alike; without
+    labels, or in an empty table, nothing goes.
+    """
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return toxicity.score(docs.select(COLUMNS), model).where(F.col("score") < TOXIC).select(COLUMNS)
 
@@ -99,14 +105,22 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @_stage
 @_by_row
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark items make up less than a twentieth."""
+    """Documents of which benchmark items make up less than a twentieth.
+
+    Null and empty texts have no words and stay; very long ones are searched
+    whole; repeated rows are judged alike; an empty benchmark removes nothing.
+    """
     found = decontaminate.judged(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")))
     return without(docs, found.where("contaminated").select("doc_id"))
 
 
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left, a row for each row.
+
+    Null and empty texts have none; very long ones are encoded whole; an empty
+    table gives an empty one.
+    """
     coded = bpe.encode(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
