@@ -45,15 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.bpe import Vocabulary
-from linkloom.llm.pieces import IdLists, slices
+from linkloom.llm.pieces import slices
 from linkloom.llm.words import spread_ranges, text_bytes
 from linkloom.operators.staging import staged
 
 CHUNK_BYTES = 4 << 20
 LINE_WORDS = 200
-PART_WORDS = 20_000  # encoded at once
+PART_WORDS = 10_000  # encoded at once
 STRING_BYTES = 4 << 20
-HELD_WORDS = 100_000
 OUTPUT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 CHUNKS = "chunk bigint, codes array<bigint>, documents array<int>, payload binary"
 
@@ -118,16 +117,14 @@ class _Side:
 
     def __init__(self, sizes: np.ndarray, data: np.ndarray, encode):
         self.sizes, self.data, self.starts = sizes, data, np.cumsum(sizes) - sizes
-        self.encode, self.held = encode, IdLists(HELD_WORDS)
+        self.encode = encode
         self.names = pa.array(map(str, range(len(sizes))), pa.large_string())
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and where each word begins, with the end behind."""
-        ids, starts, sizes = self.held.of(words, self._new)
-        return ids[spread_ranges(starts, sizes)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+        """Ids of all words in a row, and where each word begins, with the end behind.
 
-    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that were not met before: most go through in lines of many, cut where their bytes end."""
+        Most words go through in lines of many, which are cut where the words' bytes end.
+        """
         odd = frozenset(np.flatnonzero(_MAY_START_BLANK).tolist())
         plain = [bool(w) and w[0] > 32 and w[-1] > 32 and w[0] not in odd for w in words]
         joined = [w for w, fits in zip(words, plain) if fits]
@@ -149,13 +146,13 @@ class _Side:
         for lo in range(0, len(others), LINE_WORDS):
             rest += self.encode(others[lo : lo + LINE_WORDS])
         if not others:
-            return np.concatenate(coded), counted
+            return np.concatenate([np.zeros(0, np.int64), *coded]), np.concatenate([[0], np.cumsum(counted)])
         fits, sizes, starts = np.array(plain), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         sizes[fits], sizes[~fits] = counted, list(map(len, rest))
         all_ids = np.concatenate([*coded, np.fromiter(chain.from_iterable(rest), np.int64)])
         starts[fits] = np.cumsum(counted) - counted
         starts[~fits] = counted.sum() + np.cumsum(sizes[~fits]) - sizes[~fits]
-        return all_ids[spread_ranges(starts, sizes)], sizes
+        return all_ids[spread_ranges(starts, sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
     def gives_back(self, ids: np.ndarray, first: np.ndarray, expected: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which words' tokens have exactly the words' bytes."""
@@ -365,7 +362,7 @@ def _documents(index: np.ndarray, first: np.ndarray, use: np.ndarray, first_pair
     load = np.concatenate([[0], np.cumsum(sizes[index])])[first]
     lo = 0
     while lo < len(use):
-        hi = max(lo + 1, int(np.searchsorted(load, load[lo] + (1 << 20), "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(load, load[lo] + (1 << 18), "right")) - 1)
         places = np.arange(first[lo], first[hi])
         doc = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
         chosen = use[lo:hi][doc]
@@ -477,7 +474,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _byte_level(path_a), _piece_level(path_b)
-        a.held, b.held = IdLists(HELD_WORDS), IdLists(HELD_WORDS)  # nothing is encoded any more
         for batch in batches:
             for i in range(batch.num_rows):
                 n, best = (batch.column(c)[i].values for c in (1, 2))
