@@ -68,6 +68,8 @@ class Vocabulary:
         right = np.array([ids[b] for _, b in merges], np.int64)
         self.left, self.right = left.astype(np.int32), right.astype(np.int32)
         self.made = np.array([ids[a + b] for a, b in merges], np.int32)
+        if len(np.unique(self.made)) != len(merges):
+            raise ValueError("two merges make one token")
         keys = left * self.size + right
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
