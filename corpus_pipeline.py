@@ -137,10 +137,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written to the shared folder and read again."""
+    """All stages over `documents`; each result is written to the shared folder and read again.
+
+    A stage's result is removed when the next one's is written; the last one stays.
+    """
     docs = _table(spark, sf_dir, "documents")
     folder = f"{staging_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        if i:
+            release(spark, [f"{folder}/{i - 1}"])
         docs = spark.read.parquet(f"{folder}/{i}")
     return docs

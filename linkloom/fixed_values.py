@@ -115,6 +115,7 @@ SCOPES = [
 ]
 SHORTEST_TEXT = 3
 HEADING_BYTES = 200
+BLANK_REACH = 50  # how far a cut goes back to a blank, in bytes
 PARAGRAPH_BYTES = 2000
 LINK_TEXT_BYTES = 100
 SHORTEST_CODE = 10
@@ -142,6 +143,13 @@ CODE_PER_PAPER = 10
 LONGEST_NAME = 200
 CODE_INDENTS = ["    ", "\t"]
 CODE_TOKENS = ["def ", "fn ", "function ", "class ", "import ", "package ", "//", "/*", "#include"]
+CODE_LANGUAGES = [  # tried in this order: all of the texts occur, or any of them
+    ("rust", "all", ["fn ", "->"]),
+    ("python", "all", ["def ", ":"]),
+    ("javascript", "any", ["function ", "const ", "let "]),
+    ("java", "any", ["public class", "private "]),
+    ("c", "any", ["#include"]),
+]
 SHORTEST_RUN = 3
 SHORTEST_ISLAND = 20
 NO_FILE = "File not found"

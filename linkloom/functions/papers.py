@@ -143,18 +143,10 @@ def _islands(raw_lines: str, runs: str) -> str:
 def language(source: str) -> str:
     """Guess a programming language, null if nothing fits."""
 
-    def has(*parts: str) -> str:
-        return " AND ".join(f"contains({source}, {quote(part)})" for part in parts)
-
-    return cases(
-        [
-            (has("fn ", "->"), "'rust'"),
-            (has("def ", ":"), "'python'"),
-            (contains_any(source, ["function ", "const ", "let "]), "'javascript'"),
-            (contains_any(source, ["public class", "private "]), "'java'"),
-            (has("#include"), "'c'"),
-        ]
-    )
+    def has(kind: str, parts: list[str]) -> str:
+        return {"all": " AND ", "any": " OR "}[kind].join(f"contains({source}, {quote(part)})" for part in parts)
+
+    return cases((has(kind, parts), quote(name)) for name, kind, parts in fixed.CODE_LANGUAGES)
 
 
 def title(raw_lines: str, path: str) -> str:

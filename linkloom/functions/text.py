@@ -63,14 +63,14 @@ def shorten(text: str, limit: int | None) -> str:
 
 
 def shorten_at_blank(text: str, limit: int | None) -> str:
-    """Cut at `limit` bytes, going back to a blank within the final 50 bytes, plus dots."""
+    """Cut at `limit` bytes, going back to a blank that is near enough to the end, plus dots."""
     if limit is None:
         return text
 
     def cut(start: str) -> str:
         def at_blank(blank: str) -> str:  # -1: there is none
             back = f"cast(substring(cast({start} AS binary), 1, {blank}) AS string)"
-            return f"if({blank} > greatest(octet_length({start}) - 50, 0), {back}, {start})"
+            return f"if({blank} > greatest(octet_length({start}) - {fixed.BLANK_REACH}, 0), {back}, {start})"
 
         return let(f"octet_length({start}) - octet_length(substring_index({start}, ' ', -1)) - 1", at_blank)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,20 @@ def staged_by(spark: SparkSession, since: int = 0) -> list[str]:
     return _written.get(spark.sparkContext.applicationId, [])[since:]
 
 
+@contextmanager
+def cleaning_up(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that were staged inside.
+
+        with cleaning_up(spark):
+            commands.fetch(crawl, urls)[0].write.parquet(place)
+    """
+    before = len(staged_by(spark))
+    try:
+        yield
+    finally:
+        release(spark, staged_by(spark, before))
+
+
 def release(spark: SparkSession, places: list[str]) -> None:
     """Remove staged tables.
 
