@@ -24,6 +24,7 @@ from linkloom.operators.staging import release, staged, staged_by, staging_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.7
+FREED_BYTES = 1 << 20
 _staged: dict[str, list[str]] = {}
 
 
@@ -31,12 +32,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _lean_workers(spark: SparkSession) -> None:
+    """Have Python workers give freed arrays back to the system: the stages use the same ones, one after the other.
+
+    Otherwise what a stage has freed stays with its workers and adds to what the next one takes.
+    """
+    for name in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
+        spark.sparkContext.environment.setdefault(name, str(FREED_BYTES))
+
+
 def _stage(work: Callable) -> Callable:
     """A stage that first removes what the stage before it had staged: its result is written by now."""
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        _lean_workers(spark)
         app = spark.sparkContext.applicationId
         release(spark, _staged.pop(app, []))
         before = len(staged_by(spark))
