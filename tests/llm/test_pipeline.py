@@ -15,7 +15,7 @@ from linkloom.llm.queries import QUERIES
 
 def test_names():
     numbers = sorted(int(name[2:].split("_")[0]) for name in contract.queries() if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in contract.queries()
     assert set(QUERIES) <= set(contract.queries())
     assert len(corpus_pipeline.STAGES) == 5
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in corpus_pipeline.STAGES)
