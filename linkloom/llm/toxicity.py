@@ -22,6 +22,8 @@ letters, is replaced.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -269,7 +271,18 @@ def sample_table(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     rows = sample_table(docs, labels, per_class)
-    return train(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
+    model = train(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
+    del rows
+    give_back()
+    return model
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the driver goes on after it has learned."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(ctypes.CDLL(libc), "malloc_trim"):
+        ctypes.CDLL(libc).malloc_trim(0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
