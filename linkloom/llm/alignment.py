@@ -46,10 +46,11 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.bpe import Vocabulary
 from linkloom.llm.pieces import slices
+from linkloom.llm.shipping import lean_workers
 from linkloom.llm.words import spread_ranges, text_bytes
 from linkloom.operators.staging import staged
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 LINE_WORDS = 200
 PART_WORDS = 10_000  # encoded at once
 STRING_BYTES = 4 << 20
@@ -464,6 +465,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     links, how many documents link the pair, and `n_best` counts the links whose
     pair has the most documents of its first id.
     """
+    lean_workers(docs.sparkSession)
     made = staged(chunks(docs, path_a, path_b, doc_id, text))
     totals = pair_counts(made, path_b)
     asked = made.select("chunk", F.posexplode("codes").alias("at", "code"))

@@ -17,6 +17,12 @@ _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Have the Python workers of later jobs give freed arrays of a megabyte and more back to the system at once."""
+    for name in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
+        spark.sparkContext.environment.setdefault(name, str(1 << 20))
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package along with the jobs of this application, once, and bound the batches of this session."""
     context = spark.sparkContext
